@@ -185,8 +185,8 @@ def paragraph_opening(column: Column) -> Column:
 
 
 def word_count(column: Column) -> Column:
-    """Number of word tokens in already cleaned text."""
-    return F.regexp_count(column, F.lit(r"(?U)\w+"))
+    """Number of word tokens in cleaned text, which is ASCII."""
+    return F.regexp_count(column, F.lit(r"\w+"))
 
 
 def shorter_than(cleaned: Column, n: int) -> Column:

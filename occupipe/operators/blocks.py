@@ -53,17 +53,22 @@ def rewritten(html: Column) -> Column:
     return html
 
 
+def markup(html: Column) -> Column:
+    """The prepared text that lists and paragraphs are cut from."""
+    return rewritten(without_scripts(html))
+
+
 def _cut_at(html: Column, tags: str) -> Column:
     """Split before every opening or closing tag of the given names."""
     return F.split(html, rf"(?i)(?=</?(?:{tags})\b)")
 
 
-def html_lists(html: Column) -> Column:
+def html_lists(markup: Column) -> Column:
     """``ol`` and ``ul`` blocks as an array of item arrays, in document order.
 
     A nested list is a list of its own, and its items also count in every list around it.
     """
-    return let(_cut_at(rewritten(without_scripts(html)), "ol|ul|li"), _lists_of_pieces)
+    return let(_cut_at(markup, "ol|ul|li"), _lists_of_pieces)
 
 
 def _lists_of_pieces(pieces: Column) -> Column:
@@ -131,9 +136,9 @@ def _lists_of_pieces(pieces: Column) -> Column:
     return let(let(F.transform(pieces, mark), placed), lists)
 
 
-def paragraphs(html: Column) -> Column:
+def paragraphs(markup: Column) -> Column:
     """``p`` elements in document order, each closed at the next block tag."""
-    pieces = _cut_at(rewritten(without_scripts(html)), BLOCK_TAGS)
+    pieces = _cut_at(markup, BLOCK_TAGS)
     opened = F.filter(pieces, lambda p: p.rlike(r"(?i)^<p\b"))
     return F.transform(opened, lambda p: F.concat(p, F.lit("</p>")))
 
@@ -143,10 +148,10 @@ def opens_item(paragraph: Column) -> Column:
     return F.regexp_replace(paragraph, "^<[^>]*>", "").rlike(fixed.BULLET_START)
 
 
-def paragraph_lists(html: Column) -> Column:
+def paragraph_lists(markup: Column) -> Column:
     """Runs of consecutive bulleted paragraphs, as an array of item arrays."""
     flagged = F.transform(
-        paragraphs(html), lambda p: F.struct(p.alias("html"), opens_item(p).alias("hit"))
+        paragraphs(markup), lambda p: F.struct(p.alias("html"), opens_item(p).alias("hit"))
     )
     runs = F.aggregate(
         flagged,
@@ -269,10 +274,10 @@ def best_list(lists: Column, verbs: Sequence[str]) -> Column:
     return chosen_list(merged_lists(scored_lists(lists, verbs)))
 
 
-def verb_paragraphs(html: Column, verbs: Sequence[str]) -> Column:
+def verb_paragraphs(markup: Column, verbs: Sequence[str]) -> Column:
     """All paragraphs led by a verb, joined by a space; empty if there is none."""
     hits = F.filter(
-        paragraphs(html), lambda p: starts_with_verb(T.paragraph_opening(p), verbs)
+        paragraphs(markup), lambda p: starts_with_verb(T.paragraph_opening(p), verbs)
     )
     return F.array_join(hits, " ").alias("verb_paragraphs")
 
@@ -290,10 +295,11 @@ def extract_tasks(df: DataFrame, text: str, verbs: Sequence[str]) -> DataFrame:
     staged = staged.withColumn(
         "_long", F.when(~T.shorter_than(F.col("_whole"), fixed.MIN_WORDS_DOCUMENT), F.col("_raw"))
     )
-    staged = staged.withColumn("_list", best_list(html_lists(F.col("_long")), verbs))
-    left = F.when(F.col("_list").isNull(), F.col("_long"))
+    staged = staged.withColumn("_markup", markup(F.col("_long")))
+    staged = staged.withColumn("_list", best_list(html_lists(F.col("_markup")), verbs))
+    left = F.when(F.col("_list").isNull(), F.col("_markup"))
     staged = staged.withColumn("_plist", best_list(paragraph_lists(left), verbs))
-    left = F.when(F.col("_list").isNull() & F.col("_plist").isNull(), F.col("_long"))
+    left = F.when(F.col("_list").isNull() & F.col("_plist").isNull(), F.col("_markup"))
     staged = staged.withColumn("_verbs", F.nullif(verb_paragraphs(left, verbs), F.lit("")))
     picked = F.coalesce(
         F.array_join("_list", " "), F.array_join("_plist", " "), F.col("_verbs")
