@@ -114,9 +114,9 @@ def similarity_of(
     ``matrix`` is long: code_a, code_b, sim. A missing pair gives null. The regrouping is
     per row and holds that row's predictions only.
     """
-    pairs = df.select(key, label, F.posexplode(predicted).alias("rank", "code"))
+    pairs = df.select(key, label, F.posexplode(predicted).alias("rank", "_code"))
     side = lookup(matrix.select(F.col("code_a").alias("_a"), F.col("code_b").alias("_b"), "sim"))
-    joined = pairs.join(side, (F.col(label) == F.col("_a")) & (F.col("code") == F.col("_b")), "left")
+    joined = pairs.join(side, (F.col(label) == F.col("_a")) & (F.col("_code") == F.col("_b")), "left")
     ranked = F.array_sort(F.collect_list(F.struct("rank", (1 - F.col("sim")).alias("cost"))))
     return joined.groupBy(key, label).agg(ranked.alias("_r")).select(
         key, label, F.transform("_r", lambda e: e["cost"]).alias("costs")

@@ -1,6 +1,6 @@
 """Registered queries, wired to the fixture tables."""
 
-from occupipe.plans import cleaning
+from occupipe.plans import cleaning, relational
 from occupipe.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "cleaning"]
+__all__ = ["ORACLE", "QUERIES", "cleaning", "relational"]
