@@ -387,6 +387,18 @@ def class_expansion(t):
     return J.expand_classes(t.taxonomy().select("code"), "code", [str(i) for i in range(1, 10)])
 
 
+def listed_moves(t):
+    """Taxonomy with titles listed under a code, and some listed under another code."""
+    return t.taxonomy().select(
+        "code",
+        "title",
+        F.concat(F.lit("• "), "definition", F.lit("\n<Blank>")).alias("under"),
+        F.when(
+            F.length("title") > 9, F.concat(F.lit("old "), "title", F.lit(", see "), code_of(F.lit(5)))
+        ).alias("elsewhere"),
+    )
+
+
 # --- sets, sorts, dedupe ----------------------------------------------------------------
 
 
