@@ -1,6 +1,6 @@
 """Registered queries, wired to the fixture tables."""
 
-from occupipe.plans import cleaning, evaluation, relational, taxonomy
+from occupipe.plans import cleaning, evaluation, extraction, relational, taxonomy
 from occupipe.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "cleaning", "evaluation", "relational", "taxonomy"]
+__all__ = ["ORACLE", "QUERIES", "cleaning", "evaluation", "extraction", "relational", "taxonomy"]
