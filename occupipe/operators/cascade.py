@@ -39,9 +39,18 @@ def text_tokens(df: DataFrame, text: str, out: str = "tokens") -> DataFrame:
 
 
 def fit_word_vectors(df: DataFrame, tokens: str, size: int = 32, seed: int = 1, min_count: int = 2):
-    """Word vectors; the model's transform averages the vectors of a document's tokens."""
+    """Word vectors; the model's transform averages the vectors of a document's tokens.
+
+    Trained on all cores at once: the default is one task for the whole corpus.
+    """
     return Word2Vec(
-        inputCol=tokens, outputCol="doc_vector", vectorSize=size, seed=seed, minCount=min_count, maxIter=1
+        inputCol=tokens,
+        outputCol="doc_vector",
+        vectorSize=size,
+        seed=seed,
+        minCount=min_count,
+        maxIter=1,
+        numPartitions=df.sparkSession.sparkContext.defaultParallelism,
     ).fit(df)
 
 

@@ -129,25 +129,21 @@ def mask_whole_words(
 ) -> DataFrame:
     """Mask all tokens of a chosen word. Tokens with a null word number are never chosen.
 
-    Words are told apart by runs: a number that comes back later is another word.
+    Words are told apart by runs: a number that comes back later is another word. Rows
+    are packed blocks, so the running number is over a few hundred tokens.
     """
-    runs = F.aggregate(
-        F.transform(word_ids, lambda w: F.struct(w.alias("w"))),
-        F.struct(F.lit(None).cast("int").alias("last"), F.lit(-1).alias("run"), F.array().cast("array<int>").alias("out")),
-        lambda acc, x: F.when(
-            x["w"].isNull(), F.struct(acc["last"], acc["run"], F.concat(acc["out"], F.array(F.lit(None).cast("int"))))
-        ).otherwise(
-            F.struct(
-                x["w"].cast("int").alias("last"),
-                F.when(x["w"].eqNullSafe(acc["last"]), acc["run"]).otherwise(acc["run"] + 1).alias("run"),
-                F.concat(
-                    acc["out"],
-                    F.array(F.when(x["w"].eqNullSafe(acc["last"]), acc["run"]).otherwise(acc["run"] + 1)),
-                ).alias("out"),
-            )
-        ),
-        lambda acc: acc["out"],
-    )
+    start = F.struct(F.lit(None).cast("int").alias("last"), F.lit(-1).alias("run"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, word: Column) -> Column:
+        word = word.cast("int")
+        run = acc["run"] + F.when(word.isNull() | word.eqNullSafe(acc["last"]), 0).otherwise(1)
+        return F.struct(
+            F.coalesce(word, acc["last"]).alias("last"),
+            run.alias("run"),
+            F.concat(acc["out"], F.array(F.when(word.isNotNull(), run))).alias("out"),
+        )
+
+    runs = F.aggregate(F.col(word_ids), start, step, lambda acc: acc["out"])
     chosen = F.transform(
         runs,
         lambda r: r.isNotNull()

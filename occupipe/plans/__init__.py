@@ -1,6 +1,30 @@
 """Registered queries, wired to the fixture tables."""
 
-from occupipe.plans import cleaning, evaluation, extraction, relational, taxonomy
+from occupipe.plans import (
+    cleaning,
+    corpora,
+    evaluation,
+    extraction,
+    ingest,
+    models,
+    relational,
+    sampling,
+    streams,
+    taxonomy,
+)
 from occupipe.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "cleaning", "evaluation", "extraction", "relational", "taxonomy"]
+__all__ = [
+    "ORACLE",
+    "QUERIES",
+    "cleaning",
+    "corpora",
+    "evaluation",
+    "extraction",
+    "ingest",
+    "models",
+    "relational",
+    "sampling",
+    "streams",
+    "taxonomy",
+]
