@@ -35,9 +35,35 @@ def lookup(df: DataFrame, limit: int = LOOKUP_LIMIT) -> DataFrame:
 
     Otherwise it is returned as it is, and the join shuffles with AQE splitting skew.
     """
-    if df.limit(limit + 1).count() <= limit:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if is_small(df, limit) else df
+
+
+def is_small(df: DataFrame, limit: int = LOOKUP_LIMIT) -> bool:
+    return df.limit(limit + 1).count() <= limit
+
+
+def lookup_each(
+    df: DataFrame, key: str, codes: Column, n: int, table: DataFrame, on: str, value: str, out: str
+) -> DataFrame:
+    """For an array of up to ``n`` codes, the array of their values in a table, in order.
+
+    ``table`` has one row per code in ``on``; a code without a row gives null. A small
+    table is broadcast once and probed ``n`` times per row in one narrow stage. A larger
+    one is joined by shuffle on exploded codes, which are then regrouped by ``key``.
+    """
+    if is_small(table):
+        side = F.broadcast(table.select(F.col(on).alias("_on"), F.col(value).alias("_value")))
+        wide = df.withColumn("_codes", codes)
+        for i in range(n):
+            own = side.select(F.col("_on").alias(f"_on{i}"), F.col("_value").alias(f"_value{i}"))
+            wide = wide.join(own, F.get("_codes", F.lit(i)) == F.col(f"_on{i}"), "left")
+        found = F.slice(F.array(*[F.col(f"_value{i}") for i in range(n)]), 1, F.size("_codes"))
+        return wide.select(*df.columns, found.alias(out))
+    rows = df.select(key, F.posexplode(F.slice(codes, 1, n)).alias("_at", "_code"))
+    joined = rows.join(table.select(F.col(on).alias("_on"), value), F.col("_code") == F.col("_on"), "left")
+    ranked = F.array_sort(F.collect_list(F.struct("_at", F.struct(value).alias("_v"))))
+    grouped = joined.groupBy(key).agg(F.transform(ranked, lambda e: e["_v"][value]).alias(out))
+    return df.join(grouped, key, "left")
 
 
 def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:

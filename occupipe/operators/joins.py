@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from occupipe.functions import codes as K
 from occupipe.functions import text as T
-from occupipe.operators.groups import keep_one, lookup
+from occupipe.operators.groups import keep_one, lookup, lookup_each
 
 
 def with_counts(taxonomy: DataFrame, code: str, counts: DataFrame, count: str = "n") -> DataFrame:
@@ -107,20 +107,17 @@ def by_row_id(left: DataFrame, right: DataFrame, row_id: str) -> DataFrame:
 
 
 def similarity_of(
-    df: DataFrame, key: str, label: str, predicted: str, matrix: DataFrame
+    df: DataFrame, key: str, label: str, predicted: str, matrix: DataFrame, n: int = 10
 ) -> DataFrame:
     """Inverse similarity of each (label, predicted) pair, as an array in rank order.
 
-    ``matrix`` is long: code_a, code_b, sim. A missing pair gives null. The regrouping is
-    per row and holds that row's predictions only.
+    ``matrix`` is long: code_a, code_b, sim. A missing pair gives null.
     """
-    pairs = df.select(key, label, F.posexplode(predicted).alias("rank", "_code"))
-    side = lookup(matrix.select(F.col("code_a").alias("_a"), F.col("code_b").alias("_b"), "sim"))
-    joined = pairs.join(side, (F.col(label) == F.col("_a")) & (F.col("_code") == F.col("_b")), "left")
-    ranked = F.array_sort(F.collect_list(F.struct("rank", (1 - F.col("sim")).alias("cost"))))
-    return joined.groupBy(key, label).agg(ranked.alias("_r")).select(
-        key, label, F.transform("_r", lambda e: e["cost"]).alias("costs")
-    )
+    pair = lambda a, b: F.concat_ws("|", a, b)
+    costs = matrix.select(pair("code_a", "code_b").alias("_pair"), (1 - F.col("sim")).alias("_cost"))
+    rows = df.select(key, label, predicted)
+    pairs = F.transform(predicted, lambda code: pair(F.col(label), code))
+    return lookup_each(rows, key, pairs, n, costs, "_pair", "_cost", "costs").select(key, label, "costs")
 
 
 def matrix_to_long(matrix: DataFrame, row_label: str) -> DataFrame:

@@ -11,7 +11,7 @@ from occupipe.functions import arrays as A
 from occupipe.functions import codes as K
 from occupipe.functions import fixed_values as fixed
 from occupipe.functions import text as T
-from occupipe.operators.groups import lookup
+from occupipe.operators.groups import lookup, lookup_each
 
 
 def level_codes(df: DataFrame, code: str) -> DataFrame:
@@ -170,32 +170,33 @@ def nested_result(
 ) -> DataFrame:
     """Record fields, the top prediction with title and confidence, and the next ones.
 
-    ``predictions`` is an array of (code, proba), best first. The regrouping is per
-    record and holds at most ``n`` rows. A code without a title keeps a null title, or
-    is an error with ``require_titles``.
+    ``predictions`` is an array of (code, proba), best first. A code without a title
+    keeps a null title, or is an error with ``require_titles``.
     """
-    rows = df.select(key, *fields, F.posexplode(F.slice(predictions, 1, n)).alias("rank", "p"))
-    titles = taxonomy.select(
-        F.col("code").alias("_c"), F.col("title").alias("_t"), F.col("definition").alias("_d")
-    )
-    rows = rows.join(lookup(titles), F.col("p.code") == F.col("_c"), "left")
-    if require_titles:
-        missing = F.raise_error(F.concat(F.lit("no title for code "), F.col("p.code")))
-        rows = rows.withColumn("_t", F.when(F.col("_c").isNull(), missing).otherwise(F.col("_t")))
-    entry = F.struct(
-        "rank",
-        F.col("p.code").alias("code"),
-        F.col("_t").alias("title"),
-        F.col("_d").alias("description"),
-        T.percent(F.col("p.proba")).alias("confidence"),
-    )
-    grouped = rows.groupBy(key, *fields).agg(F.array_sort(F.collect_list(entry)).alias("all"))
-    plain = F.transform("all", lambda e: e.dropFields("rank"))
-    return grouped.select(
+    titled = taxonomy.select("code", F.struct("title", "definition").alias("_title"))
+    best = df.withColumn("_best", F.slice(predictions, 1, n))
+    codes = F.transform("_best", lambda p: p["code"])
+    found = lookup_each(best, key, codes, n, titled, "code", "_title", "_titles")
+
+    def entry(p: Column, t: Column) -> Column:
+        if require_titles:
+            missing = F.raise_error(F.concat(F.lit("no title for code "), p["code"]))
+            title = F.when(t.isNull(), missing.cast("string")).otherwise(t["title"])
+        else:
+            title = t["title"]
+        return F.struct(
+            p["code"].alias("code"),
+            title.alias("title"),
+            t["definition"].alias("description"),
+            T.percent(p["proba"]).alias("confidence"),
+        )
+
+    listed = found.withColumn("_all", F.zip_with("_best", "_titles", entry))
+    return listed.select(
         key,
         *fields,
-        F.get(plain, F.lit(0)).alias("top_prediction"),
-        F.slice(plain, 2, n).alias("other_predictions"),
+        F.get("_all", F.lit(0)).alias("top_prediction"),
+        F.slice("_all", 2, n).alias("other_predictions"),
     )
 
 

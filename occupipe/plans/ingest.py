@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from occupipe.functions import fixed_values as fixed
 from occupipe.plans.registry import ADS_SQL, query
-from occupipe.session import shared_dir
+from occupipe.session import shared_dir, through_table
 from occupipe.sources import readers, records, writers
 
 
@@ -57,7 +57,8 @@ def order_records(t):
     lacking = F.to_json(F.struct(*fields), keep_nulls)
     missing = F.to_json(F.struct(F.lit(fixed.NOT_FOUND_MESSAGE).alias("message")))
     doc = F.when(k % 11 == 0, missing).when(k % 13 == 0, lacking).otherwise(whole)
-    return records.parse_records(t.orders.select(F.concat(F.lit("AD-"), k.cast("string")).alias("ad_id"), doc.alias("doc")))
+    docs = t.spread("orders").select(F.concat(F.lit("AD-"), k.cast("string")).alias("ad_id"), doc.alias("doc"))
+    return records.parse_records(through_table(docs))
 
 
 FLAT_SQL = """

@@ -26,13 +26,14 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def spread(self, name: str) -> DataFrame:
+    def spread(self, name: str, *columns: str) -> DataFrame:
         """A table with costly per-row work ahead of it.
 
         A fixture is one small file, hence one task; it is dealt out to all cores. Real
         inputs have more files than cores and are left as they lie.
         """
         df = getattr(self, name)
+        df = df.select(*columns) if columns else df
         cores = self.spark.sparkContext.defaultParallelism
         return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
@@ -46,7 +47,8 @@ class Tables:
     def ads(self) -> DataFrame:
         key = F.col("l_partkey")
         shift = F.col("l_suppkey") % 12
-        return self.lineitem.select(
+        used = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate"]
+        return self.spread("lineitem", *used).select(
             F.concat_ws("-", F.lit("AD"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("ad_id"),
             code_of(key).alias("code"),
             F.concat("l_returnflag", F.lit(" "), "l_linestatus").alias("title"),

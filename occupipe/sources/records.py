@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from occupipe.functions import codes as K
 from occupipe.functions import fixed_values as fixed
+from occupipe.functions.binding import let
 
 COMPANY = "struct<name:string,description:string,ssicCode:string,employeeCount:bigint>"
 RECORD = f"""
@@ -33,26 +34,37 @@ RECORD = f"""
 STRUCTURE_KEYS = ["skills", "metadata"]
 
 
-def reject_reason(doc: Column, record: Column) -> Column:
+GATE = "struct<message:string,skills:array<string>,metadata:string>"
+
+
+def reject_reason(doc: Column) -> Column:
     """Why a document cannot be flattened; null if it can.
 
     A required key that is present with a null value is accepted, one that is missing is
-    not. So the keys are read from the text, which tells the two apart.
+    not. So the keys are read from the text, which tells the two apart. The reason does
+    not use the full record: a filter on it would otherwise parse the record once more
+    for every field it looks at.
     """
-    keys = F.json_object_keys(doc)
-    lacks = lambda names: ~F.forall(F.array(*[F.lit(n) for n in names]), lambda n: F.array_contains(keys, n))
-    return (
-        F.when(keys.isNull(), "not a JSON object")
-        .when(record["message"] == fixed.NOT_FOUND_MESSAGE, "not found")
-        .when(lacks(fixed.REQUIRED_KEYS), "missing required key")
-        .when(lacks(STRUCTURE_KEYS) | record["skills"].isNull() | record["metadata"].isNull(), "missing structure")
-    )
+    def reason(seen: Column) -> Column:
+        lacks = lambda names: F.size(F.array_intersect(seen["keys"], F.array(*[F.lit(n) for n in names]))) < len(names)
+        gate = seen["gate"]
+        return (
+            F.when(seen["keys"].isNull(), "not a JSON object")
+            .when(gate["message"] == fixed.NOT_FOUND_MESSAGE, "not found")
+            .when(lacks(fixed.REQUIRED_KEYS), "missing required key")
+            .when(
+                lacks(STRUCTURE_KEYS) | gate["skills"].isNull() | gate["metadata"].isNull(), "missing structure"
+            )
+        )
+
+    seen = F.struct(F.json_object_keys(doc).alias("keys"), F.from_json(doc, GATE).alias("gate"))
+    return let(seen, reason)
 
 
 def parse_records(df: DataFrame, doc: str = "doc") -> DataFrame:
     """Add the parsed record and the reason for rejection, if any."""
     parsed = df.withColumn("record", F.from_json(doc, RECORD))
-    return parsed.withColumn("reject_reason", reject_reason(F.col(doc), F.col("record")))
+    return parsed.withColumn("reject_reason", reject_reason(F.col(doc)))
 
 
 def flat_columns(record: Column) -> list[Column]:
