@@ -58,7 +58,7 @@ def read_json_records(
         reader = reader.option("modifiedAfter", modified_after.strftime("%Y-%m-%dT%H:%M:%S"))
     if name_filter is not None:
         reader = reader.option("pathGlobFilter", name_filter)
-    return reader.text(path).select(file_id().alias("ad_id"), F.col("value").alias("doc"))
+    return reader.format("text").load(path).select(file_id().alias("ad_id"), F.col("value").alias("doc"))
 
 
 def file_id():
