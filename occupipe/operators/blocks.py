@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from occupipe.functions import fixed_values as fixed
 from occupipe.functions import text as T
 from occupipe.functions.binding import let
+from occupipe.operators.groups import is_small
 
 # Tags at which an open paragraph ends.
 BLOCK_TAGS = (
@@ -190,9 +191,8 @@ def verb_test(cleaned: Column, in_lexicon: Column) -> Column:
 
 def small_lexicon(lexicon: DataFrame, word: str = "word") -> list[str] | None:
     """The lexicon's words if there are at most ``LEXICON_LIMIT`` of them, else None."""
-    rows = lexicon.select(F.lower(word).alias("w")).distinct().limit(LEXICON_LIMIT + 1)
-    found = [row.w for row in rows.toLocalIterator() if row.w is not None]
-    return None if len(found) > LEXICON_LIMIT else sorted(found)
+    words = lexicon.select(F.lower(word).alias("w")).filter(F.col("w").isNotNull()).distinct()
+    return sorted(row["w"] for row in words.collect()) if is_small(words, LEXICON_LIMIT) else None
 
 
 def starts_with_verb(cleaned: Column, verbs: Sequence[str]) -> Column:

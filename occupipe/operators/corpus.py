@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from occupipe.functions import fixed_values as fixed
-from occupipe.operators.groups import with_row_index
+from occupipe.operators.groups import is_small, with_row_index
 
 MILLION = 1_000_000
 VOCABULARY_LIMIT = 500_000
@@ -41,8 +41,8 @@ def encode_tokens(df: DataFrame, key: str, column: str, vocab: DataFrame, unknow
     are encoded where they lie: a shuffle of tokens would move more than the text itself.
     A larger one is joined; a document's tokens are collected back in the map task.
     """
-    known = vocab.select("token", "token_id").limit(VOCABULARY_LIMIT + 1).toPandas()
-    if len(known) <= VOCABULARY_LIMIT:
+    if is_small(vocab, VOCABULARY_LIMIT):
+        known = vocab.select("token", "token_id").toPandas()
         shared = df.sparkSession.sparkContext.broadcast(dict(zip(known["token"], known["token_id"].astype(int))))
 
         @F.pandas_udf("array<int>")
@@ -86,13 +86,13 @@ def pack_blocks(df: DataFrame, shard: str, order: str, tokens: str, size: int) -
     regrouped, at most ``size`` tokens to a block. ``shard`` is a fixed number of rows.
     """
     before = Window.partitionBy(shard).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    lengths = df.select(shard, order, tokens, F.size(tokens).cast("bigint").alias("_n")).filter("_n > 0")
+    lengths = df.select(shard, order, tokens, F.size(tokens).cast("bigint").alias("_n"))
     placed = lengths.withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     last = F.col("_from") + F.col("_n") - 1
     block = lambda at: F.floor(at / size)
-    cut = placed.select(
-        shard, tokens, "_from", F.explode(F.sequence(block(F.col("_from")), block(last))).alias("block")
-    )
+    # An empty sequence has no block; a filter on its length would run the encoder twice.
+    blocks = F.when(F.col("_n") > 0, F.sequence(block(F.col("_from")), block(last)))
+    cut = placed.select(shard, tokens, "_from", F.explode(blocks).alias("block"))
     start = F.greatest(F.col("block") * size, F.col("_from"))
     end = F.least((F.col("block") + 1) * size, F.col("_from") + F.size(tokens))
     piece = F.slice(

@@ -39,7 +39,13 @@ def lookup(df: DataFrame, limit: int = LOOKUP_LIMIT) -> DataFrame:
 
 
 def is_small(df: DataFrame, limit: int = LOOKUP_LIMIT) -> bool:
-    return df.limit(limit + 1).count() <= limit
+    """A full count: a limit would send its rows from every partition to one task."""
+    return df.count() <= limit
+
+
+def derived_lookup(df: DataFrame) -> DataFrame:
+    """``lookup`` for an aggregate of large data, which is computed once and written."""
+    return lookup(cut_lineage(df))
 
 
 def lookup_each(
@@ -106,7 +112,7 @@ def first_by_hash(
         F.col("_s").alias("_k_s"),
         (F.col("_take") - F.col("_upto") + F.col("_c")).alias("_need"),
     )
-    border = lookup(cut_lineage(border))
+    border = derived_lookup(border)
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
@@ -123,7 +129,7 @@ def first_by_hash(
         )
     )
     # Groups that take nothing have no cutoff and stay unflagged.
-    joined = data.join(lookup(cut_lineage(cutoffs)), same, "left")
+    joined = data.join(derived_lookup(cutoffs), same, "left")
     here = F.struct(F.col("_h"), row_id.alias("_id"))
     return joined.select(
         *df.columns, F.coalesce(here <= F.col("_cut"), F.lit(False)).alias(flag)

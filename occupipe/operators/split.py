@@ -12,7 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from occupipe.operators.groups import coin, first_by_hash, lookup, share_below, with_row_index
+from occupipe.operators.groups import (
+    coin,
+    derived_lookup,
+    first_by_hash,
+    lookup,
+    share_below,
+    with_row_index,
+)
 
 
 def sample_share(df: DataFrame, ids: Sequence[str], share: float, seed: int = 1) -> DataFrame:
@@ -49,7 +56,7 @@ def stratified_split(
     """
     ids = list(ids or [row_id])
     real = df.filter(F.col(row_id).isNotNull())
-    sizes = lookup(real.groupBy(code).agg(F.count(title).alias("_size")))
+    sizes = derived_lookup(real.groupBy(code).agg(F.count(title).alias("_size")))
     sized = real.join(sizes, code)
     flagged = first_by_hash(
         sized.filter(F.col("_size") > 1), [code], ids, F.greatest(F.lit(1), F.floor(F.col("n") * train)), seed
@@ -65,11 +72,11 @@ def holdout_of_repeats(
     df: DataFrame, code: str, row_id: str, size: int, seed: int = 1
 ) -> DataFrame:
     """Add ``split``; test holds exactly ``size`` rows, none the first of its code."""
-    firsts = lookup(df.groupBy(code).agg(F.min(row_id).alias("_first")))
+    firsts = derived_lookup(df.groupBy(code).agg(F.min(row_id).alias("_first")))
     marked = df.join(firsts, code).withColumn("_repeat", F.col(row_id) != F.col("_first"))
     chosen = first_by_hash(marked.filter("_repeat"), [], [row_id], F.least(F.lit(size), F.col("n")), seed)
     test = chosen.filter("taken").select(row_id)
-    return df.join(lookup(test).withColumn("_test", F.lit(True)), row_id, "left").select(
+    return df.join(derived_lookup(test.withColumn("_test", F.lit(True))), row_id, "left").select(
         *df.columns, F.when(F.col("_test"), "test").otherwise("train").alias("split")
     )
 
@@ -118,4 +125,4 @@ def sample_with_replacement(df: DataFrame, row_id: str, k: int, seed: int = 1) -
         F.col("id").alias("draw"), F.pmod(coin(seed, "id"), F.lit(max(n, 1))).alias("_at")
     )
     drawn = numbered.join(lookup(draws), "_at").select("draw", row_id)
-    return df.join(lookup(drawn), row_id).select("draw", *df.columns)
+    return df.join(derived_lookup(drawn), row_id).select("draw", *df.columns)

@@ -162,7 +162,7 @@ def text_baseline(t):
     docs = t.spread("documents").select("doc_id", "text", "lang")
     langs = X.dense_ids(docs.select(F.lit(1).alias("level"), F.col("lang").alias("code")).distinct())
     names = M.index_labels(langs, 1)
-    rows = S.random_split(docs.join(F.broadcast(langs.select(F.col("code").alias("lang"), "idx")), "lang"), ["doc_id"])
+    rows = S.random_split(docs.join(lookup(langs.select(F.col("code").alias("lang"), "idx")), "lang"), ["doc_id"])
     train, test = sides(rows)
     scored = M.fit_text_baseline(train, "text", "idx", features=1 << 10, max_iter=8).transform(test)
     best = M.ranked_predictions(scored, 1, names, 3)

@@ -35,7 +35,7 @@ class Tables:
         df = getattr(self, name)
         df = df.select(*columns) if columns else df
         cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if len(df.inputFiles()) < cores else df
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
     def taxonomy(self) -> DataFrame:
         return self.part.select(

@@ -110,7 +110,9 @@ def test_encoding_by_map_and_by_join(spark, monkeypatch):
     assert (row["b"]["input_ids"], row["b"]["attention_mask"]) == ([7, 0, 0], [1, 0, 0])
 
 
-def test_substitution_counts(spark):
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_substitution_counts(spark, monkeypatch, limit):
+    monkeypatch.setattr(G, "LEXICON_LIMIT", limit)
     text = " ".join(["cat"] * 30 + ["dog"] * 10)
     df = spark.createDataFrame([(1, text), (2, "dog only"), (3, None)], "id int, text string")
     table = spark.createDataFrame([("cat", "lion"), ("cat", "tiger")], "word string, replacement string")
