@@ -15,6 +15,7 @@ from pyspark.ml.feature import (
     RegexTokenizer,
     StopWordsRemover,
     VectorAssembler,
+    VectorSizeHint,
     Word2Vec,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -90,7 +91,10 @@ def fit_cascade(
     ``labels`` maps a level to its index column. Earlier scores are raw margins for the
     linear form and probabilities for the tree form. Levels are fitted in turn.
     """
-    stages, data = [], train
+    # The assembler cannot learn a vector's length from a stream, so it is stated.
+    size = train.select(features).first()[0].size
+    hint = VectorSizeHint(inputCol=features, size=size)
+    stages, data = [hint], hint.transform(train)
     for k in sorted(labels):
         earlier = [f"{'proba' if trees else 'raw'}_{j}" for j in sorted(labels) if j < k]
         joined = VectorAssembler(inputCols=[features, *earlier], outputCol=f"in_{k}")

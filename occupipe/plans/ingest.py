@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from occupipe.functions import fixed_values as fixed
+from occupipe.functions import text as T
 from occupipe.plans.registry import ADS_SQL, query
 from occupipe.session import shared_dir, through_table
 from occupipe.sources import readers, records, writers
@@ -193,6 +194,19 @@ def bucketed_sink(t):
     return back.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("ids"))
 
 
+@query("processed_buckets", f"SELECT bucket, count(*) AS n, min(ad_id) AS first_ad, max(title) AS last_title FROM ({FLAT_SQL}) GROUP BY bucket")
+def processed_buckets(t):
+    path = shared_dir(t.spark)
+    flat = records.flatten(order_records(t)).select("ad_id", "title", "description", "bucket")
+    writers.process_bucket(flat, "description", T.clean_final(T.clean_raw(F.col("description"))), path)
+    back = readers.read_csv(
+        t.spark, path, "ad_id string, title string, description string, processed_at timestamp, bucket string"
+    )
+    return back.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ad_id").alias("first_ad"), F.max("title").alias("last_title")
+    )
+
+
 @query("line_sink", "SELECT md5(replace(text, chr(10), ' ')) AS text_md5, count(*) AS n FROM documents GROUP BY 1")
 def line_sink(t):
     path = shared_dir(t.spark)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from occupipe.operators import cascade as M
 from occupipe.plans.registry import CODE_SQL, TAXONOMY_SQL, code_of, query
 from occupipe.session import shared_dir
 from occupipe.streaming import stream as ST
@@ -46,3 +48,18 @@ def stream_unseen_ids(t):
     return t.spark.read.parquet(path).select("user_id")
 
 
+
+
+@query("stream_scoring")
+def stream_scoring(t):
+    """Fit and save on the batch table, load, and score the same table as a stream."""
+    vectors = lambda df: M.with_vector(df.select("vec_id", "label", "embedding"), "embedding", "features")
+    fitted = M.fit_cascade(vectors(t.embeddings), "features", {1: "label"}, max_iter=10)
+    saved, path = shared_dir(t.spark), shared_dir(t.spark)
+    fitted.save(saved)
+    model = PipelineModel.load(saved)
+    reader = t.spark.readStream.schema(t.embeddings.schema).option("pathGlobFilter", "embeddings*.parquet")
+    scored = ST.score_stream(vectors(reader.parquet(t.folder)), model)
+    kept = scored.select("vec_id", F.col("pred_1").cast("int").alias("predicted"), F.col("label").alias("bucket"))
+    ST.run_all(lambda: ST.append_buckets(kept, path, shared_dir(t.spark)))
+    return t.spark.read.parquet(path).select("vec_id", "predicted")

@@ -11,9 +11,11 @@ from occupipe.operators.corpus import one_line
 def write_buckets(df: DataFrame, path: str, bucket: str = "bucket", append: bool = False) -> None:
     """CSV by bucket. Buckets present in the frame are replaced, or appended to.
 
-    Rows are spread over tasks as they lie, so a bucket of any size is written by many.
+    Rows are brought together by bucket first, since otherwise every task would write a
+    file into every bucket. The rebalance joins small buckets into one task and splits a
+    bucket that holds much of the data over several.
     """
-    writer = df.write.partitionBy(bucket).option("header", True).option("escape", '"')
+    writer = df.hint("rebalance", bucket).write.partitionBy(bucket).option("header", True).option("escape", '"')
     if append:
         writer.mode("append").csv(path)
     else:
