@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from occupipe.functions import arrays as A
 from occupipe.functions import codes as K
-from occupipe.functions import fixed_values as fixed
 from occupipe.functions import text as T
 from occupipe.operators.groups import lookup, lookup_each
 
@@ -83,26 +82,30 @@ def prefix_hit(predicted: Column, label: Column) -> Column:
 
 
 def apply_others(
-    df: DataFrame, predictions: str, threshold: float, taxonomy: DataFrame, key: Sequence[str], code: str = "code"
+    df: DataFrame, key: str, predictions: str, threshold: float, taxonomy: DataFrame, n: int = 10, out: str = "converted"
 ) -> DataFrame:
     """Replace unsure predictions by the residual code, where the taxonomy has one.
 
-    ``predictions`` is an array of (code, proba). Residual codes are those that end in 9.
-    They are looked up for a row's distinct candidates, at most one per prediction.
+    ``predictions`` is an array of up to ``n`` (code, proba) of one level; ``out`` holds
+    the same with ``changed`` added. One-digit codes and codes that end in 9 stay.
     """
-    residual = taxonomy.filter(F.endswith(code, F.lit("9"))).select(F.col(code).alias("_residual")).distinct()
-    unsure = lambda p: (p["proba"] < threshold) & (F.right(p["code"], F.lit(1)) != "9")
-    rows = df.select(*key, F.posexplode(predictions).alias("rank", "p"))
-    rows = rows.withColumn("_other", F.when(unsure(F.col("p")), K.others(F.col("p.code"))))
-    rows = rows.join(lookup(residual), F.col("_other") == F.col("_residual"), "left")
-    changed = rows.select(
-        *key,
-        "rank",
-        F.coalesce("_residual", "p.code").alias("code"),
-        F.col("p.proba").alias("proba"),
-        F.col("_residual").isNotNull().alias("converted"),
+    residual = taxonomy.select("code").filter(F.endswith("code", F.lit("9"))).distinct()
+    residual = residual.withColumn("_residual", F.col("code"))
+
+    def candidate(p: Column) -> Column:
+        unsure = (p["proba"] < threshold) & (F.right(p["code"], F.lit(1)) != "9") & (F.length(p["code"]) > 1)
+        return F.when(unsure, K.others(p["code"]))
+
+    wanted = F.transform(predictions, candidate)
+    found = lookup_each(df, key, wanted, n, residual, "code", "_residual", "_found")
+    converted = F.zip_with(
+        predictions,
+        "_found",
+        lambda p, r: F.struct(
+            F.coalesce(r, p["code"]).alias("code"), p["proba"].alias("proba"), r.isNotNull().alias("changed")
+        ),
     )
-    return changed
+    return found.withColumn(out, converted).drop("_found")
 
 
 def prefix_matrix(taxonomy: DataFrame, code: str) -> DataFrame:
@@ -206,6 +209,3 @@ def with_min_proba(predictions: Column, level: int, floors: Mapping[int, float]
         return predictions
     return F.filter(predictions, lambda p: p["proba"] >= floors[level])
 
-
-def top_n_of(level: int) -> int:
-    return fixed.TOP_N[level]

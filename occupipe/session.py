@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Temporary folders of local sessions that name no checkpoint folder.
+_LOCAL: dict[str, str] = {}
+
+
 def local_session(cores: int | str = "*", name: str = "occupipe") -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
     partitions = str(cores) if str(cores).isdigit() else "8"
@@ -33,10 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="occupipe-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="occupipe-")
+        base = _LOCAL[context.applicationId]
     return os.path.join(base, uuid.uuid4().hex)
 
 

@@ -106,8 +106,11 @@ def test_others_and_nested(spark):
         [(1, "job", [("11", 0.1), ("25", 0.05), ("19", 0.01), ("11", 0.9)])],
         "id int, name string, p array<struct<code:string,proba:double>>",
     )
-    out = X.apply_others(df, "p", 0.2, tax, ["id"]).orderBy("rank").collect()
+    out = X.apply_others(df, "id", "p", 0.2, tax).first()["converted"]
     assert [r["code"] for r in out] == ["19", "25", "19", "11"]
+    assert [r["changed"] for r in out] == [True, False, False, False]
+    single = df.withColumn("p", F.array(F.struct(F.lit("1").alias("code"), F.lit(0.1).alias("proba"))))
+    assert X.apply_others(single, "id", "p", 0.2, tax).first()["converted"][0]["code"] == "1"
     row = X.nested_result(df, "id", ["name"], "p", tax, n=3).first()
     assert row["top_prediction"].asDict() == {"code": "11", "title": "a", "description": "d", "confidence": "10.00%"}
     assert [o["code"] for o in row["other_predictions"]] == ["25", "19"]
