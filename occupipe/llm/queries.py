@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from occupipe.llm import feistel, simhash, token_cache
+from occupipe.llm import bradley_terry, counterfactual, feistel, packing, pivot_index, simhash, token_cache
+from occupipe.llm.common import bucket_of
 from occupipe.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +30,44 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def scored(rows: DataFrame, parts: int, held: int) -> DataFrame:
+    held_out = F.coalesce(bucket_of(F.col("doc_id"), parts) == held, F.lit(False))
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return rows.select("doc_id", held_out.alias("held_out"), "score", predicted)
+
+
+@query("op1_bradley_terry_quality")
+def bradley_terry_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return scored(bradley_terry.quality(documents, labels, parts=3, held=1), 3, 1)
+
+
+@query("op2_mixture_packing")
+def mixture_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "window_id")
+
+
+TOP_PRODUCTS_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    CAST(list_sum(list_transform(range(1, len(q.x) + 1), i -> q.x[i] * c.x[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op3_pivot_top_products", TOP_PRODUCTS_SQL)
+def pivot_top_products(spark: SparkSession, folder: str) -> DataFrame:
+    return pivot_index.top_products(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 @query("op6_token_counts")
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
@@ -44,6 +83,13 @@ def feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op9_counterfactual_toxicity")
+def counterfactual_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = counterfactual.learn(documents, labels, parts=5, held=0)
+    return scored(counterfactual.score(documents, model), 5, 0)
+
+
 @query("op10_simhash_components")
 def simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"), words=4, radius=4)
