@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from occupipe.llm import bradley_terry, counterfactual, feistel, packing, pivot_index, simhash, token_cache
+from occupipe.llm import (
+    bradley_terry,
+    counterfactual,
+    cross_entropy,
+    decontaminate,
+    feistel,
+    packing,
+    pivot_index,
+    simhash,
+    templates,
+    token_cache,
+)
 from occupipe.llm.common import bucket_of
 from occupipe.session import shared_dir
 
@@ -68,6 +79,20 @@ def pivot_top_products(spark: SparkSession, folder: str) -> DataFrame:
     return pivot_index.top_products(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+@query("op4_cross_entropy_difference")
+def cross_entropy_difference(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents against the conversations as the target domain."""
+    return cross_entropy.cross_entropy_difference(table(spark, folder, "documents"), table(spark, folder, "conversations"))
+
+
+@query("op5_template_line_dedup")
+def template_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    cut = templates.without_recurring(documents, dropped="dropped_records")
+    text = F.coalesce("text", F.lit(""))
+    return cut.select("doc_id", "dropped_records", F.octet_length(text).cast("long").alias("n_bytes"), "text")
+
+
 @query("op6_token_counts")
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
@@ -75,6 +100,11 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+@query("op7_qgram_decontamination")
+def qgram_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op8_feistel_shards")
 def feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = feistel.shuffle_into_shards(table(spark, folder, "documents"), shards=24, seed=8)

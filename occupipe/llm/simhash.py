@@ -80,9 +80,9 @@ def segment_masks(segments: int) -> np.ndarray:
 
 
 def segments_for(n: int, radius: int) -> int:
-    """Segments enough that about one fingerprint in four meets a stranger under a key."""
+    """Segments enough that a fingerprint meets some 16 strangers at most under a key."""
     segments = radius + 2
-    while 64 * (segments - radius) // segments < n.bit_length() + 2 and segments < 16:
+    while 64 * (segments - radius) // segments < n.bit_length() - 4 and segments < 16:
         segments += 1
     return segments
 
