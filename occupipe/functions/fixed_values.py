@@ -79,9 +79,10 @@ REQUIRED_KEYS = [
     "numberOfVacancies",
 ]
 
-# --- top-n per level, and the unused probability floor --------------------------
+# --- top-n and loss weight per level, and the least probability in a loss ---------
 TOP_N = {1: 2, 2: 5, 3: 5, 4: 5, 5: 10}
 LEVEL_LOSS_WEIGHTS = {1: 20.0, 2: 5.0, 3: 3.0, 4: 2.0, 5: 1.0}
+PROBABILITY_FLOOR = 1e-15
 
 # --- link domains left out of link lists -----------------------------------------
 BLOCKED_LINK_PREFIXES = [
@@ -126,7 +127,6 @@ COMMON_PHRASES = [
 AUGMENT_SHARE = 0.5
 AUGMENT_MIN_WORDS = 10
 NEAREST_WORDS = 5
-TRIM_WORDS = {"translate": 200, "summarise": 400, "continue": 500}
 MASK_SHARE = 0.15
 IGNORE_LABEL = -100
 SEQUENCE_LENGTH = 512

@@ -265,13 +265,13 @@ def record_key(column: Column) -> Column:
 
 def percent(column: Column) -> Column:
     """``0.1234`` as ``12.34%``."""
-    return F.format_string("%.2f%%", column * 100)
+    return F.when(column.isNotNull(), F.format_string("%.2f%%", column * 100))
 
 
 def confidence_band(column: Column) -> Column:
     """low, medium or high, for a percentage."""
     return (
-        F.when(column < 33.33, "low").when(column < 66.66, "medium").otherwise("high")
+        F.when(column < 33.33, "low").when(column < 66.66, "medium").when(column.isNotNull(), "high")
     )
 
 

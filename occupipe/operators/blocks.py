@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from occupipe.functions import fixed_values as fixed
 from occupipe.functions import text as T
 from occupipe.functions.binding import let
-from occupipe.operators.groups import is_small
+from occupipe.operators.groups import is_small, lookup_each
 
 # Tags at which an open paragraph ends.
 BLOCK_TAGS = (
@@ -195,13 +195,41 @@ def small_lexicon(lexicon: DataFrame, word: str = "word") -> list[str] | None:
     return sorted(row["w"] for row in words.collect()) if is_small(words, LEXICON_LIMIT) else None
 
 
-def starts_with_verb(cleaned: Column, verbs: Sequence[str]) -> Column:
-    """Verb test against a word list small enough to travel with the plan."""
-    known = list(verbs)
-    return let(cleaned, lambda text: verb_test(text, first_word(text).isin(known)))
+def starts_with_verb(cleaned: Column, verbs: Sequence[str] | Column) -> Column:
+    """Verb test against a word list small enough to travel with the plan, or a row's own array."""
+    known = (lambda w: F.array_contains(verbs, w)) if isinstance(verbs, Column) else (lambda w: w.isin(list(verbs)))
+    return let(cleaned, lambda text: verb_test(text, known(first_word(text))))
 
 
-def scored_lists(lists: Column, verbs: Sequence[str]) -> Column:
+def opening_words(markup: Column) -> Column:
+    """The distinct words that the verb test can look up in a document."""
+    word = lambda opening: lambda part: first_word(opening(part))
+    parts = [
+        F.transform(F.flatten(html_lists(markup)), word(T.item_opening)),
+        F.transform(F.flatten(paragraph_lists(markup)), word(T.item_opening)),
+        F.transform(paragraphs(markup), word(T.paragraph_opening)),
+    ]
+    return F.array_distinct(F.concat(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts]))
+
+
+def with_verbs(
+    df: DataFrame, markup: Column, lexicon: DataFrame | Sequence[str], word: str = "word", out: str = "_verbs"
+) -> tuple[DataFrame, Sequence[str] | Column]:
+    """What ``starts_with_verb`` needs of a lexicon of any size.
+
+    A list, or a table of few words, goes with the plan. From a larger table each document
+    gets the array of those of its opening words that the table holds.
+    """
+    verbs = lexicon if not isinstance(lexicon, DataFrame) else small_lexicon(lexicon, word)
+    if verbs is not None:
+        return df, list(verbs)
+    known = lexicon.select(F.lower(word).alias("_on")).filter(F.col("_on").isNotNull()).distinct()
+    known = known.withColumn("_word", F.col("_on"))
+    found = lookup_each(df, opening_words(markup), known, "_on", "_word", out)
+    return found.withColumn(out, F.filter(out, lambda w: w.isNotNull())), F.col(out)
+
+
+def scored_lists(lists: Column, verbs: Sequence[str] | Column) -> Column:
     """Item arrays as an array of (items, n, verbs)."""
     def score(items: Column) -> Column:
         hits = F.filter(items, lambda item: starts_with_verb(T.item_opening(item), verbs))
@@ -269,12 +297,12 @@ def chosen_list(lists: Column) -> Column:
     return let(F.transform(lists, final), choose)
 
 
-def best_list(lists: Column, verbs: Sequence[str]) -> Column:
+def best_list(lists: Column, verbs: Sequence[str] | Column) -> Column:
     """Score, merge and choose, in that order."""
     return chosen_list(merged_lists(scored_lists(lists, verbs)))
 
 
-def verb_paragraphs(markup: Column, verbs: Sequence[str]) -> Column:
+def verb_paragraphs(markup: Column, verbs: Sequence[str] | Column) -> Column:
     """All paragraphs led by a verb, joined by a space; empty if there is none."""
     hits = F.filter(
         paragraphs(markup), lambda p: starts_with_verb(T.paragraph_opening(p), verbs)
@@ -282,13 +310,14 @@ def verb_paragraphs(markup: Column, verbs: Sequence[str]) -> Column:
     return F.array_join(hits, " ").alias("verb_paragraphs")
 
 
-def extract_tasks(df: DataFrame, text: str, verbs: Sequence[str]) -> DataFrame:
+def extract_tasks(df: DataFrame, text: str, lexicon: Sequence[str] | DataFrame) -> DataFrame:
     """Pick the task text of each document and clean it.
 
     Adds ``branch`` and ``cleaned``. Documents under 100 words are cleaned whole. Others
     take the first of: tag list, paragraph list, verb paragraphs, everything. An extract
     under 50 words falls back to the whole document. Each stage sees null input unless
-    the one before it found nothing, so work stops at the first hit.
+    the one before it found nothing, so work stops at the first hit. ``lexicon`` is a list of
+    words or a table with a ``word`` column, of any size.
     """
     raw = T.clean_raw(F.col(text))
     staged = df.withColumn("_raw", raw).withColumn("_whole", T.clean_final(F.col("_raw")))
@@ -296,6 +325,7 @@ def extract_tasks(df: DataFrame, text: str, verbs: Sequence[str]) -> DataFrame:
         "_long", F.when(~T.shorter_than(F.col("_whole"), fixed.MIN_WORDS_DOCUMENT), F.col("_raw"))
     )
     staged = staged.withColumn("_markup", markup(F.col("_long")))
+    staged, verbs = with_verbs(staged, F.col("_markup"), lexicon)
     staged = staged.withColumn("_list", best_list(html_lists(F.col("_markup")), verbs))
     left = F.when(F.col("_list").isNull(), F.col("_markup"))
     staged = staged.withColumn("_plist", best_list(paragraph_lists(left), verbs))

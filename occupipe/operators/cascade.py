@@ -223,11 +223,10 @@ def score_levels(
 
 def level_losses(scored: DataFrame, labels: dict[int, str]) -> DataFrame:
     """Weighted multi-level loss and the deepest level's accuracy over a scored frame."""
-    floor = 1e-15
     terms, deepest = None, max(labels)
     for k, label in labels.items():
         p = F.get(vector_to_array(F.col(f"proba_{k}")), F.col(label).cast("int"))
-        term = F.avg(-F.ln(F.greatest(p, F.lit(floor)))) * fixed.LEVEL_LOSS_WEIGHTS[k]
+        term = F.avg(-F.ln(F.greatest(p, F.lit(fixed.PROBABILITY_FLOOR)))) * fixed.LEVEL_LOSS_WEIGHTS[k]
         terms = term if terms is None else terms + term
     hit = (F.col(f"pred_{deepest}") == F.col(labels[deepest])).cast("int")
     return scored.agg(terms.alias("loss"), F.avg(hit).alias("accuracy"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from occupipe.functions import fixed_values as fixed
-from occupipe.operators.groups import is_small, with_row_index
+from occupipe.operators.groups import lookup_each, with_row_index
 
 MILLION = 1_000_000
 VOCABULARY_LIMIT = 500_000
@@ -35,37 +34,17 @@ def vocabulary(df: DataFrame, column: str, first_id: int = 0) -> DataFrame:
 
 
 def encode_tokens(df: DataFrame, key: str, column: str, vocab: DataFrame, unknown: int) -> DataFrame:
-    """Token ids and word numbers per document.
+    """Token ids and word numbers per nonblank document.
 
-    A vocabulary of at most ``VOCABULARY_LIMIT`` tokens goes to every task, and documents
-    are encoded where they lie: a shuffle of tokens would move more than the text itself.
-    A larger one is joined; a document's tokens are collected back in the map task.
+    A vocabulary counted to have at most ``VOCABULARY_LIMIT`` tokens goes to every task, and
+    documents are encoded where they lie: a shuffle of tokens would move more than the text
+    itself. A larger one is joined. Both give the same rows.
     """
-    if is_small(vocab, VOCABULARY_LIMIT):
-        known = vocab.select("token", "token_id").toPandas()
-        shared = df.sparkSession.sparkContext.broadcast(dict(zip(known["token"], known["token_id"].astype(int))))
-
-        @F.pandas_udf("array<int>")
-        def encode(batch: pd.Series) -> pd.Series:
-            ids = shared.value
-            return batch.map(lambda tokens: None if tokens is None else [ids.get(t, unknown) for t in tokens])
-
-        filled = nonblank(df, column)
-        encoded = filled.select(key, encode(word_tokens(F.col(column))).alias("input_ids"))
-        return encoded.withColumn("word_ids", F.transform("input_ids", lambda _, i: i))
-    return _encode_by_join(df, key, column, vocab, unknown)
-
-
-def _encode_by_join(df: DataFrame, key: str, column: str, vocab: DataFrame, unknown: int) -> DataFrame:
-    rows = df.select(key, F.posexplode(word_tokens(F.col(column))).alias("pos", "token"))
-    joined = rows.join(vocab, "token", "left")
-    entry = F.struct("pos", F.coalesce("token_id", F.lit(unknown)).alias("id"))
-    grouped = joined.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_t"))
-    return grouped.select(
-        key,
-        F.transform("_t", lambda t: t["id"]).alias("input_ids"),
-        F.transform("_t", lambda t: t["pos"]).alias("word_ids"),
-    )
+    texts = nonblank(df, column).select(key, column)
+    found = lookup_each(texts, word_tokens(F.col(column)), vocab, "token", "token_id", "_ids", VOCABULARY_LIMIT)
+    ids = F.transform("_ids", lambda i: F.coalesce(i, F.lit(unknown)).cast("int"))
+    encoded = found.select(key, ids.alias("input_ids"))
+    return encoded.withColumn("word_ids", F.transform("input_ids", lambda _, i: i))
 
 
 def fixed_length(ids: Column, n: int = fixed.SEQUENCE_LENGTH, pad: int = 0) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from occupipe.functions import arrays as A
@@ -62,9 +62,10 @@ def accuracy_by_prefix(per_code: DataFrame, code: str, k: int, at_least: int, go
 
 def shares(df: DataFrame, column: str) -> DataFrame:
     """Value counts divided by the total."""
-    counted = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    return counted.withColumn("share", F.col("n") / total)
+    known = df.filter(F.col(column).isNotNull())
+    counted = known.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    # Counted first, so that the distinct values are not gathered in one task for their sum.
+    return counted.withColumn("share", F.col("n") / F.lit(known.count()))
 
 
 def group_percent(df: DataFrame, group: str, flag: str) -> DataFrame:
@@ -142,8 +143,13 @@ def class_report(df: DataFrame, label: str, predicted: str) -> DataFrame:
 
 
 def weighted_loss(df: DataFrame, p_true: dict[int, str], weights: dict[int, float] = fixed.LEVEL_LOSS_WEIGHTS) -> DataFrame:
-    """Sum over levels of weight times mean negative log probability of the true class."""
-    terms = [F.avg(-F.ln(F.col(column))) * weights[k] for k, column in p_true.items()]
+    """Sum over levels of weight times mean negative log probability of the true class.
+
+    A probability of 0 counts as ``fixed.PROBABILITY_FLOOR``; its logarithm would be null and
+    the worst rows would drop out of the mean.
+    """
+    floor = F.lit(fixed.PROBABILITY_FLOOR)
+    terms = [F.avg(-F.ln(F.greatest(F.when(F.col(c).isNotNull(), floor), F.col(c)))) * weights[k] for k, c in p_true.items()]
     total = terms[0]
     for term in terms[1:]:
         total = total + term

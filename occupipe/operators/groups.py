@@ -9,12 +9,16 @@ they are neither sorted nor shuffled when the cutoffs are few.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
-from occupipe.session import cut_lineage
+from occupipe.session import cut_lineage, through_table
 
 SLICES = 1 << 16
 LOOKUP_LIMIT = 200_000
@@ -48,28 +52,43 @@ def derived_lookup(df: DataFrame) -> DataFrame:
     return lookup(cut_lineage(df))
 
 
-def lookup_each(
-    df: DataFrame, key: str, codes: Column, n: int, table: DataFrame, on: str, value: str, out: str
-) -> DataFrame:
-    """For an array of up to ``n`` codes, the array of their values in a table, in order.
+def lookup_each(df: DataFrame, codes: Column, table: DataFrame, on: str, value: str, out: str, limit: int = LOOKUP_LIMIT) -> DataFrame:
+    """For an array of codes of any length, the array of their values in a table, in order.
 
-    ``table`` has one row per code in ``on``; a code without a row gives null. A small
-    table is broadcast once and probed ``n`` times per row in one narrow stage. A larger
-    one is joined by shuffle on exploded codes, which are then regrouped by ``key``.
+    ``table`` has one row per code in ``on``; a code without a row gives null, a null array
+    null and an empty one empty. A table counted to be small goes to every task, where each
+    Arrow batch is looked up in one step and nothing is shuffled. A larger one is joined by
+    shuffle on the codes; rows are told apart by a number of their own, so repeated rows stay
+    apart. Both ways give the same rows.
     """
-    if is_small(table):
-        side = F.broadcast(table.select(F.col(on).alias("_on"), F.col(value).alias("_value")))
-        wide = df.withColumn("_codes", codes)
-        for i in range(n):
-            own = side.select(F.col("_on").alias(f"_on{i}"), F.col("_value").alias(f"_value{i}"))
-            wide = wide.join(own, F.get("_codes", F.lit(i)) == F.col(f"_on{i}"), "left")
-        found = F.slice(F.array(*[F.col(f"_value{i}") for i in range(n)]), 1, F.size("_codes"))
-        return wide.select(*df.columns, found.alias(out))
-    rows = df.select(key, F.posexplode(F.slice(codes, 1, n)).alias("_at", "_code"))
-    joined = rows.join(table.select(F.col(on).alias("_on"), value), F.col("_code") == F.col("_on"), "left")
-    ranked = F.array_sort(F.collect_list(F.struct("_at", F.struct(value).alias("_v"))))
-    grouped = joined.groupBy(key).agg(F.transform(ranked, lambda e: e["_v"][value]).alias(out))
-    return df.join(grouped, key, "left")
+    side = table.filter(F.col(on).isNotNull()).select(F.col(on).alias("_on"), F.col(value).alias("_value"))
+    if is_small(side, limit):
+        known = side.toArrow()
+        shared = df.sparkSession.sparkContext.broadcast((known.column("_on").combine_chunks(), known.column("_value").combine_chunks()))
+
+        names = df.columns
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, values = shared.value
+            for batch in batches:
+                asked = batch.column(len(names))
+                at = pc.index_in(asked.flatten().cast(keys.type), value_set=keys, skip_nulls=True)
+                sizes = pc.fill_null(pc.list_value_length(asked), 0).to_numpy(zero_copy_only=False)
+                ends = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+                found = pa.ListArray.from_arrays(ends, values.take(at), mask=pc.is_null(asked))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], found], names=[*names, out])
+
+        kind = StructType([*df.schema.fields, StructField(out, ArrayType(side.schema["_value"].dataType))])
+        return df.withColumn("_codes", codes).mapInArrow(probe, kind)
+    numbered = through_table(df.withColumn("_codes", codes).withColumn("_row", F.monotonically_increasing_id()))
+    rows = numbered.select("_row", F.posexplode("_codes").alias("_at", "_code"))
+    joined = rows.join(side, F.col("_code") == F.col("_on"), "left")
+    ranked = F.array_sort(F.collect_list(F.struct("_at", F.struct("_value").alias("_v"))))
+    grouped = joined.groupBy("_row").agg(F.transform(ranked, lambda e: e["_v"]["_value"]).alias(out))
+    # A row without codes is not among the groups.
+    empty = F.when(F.size("_codes") == 0, F.slice(F.array(F.lit(None).cast(dict(side.dtypes)["_value"])), 1, 0))
+    rejoined = numbered.join(grouped, "_row", "left")
+    return rejoined.select(*df.columns, F.coalesce(out, empty).alias(out))
 
 
 def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:

@@ -107,7 +107,7 @@ def by_row_id(left: DataFrame, right: DataFrame, row_id: str) -> DataFrame:
 
 
 def similarity_of(
-    df: DataFrame, key: str, label: str, predicted: str, matrix: DataFrame, n: int = 10
+    df: DataFrame, key: str, label: str, predicted: str, matrix: DataFrame
 ) -> DataFrame:
     """Inverse similarity of each (label, predicted) pair, as an array in rank order.
 
@@ -117,7 +117,7 @@ def similarity_of(
     costs = matrix.select(pair("code_a", "code_b").alias("_pair"), (1 - F.col("sim")).alias("_cost"))
     rows = df.select(key, label, predicted)
     pairs = F.transform(predicted, lambda code: pair(F.col(label), code))
-    return lookup_each(rows, key, pairs, n, costs, "_pair", "_cost", "costs").select(key, label, "costs")
+    return lookup_each(rows, pairs, costs, "_pair", "_cost", "costs").select(key, label, "costs")
 
 
 def matrix_to_long(matrix: DataFrame, row_label: str) -> DataFrame:

@@ -20,6 +20,7 @@ from occupipe.operators.groups import (
     share_below,
     with_row_index,
 )
+from occupipe.session import through_table
 
 
 def sample_share(df: DataFrame, ids: Sequence[str], share: float, seed: int = 1) -> DataFrame:
@@ -93,16 +94,22 @@ def exact_split(
 
 
 def head_split(df: DataFrame, order: str, percent: int = 5) -> DataFrame:
-    """Add ``split``: the first percent of rows in order is validation.
+    """Add ``split``: the first percent of rows in order, and no more, is validation.
 
-    Only the order column is sorted; the rows are compared with the one cutoff.
+    Only the order column is sorted, with a number of each row's own that settles ties; the
+    rows are compared with the one cutoff. The rows are written once, so that the numbers stay.
     """
-    ordered = with_row_index(df.select(order), [F.asc(order)])
+    numbered = through_table(df.withColumn("_row", F.monotonically_increasing_id()))
+    ordered = with_row_index(numbered.select(order, "_row"), [F.asc(order), F.asc("_row")])
     size = ordered.count() * percent // 100
     if size == 0:
         return df.withColumn("split", F.lit("train"))
-    cutoff = ordered.filter(F.col("row_index") == size - 1).first()[order]
-    return df.withColumn("split", F.when(F.col(order) <= F.lit(cutoff), "validation").otherwise("train"))
+    cutoff = ordered.filter(F.col("row_index") == size - 1).first()
+    value = F.lit(cutoff[order]).cast(dict(df.dtypes)[order])
+    before = F.col(order).isNull() if cutoff[order] is not None else F.lit(False)
+    tie = F.col(order).eqNullSafe(value) & (F.col("_row") <= cutoff["_row"])
+    first = F.coalesce(F.col(order) < value, before) | tie
+    return numbered.withColumn("split", F.when(first, "validation").otherwise("train")).drop("_row")
 
 
 def split_audit(df: DataFrame, code: str) -> DataFrame:

@@ -82,11 +82,11 @@ def prefix_hit(predicted: Column, label: Column) -> Column:
 
 
 def apply_others(
-    df: DataFrame, key: str, predictions: str, threshold: float, taxonomy: DataFrame, n: int = 10, out: str = "converted"
+    df: DataFrame, predictions: str, threshold: float, taxonomy: DataFrame, out: str = "converted"
 ) -> DataFrame:
     """Replace unsure predictions by the residual code, where the taxonomy has one.
 
-    ``predictions`` is an array of up to ``n`` (code, proba) of one level; ``out`` holds
+    ``predictions`` is an array, of any length, of (code, proba) of one level; ``out`` holds
     the same with ``changed`` added. One-digit codes and codes that end in 9 stay.
     """
     residual = taxonomy.select("code").filter(F.endswith("code", F.lit("9"))).distinct()
@@ -97,7 +97,7 @@ def apply_others(
         return F.when(unsure, K.others(p["code"]))
 
     wanted = F.transform(predictions, candidate)
-    found = lookup_each(df, key, wanted, n, residual, "code", "_residual", "_found")
+    found = lookup_each(df, wanted, residual, "code", "_residual", "_found")
     converted = F.zip_with(
         predictions,
         "_found",
@@ -179,7 +179,7 @@ def nested_result(
     titled = taxonomy.select("code", F.struct("title", "definition").alias("_title"))
     best = df.withColumn("_best", F.slice(predictions, 1, n))
     codes = F.transform("_best", lambda p: p["code"])
-    found = lookup_each(best, key, codes, n, titled, "code", "_title", "_titles")
+    found = lookup_each(best, codes, titled, "code", "_title", "_titles")
 
     def entry(p: Column, t: Column) -> Column:
         if require_titles:

@@ -174,14 +174,18 @@ def line_scan(t):
 
 @query(
     "csv_after_preamble",
-    "SELECT s_suppkey AS id, s_name AS name FROM supplier",
+    "SELECT s_suppkey AS id, s_name || chr(10) || 'No. ' || s_suppkey AS name FROM supplier",
 )
 def csv_after_preamble(t):
     path = shared_dir(t.spark)
-    head = t.spark.createDataFrame([(-3, "Table 1"), (-2, ""), (-1, "id,name")], "at bigint, value string")
-    body = t.supplier.select(F.col("s_suppkey").alias("at"), F.concat_ws(",", "s_suppkey", "s_name").alias("value"))
-    # A spreadsheet export is one ordered file; the sort keeps the preamble in front.
-    head.unionByName(body).orderBy("at").select("value").write.text(path)
+    lines = [(f, at, line) for f in (0, 1) for at, line in ((-3, "Table 1"), (-2, ""), (-1, "id,name"))]
+    head = t.spark.createDataFrame(lines, "file int, at bigint, value string")
+    cell = F.concat(F.lit('"'), "s_name", F.lit("\nNo. "), F.col("s_suppkey").cast("string"), F.lit('"'))
+    at = F.col("s_suppkey")
+    body = t.supplier.select((at % 2).cast("int").alias("file"), at.alias("at"), F.concat_ws(",", at, cell).alias("value"))
+    # Two exports, each with its own preamble; the sort keeps it in front.
+    files = head.unionByName(body).repartition("file").sortWithinPartitions("file", "at")
+    files.drop("at").write.partitionBy("file").text(path)
     return readers.read_csv_after_preamble(t.spark, path, 2, "id bigint, name string")
 
 

@@ -345,9 +345,9 @@ def similar_vectors_query(t):
     f"""
     WITH {ADS_SQL}, m AS (SELECT {CODE_SQL.format('p_partkey')} AS a, {CODE_SQL.format('(p_partkey + 7 * j)')} AS b,
         1.0 - j / 10.0 AS sim FROM part, range(0, 5) r(j) WHERE p_size > 10),
-    x AS (SELECT ad_id, code, unnest(predicted) AS p, unnest(range(10)) AS rank FROM ads)
+    x AS (SELECT row, ad_id, code, unnest(predicted) AS p, unnest(range(10)) AS rank FROM (SELECT *, row_number() OVER () AS row FROM ads))
     SELECT ad_id, code, array_to_string(list(coalesce(CAST(CAST(round((1 - sim) * 10) AS INT) AS VARCHAR), '-') ORDER BY rank), ',') AS costs
-    FROM x LEFT JOIN m ON code = a AND p = b GROUP BY ad_id, code
+    FROM x LEFT JOIN m ON code = a AND p = b GROUP BY row, ad_id, code
     """,
 )
 def similarity_costs(t):

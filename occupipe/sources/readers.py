@@ -35,11 +35,20 @@ def read_csv_dirs(spark: SparkSession, parts: dict[str, StructType | str], **opt
 
 
 def read_csv_after_preamble(spark: SparkSession, path: str, skip: int, schema: StructType | str) -> DataFrame:
-    """CSV whose header follows ``skip`` lines, as in spreadsheet exports."""
-    header_at = skip
-    indexed = spark.sparkContext.textFile(path).zipWithIndex()
-    lines = indexed.filter(lambda pair: pair[1] > header_at).map(lambda pair: pair[0])
-    return spark.read.schema(schema).csv(lines)
+    """CSV whose header follows ``skip`` lines in every file, as in spreadsheet exports.
+
+    Each file is cut after its own header and parsed as a whole, so quoted cells may hold
+    newlines. Such exports are small files: one file is one row here.
+    """
+    whole = spark.read.text(path, wholetext=True)
+    rest = F.regexp_replace("value", rf"^(?:[^\r\n]*(?:\r\n|\n|\r)){{0,{skip + 1}}}", "")
+    # A row ends at a line end outside quotes: an even number of quotes stands before it.
+    rows = F.regexp_extract_all(rest, F.lit(r'(?:[^"\r\n]++|"(?:[^"]++|"")*+")++'), F.lit(0))
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    lines = whole.select(F.explode(rows).alias("line")).filter(F.trim("line") != "")
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kind)
+    parsed = F.from_csv("line", columns, {"escape": '"'})
+    return lines.select(parsed.alias("row")).select("row.*")
 
 
 def read_json_records(

@@ -116,6 +116,19 @@ def test_lexicon_join_agrees_with_word_list(spark):
     assert inline.filter("is_verb").count() > 0
 
 
+def test_extraction_takes_a_lexicon_of_any_size(spark, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html")
+    pages = pages.union(spark.createDataFrame([(-1, None), (-2, ""), (-2, "")], pages.schema))
+    paragraphs = "".join(f"<p>• the {w} thing to do here</p>" for w in "abcdefgh") + "<p>" + "and more words " * 60 + "</p>"
+    pages = pages.union(spark.createDataFrame([(-3, paragraphs)], pages.schema))
+    lexicon = spark.createDataFrame([("The",), ("de",), ("and",), ("la",), (None,), ("the",)], "word string")
+    run = lambda: sorted(map(repr, B.extract_tasks(pages, "html", lexicon).collect()))
+    small = run()
+    monkeypatch.setattr(B, "LEXICON_LIMIT", 3)
+    assert B.small_lexicon(lexicon) is None
+    assert run() == small and any("list" in row for row in small)
+
+
 def test_sections_and_links(spark):
     html = (
         "<h2>About us</h2><p>no</p><h2>Job duties</h2><p>first</p><ul><li>a</li><li>b</li></ul>"

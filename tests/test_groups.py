@@ -45,16 +45,17 @@ def test_lookup_falls_back_to_a_plain_join(spark):
 
 
 def test_lookup_each_both_ways(spark, monkeypatch):
-    df = spark.createDataFrame([(1, ["a", "z", "b"]), (2, []), (3, ["b"])], "id int, codes array<string>")
-    table = spark.createDataFrame([("a", 1.5), ("b", None), ("c", 3.0)], "code string, v double")
-    run = lambda: {
-        r["id"]: r["out"] for r in G.lookup_each(df, "id", F.col("codes"), 3, table, "code", "v", "out").collect()
-    }
-    narrow = run()
-    monkeypatch.setattr(G, "is_small", lambda *a: False)
-    wide = run()
-    assert narrow == {1: [1.5, None, None], 2: [], 3: [None]}
-    assert {k: v or [] for k, v in wide.items()} == narrow
+    rows = [(1, ["a", "z", "b"]), (2, []), (3, ["b"]), (4, None), (5, [None, "c"]), (3, ["c"] * 14), (3, ["c"] * 14)]
+    df = spark.createDataFrame(rows, "id int, codes array<string>").repartition(3)
+    table = spark.createDataFrame([("a", 1.5, ["x", "y"]), ("b", None, []), ("c", 3.0, None)], "code string, v double, w array<string>")
+    narrow = sorted(map(repr, G.lookup_each(df, F.col("codes"), table, "code", "v", "out").collect()))
+    wide = sorted(map(repr, G.lookup_each(df, F.col("codes"), table, "code", "v", "out", limit=0).collect()))
+    assert narrow == wide and len(narrow) == len(rows)
+    found = {(r["id"], tuple(r["codes"]) if r["codes"] is not None else None): r["out"] for r in G.lookup_each(df, F.col("codes"), table, "code", "v", "out").collect()}
+    assert found[1, ("a", "z", "b")] == [1.5, None, None] and found[2, ()] == [] and found[4, None] is None
+    assert found[5, (None, "c")] == [None, 3.0] and found[3, ("c",) * 14] == [3.0] * 14
+    lists = [sorted(map(repr, G.lookup_each(df, F.col("codes"), table, "code", "w", "out", limit=n).collect())) for n in (0, 9)]
+    assert lists[0] == lists[1]
 
 
 def test_stratified_split_rules(spark):
@@ -78,6 +79,10 @@ def test_exact_and_head_splits(spark):
     assert out.select("id").distinct().count() == 125
     head = S.head_split(df.repartition(5), "id", 5)
     assert sorted(r["id"] for r in head.filter("split = 'validation'").collect()) == list(range(15))
+    tied = S.head_split(df.select(F.lit(1).alias("same"), "id").repartition(5), "same", 5)
+    assert tied.filter("split = 'validation'").count() == 15 and tied.count() == 300
+    nulls = S.head_split(df.select(F.when(F.col("id") < 290, F.lit(None)).otherwise(F.col("id")).alias("k"), "id"), "k", 5)
+    assert nulls.filter("split = 'validation' and k is null").count() == 15
 
 
 def test_holdout_has_no_first_row(spark):
@@ -106,11 +111,11 @@ def test_others_and_nested(spark):
         [(1, "job", [("11", 0.1), ("25", 0.05), ("19", 0.01), ("11", 0.9)])],
         "id int, name string, p array<struct<code:string,proba:double>>",
     )
-    out = X.apply_others(df, "id", "p", 0.2, tax).first()["converted"]
+    out = X.apply_others(df, "p", 0.2, tax).first()["converted"]
     assert [r["code"] for r in out] == ["19", "25", "19", "11"]
     assert [r["changed"] for r in out] == [True, False, False, False]
     single = df.withColumn("p", F.array(F.struct(F.lit("1").alias("code"), F.lit(0.1).alias("proba"))))
-    assert X.apply_others(single, "id", "p", 0.2, tax).first()["converted"][0]["code"] == "1"
+    assert X.apply_others(single, "p", 0.2, tax).first()["converted"][0]["code"] == "1"
     row = X.nested_result(df, "id", ["name"], "p", tax, n=3).first()
     assert row["top_prediction"].asDict() == {"code": "11", "title": "a", "description": "d", "confidence": "10.00%"}
     assert [o["code"] for o in row["other_predictions"]] == ["25", "19"]

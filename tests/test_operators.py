@@ -97,7 +97,7 @@ def test_whole_words_are_masked_together(spark):
 
 
 def test_encoding_by_map_and_by_join(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "B a, é!"), (2, "  "), (3, "zz a")], "id int, text string")
+    docs = spark.createDataFrame([(1, "B a, é!"), (2, "  "), (3, "zz a"), (4, None), (5, "")], "id int, text string")
     vocab = C.vocabulary(docs, "text", first_id=2)
     assert [r["token"] for r in vocab.orderBy("token_id").collect()] == ["!", ",", "a", "b", "zz", "é"]
     small = vocab.filter("token <> 'zz'")
@@ -114,12 +114,15 @@ def test_encoding_by_map_and_by_join(spark, monkeypatch):
 def test_substitution_counts(spark, monkeypatch, limit):
     monkeypatch.setattr(G, "LEXICON_LIMIT", limit)
     text = " ".join(["cat"] * 30 + ["dog"] * 10)
-    df = spark.createDataFrame([(1, text), (2, "dog only"), (3, None)], "id int, text string")
+    df = spark.createDataFrame([(1, text), (2, "dog only"), (3, None), (4, ""), (5, "  "), (6, "cat"), (6, "cat")], "id int, text string")
     table = spark.createDataFrame([("cat", "lion"), ("cat", "tiger")], "word string, replacement string")
     rows = {r["id"]: r["out"] for r in G.substitute_words(df, "id", "text", table, "out").collect()}
     new = rows[1].split(" ")
     assert len(new) == 40 and sum(w in ("lion", "tiger") for w in new) == 20 and new.count("dog") == 10
-    assert rows[2] == "dog only" and rows[3] is None
+    assert rows[2] == "dog only" and rows[3] is None and rows[4] == "" and rows[6] in ("lion", "tiger")
+    monkeypatch.setattr(G, "LEXICON_LIMIT", 500_000 - limit)
+    other = sorted(map(repr, G.substitute_words(df, "id", "text", table, "out").collect()))
+    assert other == sorted(map(repr, G.substitute_words(df, "id", "text", table, "out").collect())) and len(other) == 7
 
 
 def test_injection_adds_phrases(spark):
@@ -212,3 +215,20 @@ def test_perplexity_overflows_to_infinity(spark):
 def test_matrix_to_long(spark):
     df = spark.createDataFrame([("1", 1.0, 0.2), ("2", 0.2, 1.0)], "code string, `1` double, `2` double")
     assert {(r["code_a"], r["code_b"]): r["sim"] for r in J.matrix_to_long(df, "code").collect()}[("1", "2")] == 0.2
+
+
+def test_a_probability_of_zero_counts_in_the_loss(spark):
+    df = spark.createDataFrame([(0.5, 1.0), (0.0, 1.0), (None, 1.0)], "p1 double, p2 double")
+    got = E.weighted_loss(df, {1: "p1", 2: "p2"}, {1: 2.0, 2: 1.0}).first()["loss"]
+    import math
+
+    assert got == pytest.approx(2 * (math.log(2) - math.log(1e-15)) / 2)
+
+
+def test_title_search_keeps_ads_without_a_description(spark):
+    from occupipe.operators.search import title_search
+
+    ads = spark.createDataFrame([(1, "Data Clerk", None), (2, "Data Clerk", "a scam offer"), (3, "Data Clerk", "fine")], "id int, t string, d string")
+    wanted = spark.createDataFrame([("11", "data clerk")], "code string, title string")
+    found = title_search(ads, "id", "t", wanted, description="d", exclude_description=["scam"])
+    assert {r["id"] for r in found.collect()} == {1, 3}

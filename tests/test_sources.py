@@ -121,6 +121,11 @@ def test_latin1_and_preamble(spark, tmp_path):
     (tmp_path / "p.csv").write_text("Title\n\nnote\n\nk,v\n1,a\n2,b\n")
     rows = readers.read_csv_after_preamble(spark, str(tmp_path / "p.csv"), 4, "k int, v string").collect()
     assert [(r["k"], r["v"]) for r in rows] == [(1, "a"), (2, "b")]
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many" / "a.csv").write_text('Title\nk,v\n1,"x\ny, ""z"""\n\n2,b\n')
+    (tmp_path / "many" / "b.csv").write_text("Other\r\nk,v\r\n3,c\r\n")
+    rows = readers.read_csv_after_preamble(spark, str(tmp_path / "many"), 1, "k int, v string").collect()
+    assert sorted((r["k"], r["v"]) for r in rows) == [(1, 'x\ny, "z"'), (2, "b"), (3, "c")]
 
 
 def test_streamed_records_equal_batch(spark, folder, tmp_path_factory):

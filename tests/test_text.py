@@ -143,3 +143,8 @@ def test_rank_ties(spark):
     row = df.select(A.top_n(F.col("p"), 2).alias("t"), A.argmax(F.col("p")).alias("m")).first()
     assert [e["idx"] for e in row["t"]] == [1, 0]
     assert row["m"] == 0
+
+
+def test_percent_and_band_of_null(spark):
+    row = spark.range(1).select(T.percent(F.lit(None).cast("double")).alias("p"), T.confidence_band(F.lit(None).cast("double")).alias("b")).first()
+    assert row["p"] is None and row["b"] is None
