@@ -29,6 +29,12 @@ def coin(seed: int, *columns: Column | str) -> Column:
     return F.xxhash64(*[F.col(c) if isinstance(c, str) else c for c in columns], F.lit(seed))
 
 
+def md5_coin(seed: int, *columns: Column | str) -> Column:
+    """A 60-bit hash that other engines can repeat: the head of an md5 of the values as text."""
+    text = F.concat_ws("|", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def share_below(hashed: Column, share: float | Column) -> Column:
     """Does the hash fall in the given share of the hash range?"""
     return F.pmod(hashed, F.lit(1_000_000)) < F.lit(share) * 1_000_000

@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from occupipe.operators.groups import (
-    coin,
     derived_lookup,
     first_by_hash,
     lookup,
+    md5_coin,
     share_below,
     with_row_index,
 )
@@ -24,7 +24,7 @@ from occupipe.session import through_table
 
 
 def sample_share(df: DataFrame, ids: Sequence[str], share: float, seed: int = 1) -> DataFrame:
-    return df.filter(share_below(coin(seed, *ids), share))
+    return df.filter(share_below(md5_coin(seed, *ids), share))
 
 
 def sample_share_per_group(
@@ -37,7 +37,7 @@ def sample_share_per_group(
 
 def random_split(df: DataFrame, ids: Sequence[str], train: float = 0.8, seed: int = 2021) -> DataFrame:
     """Add ``split``: train or test, by hash."""
-    return df.withColumn("split", F.when(share_below(coin(seed, *ids), train), "train").otherwise("test"))
+    return df.withColumn("split", F.when(share_below(md5_coin(seed, *ids), train), "train").otherwise("test"))
 
 
 def stratified_split(
@@ -129,7 +129,7 @@ def sample_with_replacement(df: DataFrame, row_id: str, k: int, seed: int = 1) -
     numbered = with_row_index(df.select(row_id), [F.asc(row_id)], "_at")
     n = numbered.count()
     draws = df.sparkSession.range(k).select(
-        F.col("id").alias("draw"), F.pmod(coin(seed, "id"), F.lit(max(n, 1))).alias("_at")
+        F.col("id").alias("draw"), F.pmod(md5_coin(seed, "id"), F.lit(max(n, 1))).alias("_at")
     )
     drawn = numbered.join(lookup(draws), "_at").select("draw", row_id)
     return df.join(derived_lookup(drawn), row_id).select("draw", *df.columns)

@@ -298,16 +298,16 @@ def membership_in_first(t):
 @query(
     "vector_cosine",
     """
-    WITH m AS (SELECT label, [avg(e[1]), avg(e[2]), avg(e[3]), avg(e[4])] AS c
-        FROM (SELECT label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) GROUP BY label),
-    j AS (SELECT vec_id, CAST(embedding AS DOUBLE[])[1:4] AS e, c FROM embeddings JOIN m USING (label))
+    WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    s AS (SELECT label, i, avg(e[i]) AS x FROM v, range(1, 65) r(i) GROUP BY label, i),
+    m AS (SELECT label, list(x ORDER BY i) AS c FROM s GROUP BY label), j AS (SELECT vec_id, e, c FROM v JOIN m USING (label))
     SELECT vec_id, round(list_inner_product(e, c), 6) AS dot, round(sqrt(list_inner_product(e, e)), 6) AS norm,
         round(list_cosine_similarity(e, c), 6) AS cosine FROM j
     """,
 )
 def vector_cosine(t):
-    data = t.embeddings.withColumn("e", F.slice(F.col("embedding").cast("array<double>"), 1, 4))
-    means = data.groupBy("label").agg(F.array(*[F.avg(F.get("e", F.lit(i))) for i in range(4)]).alias("c"))
+    data = t.embeddings.withColumn("e", F.col("embedding").cast("array<double>"))
+    means = data.groupBy("label").agg(F.array(*[F.avg(F.get("e", F.lit(i))) for i in range(64)]).alias("c"))
     e, c = F.col("e"), F.col("c")
     return data.join(means, "label").select(
         "vec_id",
@@ -315,4 +315,3 @@ def vector_cosine(t):
         F.round(A.norm(e), 6).alias("norm"),
         F.round(A.cosine(e, c), 6).alias("cosine"),
     )
-

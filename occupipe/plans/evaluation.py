@@ -235,15 +235,6 @@ def resolved_conflicts(t):
     return E.resolve_conflicts(t.orders, "o_custkey", "o_orderpriority", "o_totalprice")
 
 
-@query(
-    "extraction_coverage",
-    r"SELECT round(avg((coalesce(length(regexp_extract(text, '\d{3}', 0)), 0) > 0)::INT) * 100, 6) AS percent FROM documents",
-)
-def extraction_coverage(t):
-    found = t.documents.select(F.regexp_extract("text", r"\d{3}", 0).alias("found"))
-    return E.extraction_coverage(found, "found").withColumn("percent", F.round("percent", 6))
-
-
 @query(
     "dataset_profile",
     f"WITH {ADS_SQL} SELECT count(*) AS n, count(DISTINCT code) AS classes, round(count(*) / CAST(count(DISTINCT code) AS DOUBLE), 6) AS rows_per_class FROM ads",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from occupipe.functions import fixed_values as fixed
 from occupipe.functions import text as T
+from occupipe.plans.cleaning import RAW_SQL, chain_sql
 from occupipe.plans.registry import ADS_SQL, query
 from occupipe.session import shared_dir, through_table
 from occupipe.sources import readers, records, writers
@@ -111,6 +112,21 @@ def quarantined_records(t):
     return records.rejected(order_records(t)).select("ad_id", "reject_reason")
 
 
+@query(
+    "quarantine_sink",
+    """
+    SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'not found' WHEN o_orderkey % 13 = 0 THEN 'missing required key' ELSE 'kept' END AS fate,
+        count(*) AS n, min('AD-' || o_orderkey) AS first_ad FROM orders GROUP BY 1
+    """,
+)
+def quarantine_sink(t):
+    path = shared_dir(t.spark)
+    writers.write_with_quarantine(order_records(t).select("ad_id", "doc", "reject_reason"), path)
+    back = t.spark.read.parquet(path)
+    fate = F.when(F.col("rejected") == "true", F.col("reject_reason")).otherwise("kept")
+    return back.groupBy(fate.alias("fate")).agg(F.count(F.lit(1)).alias("n"), F.min("ad_id").alias("first_ad"))
+
+
 @query(
     "ingest_reconciliation",
     """
@@ -198,16 +214,28 @@ def bucketed_sink(t):
     return back.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("ids"))
 
 
-@query("processed_buckets", f"SELECT bucket, count(*) AS n, min(ad_id) AS first_ad, max(title) AS last_title FROM ({FLAT_SQL}) GROUP BY bucket")
+@query(
+    "processed_buckets",
+    f"SELECT bucket, count(*) AS n, min(ad_id) AS first_ad, max(title) AS last_title, CAST(sum(length(cleaned)) AS BIGINT) AS chars, min(md5(cleaned)) AS least_md5, max(md5(cleaned)) AS most_md5 "
+    f"FROM (SELECT *, coalesce({chain_sql(RAW_SQL.replace('{t}', 'description'))}, '') AS cleaned "
+    f"FROM (SELECT * REPLACE ('<p>The ' || title || ' role: ' || description || ', no. ' || views || '!</p>' AS description) FROM ({FLAT_SQL}))) GROUP BY bucket",
+)
 def processed_buckets(t):
     path = shared_dir(t.spark)
-    flat = records.flatten(order_records(t)).select("ad_id", "title", "description", "bucket")
+    told = F.concat(F.lit("<p>The "), "title", F.lit(" role: "), "description", F.lit(", no. "), F.col("totalNumberOfView").cast("string"), F.lit("!</p>"))
+    flat = records.flatten(order_records(t)).select("ad_id", "title", told.alias("description"), "bucket")
     writers.process_bucket(flat, "description", T.clean_final(T.clean_raw(F.col("description"))), path)
     back = readers.read_csv(
         t.spark, path, "ad_id string, title string, description string, processed_at timestamp, bucket string"
     )
+    cleaned = F.coalesce("description", F.lit(""))
     return back.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.min("ad_id").alias("first_ad"), F.max("title").alias("last_title")
+        F.count(F.lit(1)).alias("n"),
+        F.min("ad_id").alias("first_ad"),
+        F.max("title").alias("last_title"),
+        F.sum(F.length(cleaned)).alias("chars"),
+        F.min(F.md5(cleaned)).alias("least_md5"),
+        F.max(F.md5(cleaned)).alias("most_md5"),
     )
 
 

@@ -73,30 +73,41 @@ def class_expanded_baseline(t):
     return scored.groupBy("vec_id").agg(F.max_by("class", F.struct(p, -F.col("class"))).alias("predicted"))
 
 
-@query("two_input_features", "SELECT vec_id, CAST(128 AS BIGINT) AS size FROM embeddings")
+@query(
+    "two_input_features",
+    """
+    WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    b AS (SELECT vec_id, list_concat(list_transform(range(64, 0, -1), lambda i: 2 * e[i]), e) AS pair FROM v)
+    SELECT vec_id, len(pair) AS size, round(list_inner_product(pair, list_transform(range(1, 129), lambda i: CAST(i AS DOUBLE))), 4) AS weighted FROM b
+    """,
+)
 def two_input_features(t):
-    rows, _ = coded_vectors(t)
-    both = M.two_inputs(rows.withColumn("title", F.col("features")), "title", "features", "both")
-    return both.select("vec_id", F.size(vector_to_array("both")).cast("bigint").alias("size"))
+    e = F.col("embedding").cast("array<double>")
+    rows = M.with_vector(t.embeddings.withColumn("t", F.transform(F.reverse(e), lambda x: 2 * x)), "embedding", "features")
+    both = M.two_inputs(M.with_vector(rows, "t", "title"), "title", "features", "both").withColumn("both", vector_to_array("both"))
+    places = F.transform("both", lambda x, i: x * (i + 1))
+    total = F.aggregate(places, F.lit(0.0), lambda acc, x: acc + x)
+    return both.select("vec_id", F.size("both").cast("bigint").alias("size"), F.round(total, 4).alias("weighted"))
 
 
 @query(
     "mean_pooling",
     """
-    WITH x AS (SELECT label, CAST(embedding AS DOUBLE[]) AS e, vec_id % 4 <> 0 AS kept FROM embeddings)
-    SELECT label, round(sum(CASE WHEN kept THEN e[1] ELSE 0 END) / greatest(sum(kept::INT), 1e-9), 6) AS first,
-        round(sum(CASE WHEN kept THEN e[64] ELSE 0 END) / greatest(sum(kept::INT), 1e-9), 6) AS last FROM x GROUP BY label
+    WITH x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    k AS (SELECT vec_id, e, j, (vec_id + j) % 3 <> 0 AND vec_id % 10 <> 0 AS kept FROM x, range(0, 8) r(j)),
+    p AS (SELECT vec_id, d, sum(CASE WHEN kept THEN e[8 * j + d] ELSE 0 END) / greatest(sum(kept::INT), 1e-9) AS m FROM k, range(1, 9) r(d) GROUP BY vec_id, d)
+    SELECT vec_id, CAST(d AS INT) AS dim, round(m, 6) AS mean FROM p
     """,
 )
 def mean_pooling(t):
-    # Token vectors of a sequence are one row; here a label's vectors stand for its tokens.
+    # A vector of 64 numbers stands for a sequence of eight tokens of eight numbers each.
     e = F.col("embedding").cast("array<double>")
-    kept = (F.col("vec_id") % 4 != 0).cast("double")
-    per_row = t.embeddings.select("label", kept.alias("k"), M.mean_pooling(F.array(e), F.array(kept), 64).alias("v"))
-    summed = per_row.groupBy("label").agg(
-        *[(F.sum(F.get("v", F.lit(i)) * F.col("k")) / F.greatest(F.sum("k"), F.lit(1e-9))).alias(n) for i, n in ((0, "first"), (63, "last"))]
-    )
-    return summed.select("label", F.round("first", 6).alias("first"), F.round("last", 6).alias("last"))
+    numbers = F.sequence(F.lit(0), F.lit(7))
+    tokens = F.transform(numbers, lambda j: F.slice(e, j * 8 + 1, 8))
+    kept = lambda j: ((F.col("vec_id") + j) % 3 != 0) & (F.col("vec_id") % 10 != 0)
+    mask = F.transform(numbers, lambda j: F.when(kept(j), 1.0).otherwise(0.0))
+    pooled = t.embeddings.select("vec_id", F.posexplode(M.mean_pooling(tokens, mask, 8)).alias("at", "mean"))
+    return pooled.select("vec_id", (F.col("at") + 1).alias("dim"), F.round("mean", 6).alias("mean"))
 
 
 HEAD_SQL = """
@@ -134,18 +145,18 @@ def document_vectors(t):
     "document_vectors_from_table",
     r"""
     WITH v AS (SELECT DISTINCT word, CAST(length(word) AS DOUBLE) AS a, CAST(length(word) % 3 AS DOUBLE) AS b FROM
-        (SELECT unnest(regexp_extract_all(lower(text), '\p{L}{5,}')) AS word FROM benchmark)),
-    w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}{5,}')) AS word FROM documents),
+        (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM benchmark)),
+    w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents),
     m AS (SELECT doc_id, avg(a) AS a, avg(b) AS b FROM w JOIN v USING (word) GROUP BY doc_id)
     SELECT doc_id, round(coalesce(a, 0), 6) AS a, round(coalesce(b, 0), 6) AS b FROM documents LEFT JOIN m USING (doc_id)
     """,
 )
 def document_vectors_from_table(t):
-    long_words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}{5,}"), F.lit(0))
-    words = t.benchmark.select(F.explode(long_words("text")).alias("word")).distinct()
+    all_words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+"), F.lit(0))
+    words = t.benchmark.select(F.explode(all_words("text")).alias("word")).distinct()
     size = F.length("word").cast("double")
     vectors = words.select("word", F.array(size, (F.length("word") % 3).cast("double")).alias("vector"))
-    docs = t.documents.select("doc_id", long_words("text").alias("tokens"))
+    docs = t.documents.select("doc_id", all_words("text").alias("tokens"))
     out = M.mean_of_words(docs, "doc_id", "tokens", vectors, 2)
     return out.select("doc_id", *[F.round(F.get("doc_vector", F.lit(i)), 6).alias(n) for i, n in ((0, "a"), (1, "b"))])
 

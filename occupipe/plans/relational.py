@@ -302,18 +302,18 @@ def tag_join(t):
 @query(
     "title_search",
     r"""
-    WITH w AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS code, regexp_extract_all(lower(text), '\w+')[1:2] AS words FROM benchmark),
-    a AS (SELECT doc_id, lower(split_part(text, '.', 1)) AS title, lower(text) AS body FROM documents)
+    WITH w AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS code, regexp_extract_all(lower(text), '\w+') AS words FROM benchmark),
+    a AS (SELECT doc_id, lower(text) AS title, lower(text) AS body FROM documents)
     SELECT DISTINCT code, doc_id FROM a, w
-    WHERE list_bool_and(list_transform(words, lambda x: contains(title, x))) AND NOT contains(title, 'que')
+    WHERE list_bool_and(list_transform(words, lambda x: contains(title, x))) AND NOT contains(title, 'http')
         AND NOT contains(body, 'password')
     """,
 )
 def title_search_query(t):
-    first_two = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"\w+"), F.lit(0)), 1, 2)
-    wanted = t.benchmark.select(F.col("item_id").cast("string").alias("code"), F.array_join(first_two, " ").alias("title"))
-    ads = t.spread("documents").select("doc_id", F.split_part("text", F.lit("."), F.lit(1)).alias("title"), "text")
-    return title_search(ads, "doc_id", "title", wanted, ["que"], "text", ["password"])
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\w+"), F.lit(0))
+    wanted = t.benchmark.select(F.col("item_id").cast("string").alias("code"), F.array_join(words, " ").alias("title"))
+    ads = t.spread("documents").select("doc_id", F.col("text").alias("title"), "text")
+    return title_search(ads, "doc_id", "title", wanted, ["http"], "text", ["password"])
 
 
 SIMILAR_SQL = """

@@ -1,7 +1,8 @@
 """Queries over samples and splits.
 
-Hash-drawn rows cannot be reproduced in SQL, so the compared output is what the rules fix:
-sizes per group and side, and that sides neither overlap nor lose rows.
+Rows drawn by an md5 coin are compared one by one. Rows drawn by Spark's own hash cannot be
+repeated in SQL, so there the compared output is what the rules fix: sizes per group and side,
+and that sides neither overlap nor lose rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,10 @@ def sides(df, *keys):
     return df.groupBy(*keys, "split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sample_share")
+COIN_SQL = "CAST('0x' || substr(md5({key} || '|{seed}'), 1, 15) AS BIGINT)"
+
+
+@query("sample_share", f"SELECT doc_id, lang FROM documents WHERE {COIN_SQL.format(key='doc_id', seed=1)} % 1000000 < 100000")
 def sample_share(t):
     return S.sample_share(t.documents.select("doc_id", "lang"), ["doc_id"], 0.1)
 
@@ -79,7 +83,10 @@ def stratified_split_skewed(t):
     return sides(S.stratified_split(rows, "l_orderkey", "code", "title", ids=ids), "code")
 
 
-@query("random_split")
+@query(
+    "random_split",
+    f"SELECT lang, CASE WHEN {COIN_SQL.format(key='doc_id', seed=2021)} % 1000000 < 800000 THEN 'train' ELSE 'test' END AS split, count(*) AS n FROM documents GROUP BY ALL",
+)
 def random_split(t):
     return sides(S.random_split(t.documents.select("doc_id", "lang"), ["doc_id"]), "lang")
 
@@ -134,9 +141,13 @@ def dissimilar_sample_query(t):
     return dissimilar_sample(t.embeddings, "vec_id", "embedding", 10)
 
 
-@query("sample_with_replacement", "SELECT CAST(i AS BIGINT) AS draw, true AS known FROM range(50) r(i)")
+@query(
+    "sample_with_replacement",
+    f"""
+    WITH c AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS place, count(*) OVER () AS n FROM customer),
+    d AS (SELECT i AS draw, {COIN_SQL.format(key='i', seed=1)} AS coin FROM range(50) r(i))
+    SELECT CAST(draw AS BIGINT) AS draw, c_custkey, c_name FROM d JOIN c ON place = coin % n
+    """,
+)
 def sample_with_replacement(t):
-    drawn = S.sample_with_replacement(t.customer.select("c_custkey", "c_name"), "c_custkey", 50)
-    return drawn.select("draw", F.col("c_name").isNotNull().alias("known"))
-
-
+    return S.sample_with_replacement(t.customer.select("c_custkey", "c_name"), "c_custkey", 50)

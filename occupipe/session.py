@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Temporary folders of local sessions that name no checkpoint folder.
 _LOCAL: dict[str, str] = {}
+# Applications whose scratch is deleted when Python ends.
+_SCRATCH: set[str] = set()
 
 
 def local_session(cores: int | str = "*", name: str = "occupipe") -> SparkSession:
@@ -35,15 +38,35 @@ def shared_dir(spark: SparkSession) -> str:
     It lies under ``spark.checkpoint.dir``. Where that is unset a local session gets a
     temporary folder; a cluster must name one, since executors share no local disk.
     """
+    context = spark.sparkContext
+    if context.applicationId not in _SCRATCH:
+        _SCRATCH.add(context.applicationId)
+        atexit.register(clear_scratch, spark)
+    return os.path.join(_scratch(spark), uuid.uuid4().hex)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables and checkpoints that this application has written under the shared folder.
+
+    Called when Python ends; a long session may call it between jobs whose results are stored.
+    """
+    context = spark.sparkContext
+    if context._jsc is not None and context._gateway is not None:
+        path = context._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _scratch(spark: SparkSession) -> str:
+    """This application's own folder."""
+    context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        context = spark.sparkContext
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         if context.applicationId not in _LOCAL:
             _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="occupipe-")
         base = _LOCAL[context.applicationId]
-    return os.path.join(base, uuid.uuid4().hex)
+    return os.path.join(base, f"occupipe-{context.applicationId}")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

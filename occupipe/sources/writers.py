@@ -32,10 +32,12 @@ def write_nested(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_with_quarantine(df: DataFrame, kept_path: str, reject_path: str, reason: str = "reject_reason") -> None:
-    """Write accepted and rejected rows of one tagged frame to two sinks."""
-    df.filter(F.col(reason).isNull()).drop(reason).write.mode("append").parquet(kept_path)
-    df.filter(F.col(reason).isNotNull()).write.mode("append").json(reject_path)
+def write_with_quarantine(df: DataFrame, path: str, reason: str = "reject_reason") -> None:
+    """Write accepted and rejected rows of one tagged frame below ``rejected=false`` and ``rejected=true``.
+
+    One write, so the input is parsed once and a failed job leaves neither half behind.
+    """
+    df.withColumn("rejected", F.col(reason).isNotNull()).write.mode("append").partitionBy("rejected").parquet(path)
 
 
 def stamped(df: DataFrame, column: str = "processed_at") -> DataFrame:

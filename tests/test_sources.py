@@ -86,9 +86,9 @@ def test_changed_since_and_name_filter(spark, folder):
 def test_sinks_round_trip(spark, folder, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("out"))
     parsed = records.parse_records(readers.read_json_records(spark, folder))
-    writers.write_with_quarantine(parsed.drop("record"), f"{out}/kept", f"{out}/bad")
-    assert spark.read.parquet(f"{out}/kept").count() == 6
-    assert spark.read.json(f"{out}/bad").count() == 3
+    writers.write_with_quarantine(parsed.drop("record"), f"{out}/tagged")
+    assert spark.read.parquet(f"{out}/tagged/rejected=false").count() == 6
+    assert spark.read.parquet(f"{out}/tagged/rejected=true").filter("reject_reason is not null").count() == 3
     flat = records.flatten(parsed).select("ad_id", "description", "bucket")
     writers.write_buckets(flat, f"{out}/buckets")
     read_back = lambda: readers.read_csv(spark, f"{out}/buckets", "ad_id string, description string, bucket string")
