@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from occupipe.llm.common import arrow, bucket_of, col, ddl, keyed_text
 from occupipe.llm.labelled import labelled_sample
 from occupipe.llm.word_ids import slices
+from occupipe.session import through_table
 
 LIMIT = 8000
+FEATURES = 4000
 STEM = 5
 EDGES = ".,;:!?\"'()[]{}*&$%#|<>-_/\\=+~^`@¡¿«»“”‘’…"
 
@@ -90,45 +92,86 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total + self.base, -40, 40)))
 
 
-def telling_features(texts: list[str], y: np.ndarray, most: int) -> list[str]:
-    """The features whose shares among the two labels differ most surely, of those in 3 texts or more."""
-    words, rows = _words(pa.array(texts, pa.string()))
-    found = pa.concat_arrays([words, _stems(words)])
-    rows = np.concatenate([rows, rows])
-    known = pc.and_kleene(pc.is_valid(found), pc.not_equal(found, "")).to_numpy(zero_copy_only=False).astype(object) == True  # noqa: E712
-    coded = found.filter(pa.array(known)).dictionary_encode()
-    size = max(1, len(coded.dictionary))
-    pairs = np.unique(rows[known] * size + coded.indices.to_numpy(zero_copy_only=False))
-    of, code = pairs // size, pairs % size
-    n1, n0 = y.sum(), len(y) - y.sum()
-    every = np.bincount(code, minlength=size)
-    ones = np.bincount(code, weights=y[of], minlength=size)
-    pooled = every / len(y)
-    spread = np.sqrt(np.maximum(1e-12, pooled * (1 - pooled) * (1 / n1 + 1 / n0)))
-    sure = np.abs(ones / n1 - (every - ones) / n0) / spread * (every >= 3)
-    chosen = np.argsort(-sure, kind="stable")[:most]
-    return sorted(coded.dictionary.take(pa.array(chosen[sure[chosen] >= 3.0])).to_pylist())
+def telling_features(sample: DataFrame, most: int) -> list[str]:
+    """The features whose shares among the two labels differ most surely, of those in 3 texts or more.
+
+    ``sample`` has ``text`` and ``label``. Counts are made where the texts lie.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 4 << 20):
+                words, rows = _words(batch.column("text"))
+                labels = batch.column("label").to_numpy(zero_copy_only=False)
+                for found in (words, _stems(words)):
+                    known = pc.is_valid(found).to_numpy(zero_copy_only=False)
+                    coded = found.drop_null().dictionary_encode()
+                    size = max(1, len(coded.dictionary))
+                    pairs = np.unique(rows[known] * size + coded.indices.to_numpy(zero_copy_only=False))
+                    of, code = pairs // size, pairs % size
+                    n = np.bincount(code, minlength=len(coded.dictionary)).astype(np.int64)
+                    ones = np.bincount(code, weights=labels[of], minlength=len(coded.dictionary)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(n), pa.array(ones)], names=["feature", "n", "ones"])
+
+    n1, total = sample.agg(F.sum("label"), F.count(F.lit(1))).first()
+    if not total or n1 in (0, total):
+        return []
+    counts = arrow(sample.select("text", "label"), each, "feature string, n bigint, ones bigint").groupBy("feature")
+    counts = counts.agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).filter("n >= 3 and feature <> ''")
+    pooled = F.col("n") / total
+    spread = F.sqrt(F.greatest(F.lit(1e-12), pooled * (1 - pooled) * (1 / n1 + 1 / (total - n1))))
+    sure = F.abs(F.col("ones") / n1 - (F.col("n") - F.col("ones")) / (total - n1)) / spread
+    told = counts.withColumn("sure", sure).filter("sure >= 3").orderBy(F.desc("sure"), "feature").limit(most)
+    return sorted(r["feature"] for r in told.select("feature").collect())
+
+
+def encoded(sample: DataFrame, names: list[str], pairs) -> DataFrame:
+    """``label``, the text's features ``own``, and ``other``, those of its swapped form if that differs."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, kind = pa.array(names, pa.string()), pa.list_(pa.int32())
+
+        def lists(texts: pa.Array) -> list[list[int]]:
+            rows, codes = present(texts, features)
+            return [x.tolist() for x in np.split(codes, np.searchsorted(rows, np.arange(1, len(texts))))] if len(texts) else []
+
+        for whole in batches:
+            for batch in slices(whole, "text", 4 << 20):
+                texts = batch.column("text").to_pylist()
+                changed = [swapped(t, pairs) for t in texts]
+                moved = [i for i, t in enumerate(texts) if changed[i].lower() != t.lower()]
+                other: list[list[int] | None] = [None] * len(texts)
+                for i, x in zip(moved, lists(pa.array([changed[i] for i in moved], pa.string()))):
+                    other[i] = x
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_id"), batch.column("label"), pa.array(lists(batch.column("text")), kind), pa.array(other, kind)],
+                    names=["_id", "label", "own", "other"],
+                )
+
+    return arrow(sample, each, f"{ddl(sample, '_id')}, label int, own array<int>, other array<int>")
+
+
+def _flat(lists: list) -> tuple[np.ndarray, np.ndarray]:
+    sizes = [len(x) for x in lists]
+    return np.repeat(np.arange(len(lists)), sizes), np.array([c for x in lists for c in x], np.int64)
 
 
 def fit(
-    texts: list[str], labels: list[int], pairs=IDENTITY_PAIRS, l1: float = 3e-5, fairness: float = 1.0, most: int = 4000, rounds: int = 300
+    names: list[str], labels: list[int], own: list, other: list, l1: float = 3e-5, fairness: float = 1.0, rounds: int = 300
 ) -> Model:
     """Minimises log loss + ``fairness`` * mean squared swap change + ``l1`` * absolute weights.
 
-    Accelerated proximal gradient, restarted with half the step whenever the loss would rise.
+    ``own`` and ``other`` list the features of each text and of its swapped form (None if the
+    same). Accelerated proximal gradient, restarted whenever the loss would rise.
     """
     y = np.array(labels, np.float64)
     share = float(y.mean()) if len(y) else 0.0
     base = float(np.log((share + 1e-9) / (1 - share + 1e-9)))
-    other = [swapped(t, pairs) for t in texts]
-    moved = [i for i, (t, s) in enumerate(zip(texts, other)) if s.lower() != t.lower()]
-    names = telling_features(texts, y, most) if 0 < share < 1 else []
     if not names:
         return Model({}, base)
-    features = pa.array(names, pa.string())
-    rows, cols = present(pa.array(texts, pa.string()), features)
-    mine = present(pa.array([texts[i] for i in moved], pa.string()), features)
-    theirs = present(pa.array([other[i] for i in moved], pa.string()), features)
+    rows, cols = _flat(own)
+    moved = [i for i, x in enumerate(other) if x is not None]
+    mine, theirs = _flat([own[i] for i in moved]), _flat([other[i] for i in moved])
     c_rows, c_cols = np.concatenate([mine[0], theirs[0]]), np.concatenate([mine[1], theirs[1]])
     sign = np.concatenate([np.ones(len(mine[0])), -np.ones(len(theirs[0]))])
     n, d, m = len(y), len(names), max(1, len(moved))
@@ -164,14 +207,19 @@ def fit(
 
 def learn(
     docs: DataFrame, labels: DataFrame, parts: int, held: int, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text",
-    label: str = "toxic", pairs=IDENTITY_PAIRS,
+    label: str = "toxic", pairs=IDENTITY_PAIRS, most: int = FEATURES, fairness: float = 1.0,
 ) -> Model:
-    """Fits on ``limit`` labelled documents at most, none from the held-out part."""
+    """Fits on ``limit`` labelled documents at most, none from the held-out part.
+
+    The texts stay on the executors; the driver gets each one's list of telling features.
+    """
     drawn = labelled_sample(labels, bucket_of(F.col("_id"), parts) != held, label, limit, 9, doc_id)
     rows = keyed_text(docs, doc_id, text).join(F.broadcast(drawn), F.col("doc_id") == F.col("_id"))
-    # One text per drawn id, should an id be repeated: at most ``limit`` rows come back.
-    rows = rows.groupBy("_id").agg(F.max("text").alias("text"), F.max("_label").alias("label")).toPandas().sort_values("_id")
-    return fit(rows["text"].tolist(), rows["label"].tolist(), pairs)
+    # One text per drawn id, should an id be repeated.
+    sample = through_table(rows.groupBy("_id").agg(F.max("text").alias("text"), F.max("_label").alias("label")))
+    names = telling_features(sample, most)
+    known = encoded(sample, names, pairs).toPandas().sort_values("_id")
+    return fit(names, known["label"].tolist(), known["own"].tolist(), known["other"].tolist(), fairness=fairness)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
