@@ -12,7 +12,7 @@ import sys
 import time
 
 from occupipe.plans import QUERIES
-from occupipe.session import local_session
+from occupipe.session import clear_scratch, local_session
 
 HEADLINE = [
     "best_list_per_page",
@@ -56,6 +56,7 @@ def main() -> None:
         cold[name] = round(timed(job), 3)
         warm[name] = round(timed(job), 3)
         print(f"{name}: cold {cold[name]} warm {warm[name]}", file=sys.stderr, flush=True)
+    clear_scratch(spark)
     spark.stop()
     print(
         json.dumps(

@@ -32,6 +32,39 @@ def sides(rows):
     return rows.filter("split = 'train'"), rows.filter("split = 'test'")
 
 
+HELD_SQL = "CAST('0x' || substr(md5({key} || '|2021'), 1, 15) AS BIGINT) % 1000000 >= 800000"
+
+
+def beats_majority(hits, labels):
+    """Is the share of hits at least that of the most frequent label? Over (label, hit) rows."""
+    counted = hits.groupBy(*labels, "label").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"))
+    return counted.groupBy(*labels).agg(F.sum("n").alias("n"), (F.sum("hits") >= F.max("n")).alias("beats_majority"))
+
+
+@query(
+    "five_level_cascade",
+    f"""
+    WITH v AS (SELECT vec_id, array_to_string(list_transform(range(1, 6), lambda i: CAST(embedding[i] > 0 AS INT)), '') AS code FROM embeddings)
+    SELECT CAST(k AS INT) AS level, (SELECT count(*) FROM v WHERE {HELD_SQL.format(key='vec_id')}) AS n,
+        (SELECT count(DISTINCT code[1:k]) FROM v) AS classes, true AS beats_majority FROM range(1, 6) r(k)
+    """,
+)
+def five_level_cascade(t):
+    """All five levels, of codes that spell the signs of five components."""
+    e = F.col("embedding").cast("array<double>")
+    code = F.concat(*[(F.get(e, F.lit(i)) > 0).cast("int").cast("string") for i in range(5)])
+    rows = t.embeddings.select("vec_id", code.alias("code"), array_to_vector(e).alias("features"))
+    encoding = X.build_encoding(rows, "code")
+    coded = X.encode_labels(rows, "code", encoding)
+    train, test = sides(S.random_split(coded, ["vec_id"]))
+    levels = {k: f"idx_{k}" for k in range(1, 6)}
+    scored = M.fit_cascade(train, "features", levels, max_iter=15).transform(test)
+    each = [F.struct(F.lit(k).alias("level"), F.col(c).alias("label"), (F.col(f"pred_{k}") == F.col(c)).cast("int").alias("hit")) for k, c in levels.items()]
+    judged = beats_majority(scored.select(F.explode(F.array(*each)).alias("x")).select("x.*"), ["level"])
+    widths = encoding.groupBy(F.col("level").cast("int").alias("level")).agg(F.count(F.lit(1)).alias("classes"))
+    return judged.join(widths, "level").select("level", "n", "classes", "beats_majority")
+
+
 @query("cascade_scores")
 def cascade_scores(t):
     rows, names = coded_vectors(t)
@@ -167,6 +200,15 @@ def vectors_in_plane(t):
     return M.to_plane(rows, "v").select("vec_id", F.get("plane", F.lit(0)).alias("x"), F.get("plane", F.lit(1)).alias("y"))
 
 
+@query(
+    "text_baseline_quality",
+    f"SELECT count(*) AS n, true AS beats_majority FROM documents WHERE {HELD_SQL.format(key='doc_id')}",
+)
+def text_baseline_quality(t):
+    hits = text_baseline(t).select(F.col("lang").alias("label"), F.col("hit").cast("int").alias("hit"))
+    return beats_majority(hits, [])
+
+
 @query("text_baseline")
 def text_baseline(t):
     """Bag model over documents with their language as the label, recoded and scored."""
