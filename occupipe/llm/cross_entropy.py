@@ -108,9 +108,17 @@ def bigrams(both: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.nda
             part = at[a : a + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(tables[0, part]), pa.array(tables[1, part])], names=["code", "t", "b"])
 
-    rows = arrow(both, each, "code bigint, t bigint, b bigint").groupBy("code").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toPandas()
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A partition's cells in few bytes: the driver unpacks them one partition at a time.
+        for batch in batches:
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.stack(columns).astype("<i8").tobytes(), 1)])], names=["cells"])
+
+    summed = arrow(both, each, "code bigint, t bigint, b bigint").groupBy("code").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
     tables = np.zeros((2, cells))
-    tables[0, rows["code"]], tables[1, rows["code"]] = rows["t"], rows["b"]
+    for row in arrow(summed, pack, "cells binary").collect():
+        code, target, background = np.frombuffer(zlib.decompress(row["cells"]), "<i8").reshape(3, -1)
+        tables[0, code], tables[1, code] = target, background
     return tables[0], tables[1]
 
 
