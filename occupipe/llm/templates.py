@@ -153,7 +153,8 @@ def recurring(
     """
     leaves = _leaves(docs, depth, min_tokens).groupBy("leaf").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs)
     candidates = through_table(_candidates(docs, leaf_filter(leaves), depth, min_tokens))
-    known = templates(candidates, depth, min_docs, similarity)
+    # Written first, so that the join below has a shuffle of its own and a hot line can be split.
+    known = through_table(templates(candidates, depth, min_docs, similarity))
     marked = candidates.select("doc_id", "twin", "begun", "stop", "leaf", F.xxhash64("line").alias("mark")).join(known, ["leaf", "mark"])
     marked = through_table(marked.select("doc_id", "twin", "begun", "stop", F.xxhash64("leaf", "template").alias("template_id"), "template"))
     per_doc = marked.groupBy("template_id", "doc_id").agg(F.lit(1).alias("one"))
