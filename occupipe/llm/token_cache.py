@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from occupipe.llm.common import arrow, col
 from occupipe.llm.word_ids import slices
+from occupipe.session import through_table
 
 CACHE = "digest binary, tokenizer string, n_tokens bigint"
 
@@ -80,4 +81,6 @@ def count_tokens(
     distinct = docs.select(digest.alias("digest"), content.alias("text")).groupBy("digest").agg(F.any_value("text").alias("text"))
     missing = distinct.join(stored_counts(spark, cache, version).select("digest"), "digest", "left_anti")
     arrow(missing, _counter(path, version), CACHE).write.mode("append").parquet(cache)
-    return keyed.join(stored_counts(spark, cache, version), "digest").select("doc_id", "n_bytes", "n_tokens")
+    # Written first, so that the join has a shuffle of its own and a text with many copies can be split.
+    counts = through_table(stored_counts(spark, cache, version))
+    return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
