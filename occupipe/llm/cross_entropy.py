@@ -1,14 +1,18 @@
 """Cross-entropy difference of matched n-gram models (operator 4).
 
-A target and a background bigram model share one vocabulary: the ``words`` most frequent words
-of both corpora together, and ``classes`` classes of all other words by their last letters. The
-background's counts are scaled to the target's mass, so that smoothing weighs alike in both
-models. A word's probability backs off from the bigram to the unigram to a flat one. A
-document's score is its loss per token under the target model less that under the
-background model: the lower, the more it reads like the target.
+A target and a background bigram model share one vocabulary: every word that both corpora
+together hold ``min_seen`` times or more, and one unknown sign for the rest. The background's
+counts are scaled to the target's mass, so that smoothing weighs alike in both models. A word's
+probability backs off from the bigram to the unigram to a flat one. A document's score is its
+loss per token under the target model less that under the background model: the lower, the
+more it reads like the target.
 
-Counts cover all texts of both corpora. A task adds up its own tables before the shuffle; what
-the driver sees is bounded by the vocabulary (``words`` rows, and at most its square of bigrams).
+Counts cover all texts, words and bigrams of both corpora and grow with them. Texts are coded in
+blocks of about ``BLOCK_BYTES``. A block sends each of its distinct words, later each of its
+distinct bigrams, once with its counts, as packed runs of sorted 64-bit hashes to the part that
+holds this range of hashes; the part adds up and answers each block with the totals of its keys.
+So a hot word or bigram reaches its part once a block, parts grow in number and not in size, and
+the driver sees a few sums only. Two of n bigrams share a hash with a chance of about n^2 / 2^65.
 
 Defined results: null and empty texts have no tokens and score 0; an empty target or background
 has a flat model; repeated rows count each time; null ids are scored; other columns are ignored.
@@ -16,22 +20,28 @@ has a flat model; repeated rows count each time; null ids are scored; other colu
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from occupipe.llm.common import arrow, col, ddl, keyed_text
+from occupipe.llm.common import arrow, col, ddl
 from occupipe.llm.word_ids import slices
+from occupipe.session import through_table
 
-WORDS = 1000
-CLASSES = 255
+MIN_SEEN = 2
 LAST_LETTERS = 3
 BACKOFF = 50.0
+BLOCK_BYTES = 8 << 20
+PARTS = 256
+PART_KEYS = 4_000_000
+HASH_SEED = 42
+UNKNOWN, START = 0, 1  # hashes of the unknown sign and of the sign for the start of a text
 
 
 def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -41,43 +51,13 @@ def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return parts.flatten().dictionary_encode(), offsets - offsets[0]
 
 
-class Vocabulary:
-    def __init__(self, words: list[str], classes: int) -> None:
-        self.words, self.classes = words, classes
-        self.size = len(words) + classes + 1  # and one sign for the start of a text
-        self.start = self.size - 1
-
-    def codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The bigram of each token, ``previous * size + own``, its own code, and its text."""
-        words, offsets = tokens(texts)
-        known = words.dictionary
-        own = pc.index_in(known, value_set=pa.array(self.words, pa.string()))
-        table = pc.fill_null(own, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        other = np.flatnonzero(table < 0)
-        tails = pc.utf8_slice_codeunits(known.take(pa.array(other)), -LAST_LETTERS, 1 << 30).to_pylist()
-        table[other] = [len(self.words) + zlib.crc32(t.encode("utf-8", "surrogatepass")) % self.classes for t in tails]
-        code = table[words.indices.to_numpy(zero_copy_only=False)] if len(known) else np.zeros(0, np.int64)
-        counts = np.diff(offsets)
-        # A blank text splits into one empty word; it has no tokens.
-        real = np.ones(len(code), bool)
-        if len(known):
-            empty = pc.fill_null(pc.index(known, ""), -1).as_py()
-            if empty >= 0:
-                real = words.indices.to_numpy(zero_copy_only=False) != empty
-        text = np.repeat(np.arange(len(counts)), counts)
-        before = np.empty_like(code)
-        before[1:] = code[:-1]
-        before[offsets[:-1][counts > 0]] = self.start
-        code, before, text = code[real], before[real], text[real]
-        return before * self.size + code, code, text
-
-
-def _both(target: DataFrame, background: DataFrame, target_text: str, text: str) -> DataFrame:
-    one = target.select(col(target_text).alias("text"), F.lit(True).alias("wanted"))
-    return one.union(background.select(col(text).alias("text"), F.lit(False).alias("wanted"))).filter("text is not null")
-
-
-def vocabulary(both: DataFrame, words: int, classes: int) -> Vocabulary:
+def _both(docs: DataFrame, target: DataFrame, doc_id: str, text: str, target_text: str) -> DataFrame:
+    one = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"), F.lit(False).alias("wanted"))
+    none = F.lit(None).cast(one.schema["doc_id"].dataType).alias("doc_id")
+    return one.union(target.select(none, col(target_text).alias("text"), F.lit(True).alias("wanted")))
+
+
+def most_frequent(both: DataFrame, words: int) -> list[str]:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 16 << 20):
@@ -88,78 +68,207 @@ def vocabulary(both: DataFrame, words: int, classes: int) -> Vocabulary:
 
     counts = arrow(both.select("text"), each, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.filter("word <> ''").orderBy(F.desc("n"), "word").limit(words).collect()
-    return Vocabulary(sorted(r["word"] for r in top), classes)
+    return [r["word"] for r in top]
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers byte by byte in planes, so that the many zero bytes take little."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=np.uint64(0)).view(np.int64))
+
+
+def _unpack_keys(packed: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(packed).view(np.uint64), dtype=np.uint64)
 
 
-def bigrams(both: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Bigram counts of the target and of the background, as dense tables."""
-    cells = vocabulary.size**2
+def _coded(both: DataFrame, top: list[str] | None, classes: int) -> DataFrame:
+    """One row for a block of texts: ids, sides, tokens of each text, word hashes and the words' codes."""
+    kept = None if top is None else frozenset(top)
+
+    def hashed(word: str) -> int:
+        from xxhash import xxh64_intdigest
+
+        if kept is None or word in kept:
+            return xxh64_intdigest(word.encode("utf-8", "surrogatepass"), HASH_SEED)
+        return 2 + zlib.crc32(word[-LAST_LETTERS:].encode("utf-8", "surrogatepass")) % classes
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((2, cells), np.int64)
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
-                code, _, text = vocabulary.codes(batch.column("text"))
-                wanted = batch.column("wanted").to_numpy(zero_copy_only=False)[text]
-                for side in (0, 1):
-                    tables[side] += np.bincount(code[wanted == (side == 0)], minlength=cells)
-        at = np.flatnonzero(tables.any(0))
-        for a in range(0, len(at), 100_000):
-            part = at[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(tables[0, part]), pa.array(tables[1, part])], names=["code", "t", "b"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A partition's cells in few bytes: the driver unpacks them one partition at a time.
-        for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.stack(columns).astype("<i8").tobytes(), 1)])], names=["cells"])
+            for batch in slices(whole, "text", BLOCK_BYTES):
+                found, offsets = tokens(batch.column("text"))
+                code = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                names = found.dictionary.to_pylist()
+                # A blank text splits into one empty word; it has no tokens.
+                real = np.array([w != "" for w in names], bool)[code] if len(names) else np.zeros(0, bool)
+                text = np.repeat(np.arange(batch.num_rows), np.diff(offsets))[real]
+                hashes, own = np.unique(np.array([hashed(w) for w in names], np.uint64), return_inverse=True)
+                code = own[code[real]]
+                # Frequent words have small codes, which pack well.
+                order = np.argsort(-np.bincount(code, minlength=len(hashes)), kind="stable")
+                place = np.empty_like(order)
+                place[order] = np.arange(len(order))
+                sizes = np.bincount(text, minlength=batch.num_rows)
+                cells = [pa.array([_pack(x)]) for x in (batch.column("wanted").to_numpy(zero_copy_only=False), sizes, hashes[order].view(np.int64), place[code])]
+                ids = batch.column("doc_id")
+                held = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([uuid.uuid4().hex]), held, pa.array([len(code)], pa.int64()), *cells], names=["block", "ids", "n", "wanted", "sizes", "words", "codes"]
+                )
+
+    id_type = dict(both.dtypes)["doc_id"]
+    return arrow(both, each, f"block string, ids array<{id_type}>, n bigint, wanted binary, sizes binary, words binary, codes binary")
+
+
+def _block(row: dict) -> tuple[np.ndarray, ...]:
+    """A block's word hashes, and of each token its side, its text, its code and the code before it, -1 at the start."""
+    wanted, sizes, words, code = (_unpack(row[c]) for c in ("wanted", "sizes", "words", "codes"))
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    before = np.empty_like(code)
+    before[1:] = code[:-1]
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = -1
+    return words.view(np.uint64), wanted[text], text, code, before
+
+
+def _runs(block: str, keys: np.ndarray, counts: list[np.ndarray], parts: int) -> pa.Table:
+    """Sorted keys and their counts, cut where a part ends."""
+    part = (keys >> np.uint64(64 - parts.bit_length() + 1)).astype(np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)] if len(keys) else []
+    spans = list(zip(edges, edges[1:]))
+    return pa.table({
+        "part": pa.array([int(part[a]) for a, _ in spans], pa.int64()),
+        "block": pa.array([block] * len(spans), pa.string()),
+        "keys": pa.array([_pack_keys(keys[a:b]) for a, b in spans], pa.binary()),
+        "counts": pa.array([_pack(np.concatenate([c[a:b] for c in counts])) for a, b in spans], pa.binary()),
+    })
 
-    summed = arrow(both, each, "code bigint, t bigint, b bigint").groupBy("code").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    tables = np.zeros((2, cells))
-    for row in arrow(summed, pack, "cells binary").collect():
-        code, target, background = np.frombuffer(zlib.decompress(row["cells"]), "<i8").reshape(3, -1)
-        tables[0, code], tables[1, code] = target, background
-    return tables[0], tables[1]
 
+RUNS = "part bigint, block string, keys binary, counts binary"
 
-def losses(counts: np.ndarray, size: int) -> np.ndarray:
-    """Bits of each bigram's second word, from counts smoothed by the lower order."""
-    table = counts.reshape(size, size)
-    flat = table.sum(0) + 1.0
-    flat[-1] = 0.0  # the start sign is never a word
-    unigram = flat / flat.sum()
-    smooth = (table + BACKOFF * unigram[None, :]) / (table.sum(1, keepdims=True) + BACKOFF)
-    return -np.log2(np.maximum(smooth, 1e-300)).astype(np.float32).ravel()
+
+def _totals(runs: DataFrame, kinds: int, min_seen: int) -> DataFrame:
+    """Each run's totals over all blocks; a part's row without a block has the number of its
+    keys seen often enough, the sums over all its keys, and those over its rare keys."""
+
+    def add(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        keys = [_unpack_keys(k) for k in table.column("keys").to_pylist()]
+        ends = np.cumsum([0, *map(len, keys)])
+        known, at = np.unique(np.concatenate(keys), return_inverse=True)
+        parted = [_unpack(c).reshape(kinds, -1) for c in table.column("counts").to_pylist()]
+        sums = [np.bincount(at, weights=np.concatenate([c[k] for c in parted]), minlength=len(known)).astype(np.int64) for k in range(kinds)]
+        often = sums[0] + sums[1] >= min_seen
+        told = [_pack(np.concatenate([x[at[a:b]] for x in sums])) for a, b in zip(ends.tolist(), ends[1:].tolist())]
+        whole = _pack(np.array([often.sum(), *[x.sum() for x in sums], *[x[~often].sum() for x in sums]]))
+        blocks = [*table.column("block").to_pylist(), None]
+        return pa.table({"part": pa.array([part] * len(blocks), pa.int64()), "block": pa.array(blocks, pa.string()), "totals": pa.array([*told, whole], pa.binary())})
+
+    return through_table(runs.groupBy("part").applyInArrow(add, "part bigint, block string, totals binary"))
+
+
+def _joined(coded: DataFrame, *answers: DataFrame) -> GroupedData:
+    """Each block's row, and the rows that answer it."""
+    rows = coded.withColumn("round", F.lit(0))
+    for at, answer in enumerate(answers, 1):
+        rows = rows.unionByName(answer.filter("block is not null").withColumn("round", F.lit(at)), allowMissingColumns=True)
+    return rows.groupBy("block")
+
+
+def _answer(rows: list[dict], at: int, kinds: int) -> np.ndarray:
+    """The totals of a block's sorted keys."""
+    found = sorted((r for r in rows if r["round"] == at), key=lambda r: r["part"])
+    return np.concatenate([np.zeros((kinds, 0), np.int64), *[_unpack(r["totals"]).reshape(kinds, -1) for r in found]], axis=1)
+
+
+def _pairs(words: np.ndarray, code: np.ndarray, before: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted bigram hashes, where each first stands, and which one each token is."""
+    own = np.where(rare, np.uint64(UNKNOWN), words)
+    first = np.append(own, np.uint64(START))[before]
+    z = (first ^ (first >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25) + own[code]
+    z = (z ^ (z >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return np.unique(z ^ (z >> np.uint64(32)), return_index=True, return_inverse=True)
 
 
 def cross_entropy_difference(
     docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", target_text: str = "text",
-    words: int = WORDS, classes: int = CLASSES,
+    words: int | None = None, classes: int = 1, min_seen: int = MIN_SEEN,
 ) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``target_loss``, ``background_loss`` and ``score`` of every document.
 
-    The background model is that of ``docs`` itself. Losses are bits per token.
+    The background model is that of ``docs`` itself. Losses are bits per token. ``words`` limits
+    the vocabulary to that many most frequent words and ``classes`` of all others by their last
+    letters, in place of ``min_seen``.
     """
-    both = _both(target, docs, target_text, text)
-    shared = vocabulary(both, words, classes)
-    wanted, other = bigrams(both, shared)
-    if other.sum() and wanted.sum():
-        other = other * (wanted.sum() / other.sum())
-    sent = docs.sparkSession.sparkContext.broadcast((shared, losses(wanted, shared.size), losses(other, shared.size)))
-    rows = keyed_text(docs, doc_id, text)
+    both = _both(docs, target, doc_id, text, target_text)
+    top = None if words is None else most_frequent(both, words)
+    if words is not None:
+        min_seen = 1
+    coded = through_table(_coded(both, top, classes))
+    parts = PARTS
+    while parts * PART_KEYS < (coded.agg(F.sum("n")).first()[0] or 0):
+        parts *= 2
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, near, far = sent.value
-        for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
-                code, _, text = own.codes(batch.column("text"))
-                n = np.bincount(text, minlength=batch.num_rows)
-                per = np.maximum(n, 1)
-                a = np.bincount(text, weights=near[code], minlength=batch.num_rows) / per
-                b = np.bincount(text, weights=far[code], minlength=batch.num_rows) / per
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(a), pa.array(b), pa.array(a - b)],
-                    names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
-                )
+    def word_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                hashes, wanted, _, code, before = _block(row)
+                order = np.argsort(hashes)
+                counts = [np.bincount(code[wanted == side], minlength=len(hashes))[order] for side in (1, 0)]
+                # How often a word stands before another.
+                counts += [np.bincount(before[(wanted == side) & (before >= 0)], minlength=len(hashes))[order] for side in (1, 0)]
+                yield from _runs(row["block"], hashes[order], counts, parts).to_batches()
+
+    by_word = _totals(arrow(coded, word_runs, RUNS), 4, min_seen)
+    whole = sum((_unpack(r["totals"]) for r in by_word.filter("block is null").select("totals").collect()), np.zeros(9, np.int64))
+    kinds = len(top) + classes if top is not None else int(whole[0]) + 1
+    mass = whole[1:3].astype(float)
+    # Texts that begin are the tokens that no word stands before.
+    starts = whole[1:3] - whole[3:5]
+    unknown = whole[5:9]
+    scale = np.array([1.0, mass[0] / mass[1] if mass.all() else 1.0])
+
+    def known(row: dict, rows: list[dict]) -> tuple[np.ndarray, ...]:
+        """The block, which of its words are rare, and the words' totals with those of the start sign last."""
+        hashes, wanted, text, code, before = _block(row)
+        totals = np.empty((4, len(hashes)), np.int64)
+        totals[:, np.argsort(hashes)] = _answer(rows, 1, 4)
+        rare = totals[0] + totals[1] < min_seen
+        totals[:, rare] = unknown[:, None]
+        return hashes, wanted, text, code, before, rare, np.concatenate([totals, [[0], [0], [starts[0]], [starts[1]]]], axis=1)
+
+    def bigram_runs(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        row = next(r for r in rows if r["round"] == 0)
+        hashes, wanted, _, code, before, rare, _ = known(row, rows)
+        keys, _, at = _pairs(hashes, code, before, rare)
+        return _runs(row["block"], keys, [np.bincount(at[wanted == side], minlength=len(keys)) for side in (1, 0)], parts)
+
+    by_bigram = _totals(_joined(coded, by_word).applyInArrow(bigram_runs, RUNS), 2, 1)
+
+    def score(table: pa.Table) -> pa.Table:
+        at_row = pc.index(table.column("round"), 0).as_py()
+        rows = table.drop_columns("ids").to_pylist()
+        row = rows[at_row]
+        hashes, _, text, code, before, rare, totals = known(row, rows)
+        keys, place, at = _pairs(hashes, code, before, rare)
+        pairs = _answer(rows, 2, 2)
+        side, sizes = _unpack(row["wanted"]), _unpack(row["sizes"])
+        per = np.maximum(sizes, 1)
+        sums = []
+        for k in (0, 1):
+            flat = (totals[k][code[place]] * scale[k] + 1) / (mass[k] * scale[k] + kinds)
+            loss = -np.log2((pairs[k] * scale[k] + BACKOFF * flat) / (totals[2 + k][before[place]] * scale[k] + BACKOFF))
+            sums.append(np.bincount(text, weights=loss[at], minlength=len(sizes)) / per)
+        ids = pa.concat_arrays([c for c in table.column("ids").slice(at_row, 1).chunks if len(c)]).flatten()
+        columns = [ids, pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[0] - sums[1])]
+        made = pa.table(columns, names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+        return made.filter(pa.array(side == 0))
 
-    return arrow(rows, each, f"{ddl(rows, 'doc_id')}, n_tokens bigint, target_loss double, background_loss double, score double")
+    schema = f"{ddl(both, 'doc_id')}, n_tokens bigint, target_loss double, background_loss double, score double"
+    return _joined(coded, by_word, by_bigram).applyInArrow(score, schema)

@@ -219,6 +219,36 @@ def test_losses_of_nothing(nothing, docs):
     assert cross_entropy.cross_entropy_difference(docs, target.limit(0)).count() == docs.count()
 
 
+def test_every_word_seen_twice_has_its_own_losses(spark):
+    """Words past any fixed vocabulary, with equal last letters, in one block and in many."""
+    docs = [(i, " ".join(f"w{(i * 37 + j * j) % 3000}ing" for j in range(40)) + (f" once{i}" if i % 3 == 0 else "")) for i in range(400)]
+    target = [(" ".join(f"w{(i * 11 + j) % 3000}ing" for j in range(30)),) for i in range(150)]
+    seen = Counter(w for t in [*docs, *target] for w in t[-1].split())
+    sign = lambda w: w if seen[w] > 1 else None
+    kinds = sum(n > 1 for n in seen.values()) + 1
+
+    def model(texts, scale):
+        pair, first, one = Counter(), Counter(), Counter()
+        for words in texts:
+            for v, w in zip(["", *map(sign, words)], map(sign, words)):
+                pair[v, w] += scale
+                first[v] += scale
+                one[w] += scale
+        mass = sum(one.values()) + kinds
+        return lambda v, w: -np.log2((pair[v, w] + 50 * (one[w] + 1) / mass) / (first[v] + 50))
+
+    own, other = [t.split() for _, t in docs], [t.split() for (t,) in target]
+    near, far = model(other, 1.0), model(own, sum(map(len, other)) / sum(map(len, own)))
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r for r in cross_entropy.cross_entropy_difference(table, spark.createDataFrame(target, "text string")).collect()}
+    assert kinds > 2000 and len(got) == len(docs)
+    for (i, _), words in zip(docs, own):
+        pairs = list(zip(["", *map(sign, words)], map(sign, words)))
+        assert got[i]["n_tokens"] == len(words)
+        assert got[i]["target_loss"] == pytest.approx(np.mean([near(*p) for p in pairs]))
+        assert got[i]["background_loss"] == pytest.approx(np.mean([far(*p) for p in pairs]))
+
+
 # --- operator 5 ---------------------------------------------------------------------------
 
 
