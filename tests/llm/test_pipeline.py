@@ -53,6 +53,28 @@ def test_stages_catch_what_was_planted(stages):
     assert ids["packing"] == ids["decontamination"] and len(ids["packing"]) == len(clean) + 7
 
 
+@pytest.mark.parametrize(("changed", "low", "high"), [(4, 0.8, 0.84), (3, 0.83, 0.88), (2, 0.89, 0.93), (9, 0.55, 0.75)])
+def test_near_duplicates_from_a_similarity_of_08(spark, changed, low, high):
+    """Copies with spread-out word changes: all at 0.8 or more go, all below stay."""
+    from occupipe.llm.shingle_sets import shingles, similarity
+    from tests.llm.test_operators import prose
+
+    docs = []
+    for i in range(100):
+        words = prose(5000 + i, 190).split()
+        other = list(words)
+        for k in range(changed):
+            other[10 + k * 170 // changed] = f"changed{k}"
+        docs += [(i, " ".join(words)), (1000 + i, " ".join(other))]
+    held = dict(docs)
+    near = [similarity(shingles(held[i], 5), shingles(held[1000 + i], 5)) for i in range(100)]
+    assert low <= min(near) and max(near) < high
+    got = {r[0] for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").select("doc_id").collect()}
+    gone = 100 - len(got & set(range(1000, 1100)))
+    print(f"similarity {min(near):.3f} to {max(near):.3f}: {gone} of 100 found")
+    assert set(range(100)) <= got and gone == (100 if low >= 0.8 else 0)
+
+
 def test_columns_are_those_of_documents(stages):
     seen, _ = stages
     for name in ("toxicity", "line_dedup", "near_duplicates", "decontamination"):
