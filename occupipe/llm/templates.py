@@ -8,14 +8,15 @@ tokens stay. Records with one template are one line with changing fields.
 
 A template found in ``min_docs`` documents or more is recurring. Its records are dropped
 from all documents but the one with the smallest id, which keeps them. A short rest between
-two dropped records goes with them.
+two dropped records goes with them if the same words stand between these templates in
+``min_docs`` documents or more; the one with the smallest id keeps them too.
 
 Counts are sums over all documents, with partial sums in the map tasks: a hot line or leaf is
 never gathered. A fixed-size bit field of the leaves that recur lets the second pass skip most
 records; it can let too many through, never too few, and exact counts follow.
 
 Defined results: null texts stay null and empty ones empty; records with fewer than
-``min_tokens`` tokens are kept (unless between dropped ones); a repeated row counts as one
+``min_tokens`` tokens are kept (unless they recur between dropped ones); a repeated row counts as one
 document with its twin, and a null id is a document of its own that comes first; empty tables
 give no rows; other columns are kept.
 """
@@ -89,17 +90,16 @@ def leaf_filter(leaves: DataFrame) -> np.ndarray:
 def _candidates(docs: DataFrame, field: np.ndarray, depth: int, min_tokens: int) -> DataFrame:
     """The records whose leaf may recur; ``fresh`` marks the first of its kind in its row."""
     sent = docs.sparkSession.sparkContext.broadcast(field)
-    schema = f"{ddl(docs, 'doc_id', 'twin')}, begun int, stop int, leaf bigint, size int, line string, fresh int"
+    schema = f"{ddl(docs, 'doc_id', 'twin')}, begun int, stop int, leaf bigint, size int, line string, fresh int, gap string, after int"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value.tolist()
         for batch in batches:
-            row, begun, stop, leaves, sizes, lines, fresh = [], [], [], [], [], [], []
+            row, begun, stop, leaves, sizes, lines, fresh, gaps, afters = [], [], [], [], [], [], [], [], []
             for i, text in enumerate(batch.column("text")):
-                seen = set()
-                for a, b, tokens in records(text.as_py() or ""):
-                    if len(tokens) < min_tokens:
-                        continue
+                seen, whole = set(), text.as_py() or ""
+                counted = [r for r in records(whole) if len(r[2]) >= min_tokens]
+                for (a, b, tokens), after in zip(counted, [*(r[0] for r in counted[1:]), None]):
                     leaf = leaf_of(tokens, depth)
                     if bits[(leaf % (1 << FILTER_BITS)) >> 6] >> (leaf % 64) & 1:
                         line = " ".join(tokens)
@@ -111,11 +111,15 @@ def _candidates(docs: DataFrame, field: np.ndarray, depth: int, min_tokens: int)
                         lines.append(line)
                         fresh.append(int(line not in seen))
                         seen.add(line)
+                        rest = [] if after is None else whole[b:after].split()
+                        gaps.append(" ".join(rest) if 0 < len(rest) <= GAP_TOKENS else None)
+                        afters.append(after)
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(at), batch.column("twin").take(at), pa.array(begun, pa.int32()), pa.array(stop, pa.int32()),
-                 pa.array(leaves, pa.int64()), pa.array(sizes, pa.int32()), pa.array(lines, pa.string()), pa.array(fresh, pa.int32())],
-                names=["doc_id", "twin", "begun", "stop", "leaf", "size", "line", "fresh"],
+                 pa.array(leaves, pa.int64()), pa.array(sizes, pa.int32()), pa.array(lines, pa.string()), pa.array(fresh, pa.int32()), pa.array(gaps, pa.string()),
+                 pa.array(afters, pa.int32())],
+                names=["doc_id", "twin", "begun", "stop", "leaf", "size", "line", "fresh", "gap", "after"],
             )
 
     return arrow(docs, each, schema)
@@ -148,15 +152,15 @@ def recurring(
 ) -> tuple[DataFrame, DataFrame]:
     """Of a table with ``doc_id``, ``twin`` and ``text``: the records in recurring templates, and those templates.
 
-    Records have ``doc_id``, ``twin``, ``begun``, ``stop``, ``template_id`` and ``first_id``; templates have
-    ``template_id``, ``docs`` and ``first_id``.
+    Records have ``doc_id``, ``twin``, ``begun``, ``stop``, ``template_id`` and ``first_id``, and the words of a short
+    rest after them as ``gap`` and its end as ``after``; templates have ``template_id``, ``docs`` and ``first_id``.
     """
     leaves = _leaves(docs, depth, min_tokens).groupBy("leaf").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs)
     candidates = through_table(_candidates(docs, leaf_filter(leaves), depth, min_tokens))
     # Written first, so that the join below has a shuffle of its own and a hot line can be split.
     known = through_table(templates(candidates, depth, min_docs, similarity))
-    marked = candidates.select("doc_id", "twin", "begun", "stop", "leaf", F.xxhash64("line").alias("mark")).join(known, ["leaf", "mark"])
-    marked = through_table(marked.select("doc_id", "twin", "begun", "stop", F.xxhash64("leaf", "template").alias("template_id"), "template"))
+    marked = candidates.select("doc_id", "twin", "begun", "stop", "gap", "after", "leaf", F.xxhash64("line").alias("mark")).join(known, ["leaf", "mark"])
+    marked = through_table(marked.select("doc_id", "twin", "begun", "stop", "gap", "after", F.xxhash64("leaf", "template").alias("template_id"), "template"))
     per_doc = marked.groupBy("template_id", "doc_id").agg(F.lit(1).alias("one"))
     # min() would pass over a null id, which sorts first.
     first = F.min(F.struct(F.col("doc_id"))).alias("first")
@@ -166,12 +170,30 @@ def recurring(
     return held, often
 
 
+def recurring_gaps(held: DataFrame, min_docs: int) -> DataFrame:
+    """``doc_id``, ``twin``, ``begun`` and ``stop`` of short rests to drop, from records in recurring templates."""
+    one = held.filter("gap is not null").select("doc_id", "twin", "stop", "after", "gap", "template_id", "first_id").distinct()
+    two = held.select(
+        F.col("doc_id").alias("_doc"), F.col("twin").alias("_twin"), F.col("begun").alias("_begun"),
+        F.col("template_id").alias("_next"), F.col("first_id").alias("_next_first"),
+    ).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("twin") == F.col("_twin")) & (F.col("after") == F.col("_begun"))
+    between = one.join(two, same).withColumn("gap_id", F.xxhash64("template_id", "_next", "gap"))
+    between = through_table(between.select("doc_id", "twin", "stop", "after", "first_id", "_next_first", "gap_id"))
+    per_doc = between.groupBy("gap_id", "doc_id").agg(F.lit(1).alias("one"))
+    often = per_doc.groupBy("gap_id").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc_id")).alias("first")).filter(F.col("docs") >= min_docs)
+    found = between.join(often.select("gap_id", F.col("first.doc_id").alias("_gap_first")), "gap_id")
+    for first in ("first_id", "_next_first", "_gap_first"):
+        found = found.filter(~F.col("doc_id").eqNullSafe(F.col(first)))
+    return found.select("doc_id", "twin", F.col("stop").alias("begun"), F.col("after").alias("stop"))
+
+
 def _twin(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def cut(text: str, spans: list[tuple[int, int]], gap_tokens: int = GAP_TOKENS) -> str:
-    """The text without the spans and without short rests between two of them."""
+def cut(text: str, spans: list[tuple[int, int]], gap_tokens: int = 0) -> str:
+    """The text without the spans and without rests of up to ``gap_tokens`` words between two of them."""
     merged: list[list[int]] = []
     for a, b in sorted(spans):
         if merged and len(text[merged[-1][1] : a].split()) <= gap_tokens:
@@ -198,9 +220,10 @@ def without_recurring(
     """
     rows = docs.select(col(doc_id).alias("doc_id"), _twin(col(text)).alias("twin"), col(text).alias("text"))
     held, _ = recurring(rows, depth, min_docs, min_tokens, similarity)
-    later = held.filter(~F.col("doc_id").eqNullSafe(F.col("first_id")))
+    later = held.filter(~F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "twin", "begun", "stop", F.lit(1).alias("record"))
+    later = later.union(recurring_gaps(held, min_docs).withColumn("record", F.lit(0)))
     # Twin rows hold the same records; each is listed once.
-    spans = later.groupBy("doc_id", "twin").agg(F.collect_set(F.struct("begun", "stop")).alias("_spans"))
+    spans = later.groupBy("doc_id", "twin").agg(F.collect_set(F.struct("begun", "stop", "record")).alias("_spans"))
     spans = spans.select(F.col("doc_id").alias("_doc"), F.col("twin").alias("_twin"), "_spans")
     same = col(doc_id).eqNullSafe(F.col("_doc")) & (_twin(col(text)) == F.col("_twin"))
     names = docs.columns
@@ -211,7 +234,7 @@ def without_recurring(
             texts, counts = [], []
             for value, found in zip(batch.column(text), batch.column("_spans").to_pylist()):
                 value = value.as_py()
-                counts.append(len(found or []))
+                counts.append(sum(s["record"] for s in found or []))
                 texts.append(cut(value, [(s["begun"], s["stop"]) for s in found]) if found else value)
             columns = [pa.array(texts, pa.string()) if n == text else batch.column(n) for n in names]
             extra = [pa.array(counts, pa.int32())] if dropped else []

@@ -308,6 +308,16 @@ def test_templates_on_random_lines(spark):
     assert {r[0]: r[1] for r in templates.without_recurring(table).collect()} == brute_templates(rows)
 
 
+def test_short_rests_between_dropped_records_go_only_if_they_recur(spark):
+    above, below = "The reading room sends you this notice.", "Please keep the notice for your records."
+    rows = [(i, f"{prose(i, 12)}\n{above}\nInvoice total: {4711 + i} EUR\n{below}\nOffice hours\n{above}") for i in range(5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["text"], r["gone"]) for r in templates.without_recurring(table, dropped="gone").collect()}
+    assert got[0] == (rows[0][1], 0)
+    for i in range(1, 5):
+        assert got[i] == (f"{prose(i, 12)}\nInvoice total: {4711 + i} EUR", 3)
+
+
 def test_templates_of_awkward_rows(docs, nothing):
     kept = templates.without_recurring(docs)
     assert kept.columns == docs.columns and kept.count() == docs.count()
