@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 2000
+BATCH_BYTES = 16 << 20
 
 
 def col(name: str) -> Column:
@@ -18,10 +19,12 @@ def col(name: str) -> Column:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Texts are long, so Arrow batches hold fewer rows than the default."""
+    """Texts are long, so Arrow batches hold fewer rows and bytes than the defaults."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
+    # A batch ends with the row that takes it over this size, so one row may be larger.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def ddl(df: DataFrame, *names: str) -> str:
