@@ -2,8 +2,14 @@
 
 Every stage takes all rows its predecessor kept. All but the last return the columns they were
 given; each call of a stage gives the same rows wherever its input's rows lie, up to ties that
-a stage's operator documents. Documents with null or empty texts pass the filters, and the
-near-duplicate stage keeps one of the empty ones.
+a stage's operator documents.
+
+Defined results: documents with null or empty texts pass the filters, and the near-duplicate
+stage keeps one of them. Rows with a null id pass every stage but that one, where such a row
+still counts as a copy; rows that repeat an id and a text pass or go together. Empty ``documents``
+give no rows; without labels the toxicity stage rejects nothing, and without benchmark items the
+decontamination stage does not. Whole texts are read, however long. Further columns, whatever
+their names, are carried through.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from occupipe.llm import counterfactual, decontaminate, packing, shingle_sets, templates
+from occupipe.llm import counterfactual, decontaminate, packing, simhash, templates
 from occupipe.session import through_table
 
 
@@ -29,8 +35,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, one stays."""
-    return shingle_sets.first_of_each(docs, words=5, least=0.8)
+    """Of documents linked by SimHash fingerprints of four-word shingles that differ in 4 bits or fewer, the first stays."""
+    return simhash.first_of_each(docs, words=4, radius=4)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

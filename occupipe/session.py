@@ -69,6 +69,11 @@ def _scratch(spark: SparkSession) -> str:
     return os.path.join(base, f"occupipe-{context.applicationId}")
 
 
+def kept_dir(spark: SparkSession, name: str) -> str:
+    """A folder of the warehouse that outlives the application, for tables that later runs read."""
+    return os.path.join(spark.conf.get("spark.sql.warehouse.dir"), name)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result survives the loss of any executor."""
     context = df.sparkSession.sparkContext
