@@ -18,6 +18,14 @@ def col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, or a longer form of it that the table has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Texts are long, so Arrow batches hold fewer rows and bytes than the defaults."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

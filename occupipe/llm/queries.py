@@ -24,7 +24,7 @@ from occupipe.llm import (
     url_rules,
 )
 from occupipe.llm.common import bucket_of
-from occupipe.session import shared_dir
+from occupipe.session import kept_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -98,8 +98,10 @@ def template_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_token_counts")
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts are kept in the warehouse, in a folder per tokenizer version, for later runs."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    counted = token_cache.count_tokens(table(spark, folder, "documents"), path, shared_dir(spark))
+    cache = f"{kept_dir(spark, 'token_counts')}/{token_cache.tokenizer_version(path)}"
+    counted = token_cache.count_tokens(table(spark, folder, "documents"), path, cache)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from occupipe.llm.common import arrow, ddl, keyed_text, splitmix
+from occupipe.llm.common import arrow, col, ddl, free, keyed_text, splitmix
 from occupipe.llm.components import components
 from occupipe.session import through_table
 
@@ -229,5 +229,6 @@ def first_of_each(
     A row whose id is null or repeated stays; all columns are kept.
     """
     found = near_duplicates(docs, words, radius, more_radius, doc_id, text)
-    later = found.filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_later_id"))
-    return docs.join(later, docs[f"`{doc_id}`"] == F.col("_later_id"), "left_anti")
+    name = free(docs, "_later_id")
+    later = found.filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(name))
+    return docs.join(later, col(doc_id) == col(name), "left_anti")

@@ -2,7 +2,9 @@
 
 Texts are keyed by the SHA-256 of their normalised content and tokenizers by that of their
 file. Counts already stored under both are joined; each distinct text without one is encoded
-once, whatever its number of copies, and appended to the stored table.
+once, whatever its number of copies, and appended to the stored table. The table is kept between
+runs: a run over texts that were counted before encodes only the new ones. Runs that meet may
+store a digest twice; readers take one.
 
 Defined results: a null text counts as empty; equal texts share a count; an empty table gives
 no rows; repeated rows stay repeated; columns other than the two named are ignored.
@@ -81,6 +83,7 @@ def count_tokens(
     distinct = docs.select(digest.alias("digest"), content.alias("text")).groupBy("digest").agg(F.any_value("text").alias("text"))
     missing = distinct.join(stored_counts(spark, cache, version).select("digest"), "digest", "left_anti")
     arrow(missing, _counter(path, version), CACHE).write.mode("append").parquet(cache)
-    # Written first, so that the join has a shuffle of its own and a text with many copies can be split.
-    counts = through_table(stored_counts(spark, cache, version))
+    # Only what these documents ask for, not the whole cache. Written first, so that the join has a
+    # shuffle of its own and a text with many copies can be split.
+    counts = through_table(stored_counts(spark, cache, version).join(keyed.select("digest").distinct(), "digest", "left_semi"))
     return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")

@@ -349,6 +349,26 @@ def test_counts_and_the_cache(spark, docs, rows, nothing, tmp_path, file):
     assert token_cache.count_tokens(nothing, path, cache).count() == 0
 
 
+def test_a_second_run_of_the_query_encodes_only_new_texts(spark, tmp_path, monkeypatch):
+    from occupipe.llm import queries
+
+    monkeypatch.setattr(queries, "kept_dir", lambda spark, name: str(tmp_path / name))
+    asked = []
+    original = token_cache._counter
+    monkeypatch.setattr(token_cache, "_counter", lambda *a: asked.append(a) or original(*a))
+    first = [(i, prose(i, 30)) for i in range(20)]
+    more = first + [(100 + i, prose(i % 5 + 50, 30)) for i in range(10)]
+    sizes = []
+    for name, rows in (("one", first), ("one", first), ("two", more)):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, "doc_id long, text string").write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+        assert queries.QUERIES["op6_token_counts"](spark, folder).count() == len(rows)
+        stored = spark.read.parquet(f"{tmp_path}/token_counts/*")
+        sizes.append(stored.count())
+        assert stored.select("digest").distinct().count() == sizes[-1]
+    assert sizes == [20, 20, 25]
+
+
 def test_another_version_misses_the_cache(spark, docs, tmp_path):
     cache = str(tmp_path / "cache")
     one, two = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
