@@ -1,5 +1,6 @@
 """The operators against plain statements of their rules, on small tables with awkward rows."""
 
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -252,36 +253,84 @@ def test_every_word_seen_twice_has_its_own_losses(spark):
 # --- operator 5 ---------------------------------------------------------------------------
 
 
-def brute_templates(rows, depth=3, min_docs=3, min_tokens=5, similarity=0.8):
-    """Kept records per document, by the rule alone."""
-    found, lines = [], defaultdict(set)
+def brute_records(text):
+    """Begin, end and tokens of each record, by the words of the rule."""
+    spans = [(m.start(), m.end()) for m in re.finditer(r"[^ \t\n\r\v\f]+", text)]
+    groups = []
+    for a, b in spans:
+        if groups and "\n" not in text[groups[-1][-1][1] : a] and text[groups[-1][-1][1] - 1] not in ".!?":
+            groups[-1].append((a, b))
+        else:
+            groups.append([(a, b)])
+    return [(g[0][0], g[-1][1], [text[a:b] for a, b in g]) for g in groups]
+
+
+def brute_templates(rows, depth=3, min_docs=3, min_tokens=5, similarity=0.8, run=30, copy=0.8):
+    """Texts after the drops, by the rule alone, for rows whose long records do not recur."""
+    masked = lambda tokens: tuple("<*>" if re.search("[0-9]", t) else t for t in tokens)
+    wordy = lambda shown: sum(t != "<*>" for t in shown) >= max(3, (len(shown) + 1) // 2)
+    units, lines = defaultdict(list), defaultdict(set)
     for doc, text in rows:
-        for a, b, tokens in templates.records(text or ""):
-            if len(tokens) >= min_tokens:
-                leaf = (len(tokens), *tokens[:depth])
-                lines[leaf, tuple(tokens)].add(doc)
-                found.append((doc, a, b, leaf, tuple(tokens)))
-    support = Counter()
-    for (leaf, tokens), held in lines.items():
-        for at, token in enumerate(tokens):
-            support[leaf, at, token] += len(held)
-    several = Counter(leaf for leaf, _ in lines)
-
-    def template(leaf, tokens):
-        constant = [at < depth or support[leaf, at, t] >= min_docs for at, t in enumerate(tokens)]
-        if several[leaf] > 1 and sum(constant) / len(tokens) >= similarity:
-            return leaf, tuple(t if c else "<*>" for t, c in zip(tokens, constant))
-        return leaf, tokens
-
-    held = defaultdict(set)
-    for doc, _, _, leaf, tokens in found:
-        held[template(leaf, tokens)].add(doc)
-    drop = defaultdict(set)
-    for doc, a, b, leaf, tokens in found:
-        docs = held[template(leaf, tokens)]
-        if len(docs) >= min_docs and doc != min(docs):
-            drop[doc].add((a, b))
-    return {doc: templates.cut(text, list(drop[doc])) if doc in drop else text for doc, text in rows}
+        before = None
+        for at, (a, b, tokens) in enumerate(brute_records(text or "")):
+            shown = masked(tokens)
+            name = ("general", shown) if wordy(shown) else ("exact", tuple(tokens))
+            if len(tokens) > 24:
+                kind, name = "long", ("long", tuple(tokens))
+            else:
+                kind = "short" if len(tokens) < min_tokens else "whole"
+            if kind == "whole" and wordy(shown):
+                lines[(len(shown), *shown[:depth]), shown].add(doc)
+            units[doc].append((at, a, b, len(tokens), kind, ("short", tuple(tokens), before) if kind == "short" else name))
+            before = name
+    support, several = Counter(), Counter(leaf for leaf, _ in lines)
+    for (leaf, shown), docs in lines.items():
+        for at, token in enumerate(shown):
+            support[leaf, at, token] += len(docs)
+
+    def template(name):
+        leaf = (len(name[1]), *name[1][:depth])
+        if name[0] != "general" or several[leaf] < 2:
+            return name
+        fixed = [at < depth or support[leaf, at, t] >= min_docs for at, t in enumerate(name[1])]
+        made = tuple(t if f else "<*>" for t, f in zip(name[1], fixed))
+        return ("made", leaf, made) if sum(fixed) / len(fixed) >= similarity and wordy(made) else name
+
+    docs_of = defaultdict(set)
+    for doc, held in units.items():
+        for u in held:
+            docs_of[template(u[5])].add(doc)
+    out = {}
+    for doc, text in rows:
+        held = [(*u, docs_of[template(u[5])]) for u in units[doc]]
+        held = [u for u in held if len(u[6]) > 1 and min(u[6]) != doc and u[4] != "long"]
+        place = {u[0]: i for i, u in enumerate([u for u in units[doc] if u[4] != "short"])}
+        often = [u for u in held if len(u[6]) >= min_docs]
+        gone = {u[0] for u in often if u[4] == "whole"}
+
+        def long_runs(some, key):
+            some = [u for u in some if u[4] != "short"]
+            for i, u in enumerate(some):
+                j = i
+                while j + 1 < len(some) and place[some[j + 1][0]] == place[some[j][0]] + 1 and key(some[j + 1]) == key(u):
+                    j += 1
+                if sum(x[3] for x in some[i : j + 1]) >= run:
+                    yield from (x[0] for x in some[i : j + 1])
+
+        # Only maximal runs count, so a start inside a run adds nothing that the run lacks.
+        gone |= set(long_runs(often, lambda u: 0))
+        two = set(long_runs(held, lambda u: min(u[6])))
+        size = {u[0]: u[3] for u in units[doc]}
+        if sum(size[at] for at in gone | two) < copy * len((text or "").split()):
+            gone |= two
+        gone |= {u[0] for u in often if u[4] == "short" and {u[0] - 1, u[0] + 1} <= gone & place.keys()}
+        left = text
+        for at, a, b, *_ in reversed(units[doc]):
+            if at in gone:
+                stop = len(left) - len(left[b:].lstrip(" \t\n")) if not left[:a] or left[a - 1] in " \t\n" else b
+                left = left[:a] + left[stop:]
+        out[doc] = left.strip() if gone else text
+    return out
 
 
 def test_recurring_templates_go_from_all_but_the_first(spark):
@@ -318,6 +367,62 @@ def test_short_rests_between_dropped_records_go_only_if_they_recur(spark):
         assert got[i] == (f"{prose(i, 12)}\nInvoice total: {4711 + i} EUR", 3)
 
 
+def test_rows_of_numbers_stay(spark):
+    """Values without constant words are one line only where they are equal."""
+    draw = np.random.default_rng(4)
+    table = lambda: "\n".join(" ".join(map(str, draw.integers(0, 10**6, 6))) for _ in range(5))
+    rows = [(i, f"{prose(i, 9)}.\n{table()}\nPrice 3{i}.50 EUR 4{i}.10 net 9{i} 1{i}\n2024-01-0{i} 10:0{i} 5{i} up 7{i}") for i in range(1, 5)]
+    rows += [(10 + i, f"{prose(50 + i, 9)}.\n1 2 3 4 5 6\n{prose(70 + i, 9)}.") for i in range(3)]
+    got = {r[0]: r[1] for r in templates.without_recurring(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    assert {i: got[i] for i in range(1, 5)} == {i: t for i, t in rows[:4]} and got[10] == rows[4][1]
+    assert all("1 2 3" not in got[i] and len(got[i].split()) == 18 for i in (11, 12)) and got == brute_templates(rows)
+
+
+@pytest.mark.parametrize("docs, words", [(6, 80), (3, 60), (2, 120)])
+def test_passages_inside_longer_lines(spark, docs, words):
+    """A passage without sentence ends goes from the middle of different lines, but for a few words at its ends."""
+    passage = prose(901, words)
+    rows = [(i, f"{prose(i, 90)} {passage} {prose(100 + i, 70 + i)}\n{prose(200 + i, 50)}.") for i in range(docs)]
+    rows += [(50 + i, prose(300 + i, 200)) for i in range(5)]
+    got = {r[0]: r[1] for r in templates.without_recurring(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert all(got[i] == dict(rows)[i] for i in (0, 50, 51, 52, 53, 54))
+    for i in range(1, docs):
+        left = got[i].split()
+        own = [*prose(i, 90).split(), *prose(100 + i, 70 + i).split(), *f"{prose(200 + i, 50)}.".split()]
+        rest = len(left) - len(own)
+        assert 0 <= rest <= 30 and left[:90] == own[:90] and left[-50:] == own[-50:]
+
+
+def test_a_copy_of_two_stays_and_a_shared_passage_goes(spark):
+    passage = ". ".join(prose(i, 13) for i in range(900, 909))
+    rows = [(1, f"{passage}. {prose(1, 40)}"), (2, f"{prose(2, 60)}.\n{passage}.\n{prose(3, 20)}."), (5, prose(5, 90)), (6, prose(5, 90))]
+    got = {r[0]: r[1] for r in templates.without_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(rows) | {2: f"{prose(2, 60)}.\n{prose(3, 20)}."} == brute_templates(rows)
+
+
+def test_units_by_the_rule():
+    """Vectorised records equal the rule's in texts with all kinds of space, empty rows and many bytes."""
+    import pyarrow as pa
+
+    texts = [None, "", " \n\t", "a b. c d!\ne  f\n\ng", "one", "Größe ist x. y 你好。 z?\u00a0w", "\n lead\r\n x\x0by \n", prose(4, 500), "t " * 40 + "end", "9" * 5000 + " x"]
+    array = pa.array(["skip", *texts]).slice(1)
+    units = templates.Units(array, 3, 5, 10**9)
+    got = [(int(r), array[int(r)].as_py().encode()[a:b].decode(), int(n)) for r, a, b, n in zip(units.row, units.begun, units.stop, units.size)]
+    assert got == [(i, t[a:b], len(w)) for i, t in enumerate(texts) for a, b, w in brute_records(t or "")]
+    cut = templates.Units(array, 3, 5, 24)
+    for i, t in enumerate(texts):
+        spans = [(a, b) for r, a, b in zip(cut.row, cut.begun, cut.stop) if r == i]
+        assert b" ".join((t or "").encode()[a:b] for a, b in spans).split() == (t or "").encode().split()
+    assert (cut.kind == templates.PIECE).sum() > 30
+
+
+def test_line_dedup_with_any_column_names(spark):
+    rows = [(i, f"{prose(i, 9)}.\nThe same line of words stands here.", "x", "y", "z") for i in range(4)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _doc string, _twin string, _units string")
+    got = templates.without_recurring(table, dropped="_dropped")
+    assert got.columns == [*table.columns, "_dropped"] and sorted(r["_dropped"] for r in got.collect()) == [0, 1, 1, 1]
+
+
 def test_templates_of_awkward_rows(docs, nothing):
     kept = templates.without_recurring(docs)
     assert kept.columns == docs.columns and kept.count() == docs.count()
