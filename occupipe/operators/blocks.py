@@ -1,8 +1,8 @@
 """HTML extraction: lists, paragraph lists, verb paragraphs, sections and links.
 
-A document is one row, so its blocks are found inside that row with array functions.
-No shuffle regroups a document's pieces, however many documents there are: the whole
-extraction is one narrow stage over the scan.
+A document is one row, so its blocks are found inside that row, lists by one scan with a
+stack (``functions/tag_scan.py``) and all else with array functions. No shuffle regroups a
+document's pieces, however many documents there are: the whole extraction is one narrow stage.
 
 Known differences from a DOM parser: a ``p`` closes at the next block tag rather than
 nesting when left open, and only the entities in ``fixed_values`` are decoded.
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from occupipe.functions import fixed_values as fixed
+from occupipe.functions import tag_scan
 from occupipe.functions import text as T
 from occupipe.functions.binding import let
 from occupipe.operators.groups import is_small, lookup_each
@@ -69,72 +70,7 @@ def html_lists(markup: Column) -> Column:
 
     A nested list is a list of its own, and its items also count in every list around it.
     """
-    return let(_cut_at(markup, "ol|ul|li"), _lists_of_pieces)
-
-
-def _lists_of_pieces(pieces: Column) -> Column:
-    def mark(piece: Column) -> Column:
-        return F.struct(
-            F.when(piece.rlike(r"(?i)^<(ol|ul)\b"), 1)
-            .when(piece.rlike(r"(?i)^</(ol|ul)\b"), -1)
-            .otherwise(0)
-            .alias("step"),
-            piece.rlike(r"(?i)^<li\b").alias("is_item"),
-            piece.rlike(r"(?i)^</?li\b").alias("ends_item"),
-        )
-
-    def depths(marked: Column) -> Column:
-        return F.aggregate(
-            marked,
-            F.array().cast("array<int>"),
-            lambda acc, m: F.concat(
-                acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + m.step)
-            ),
-        )
-
-    def placed(marked: Column) -> Column:
-        return F.zip_with(
-            F.transform(marked, lambda m, i: F.struct(m.alias("m"), i.alias("at"))),
-            depths(marked),
-            lambda z, d: F.struct(
-                z.m.step.alias("step"),
-                z.m.is_item.alias("is_item"),
-                z.m.ends_item.alias("ends_item"),
-                d.alias("depth"),
-                z["at"].alias("at"),
-            ),
-        )
-
-    def lists(entries: Column) -> Column:
-        def stop(ends: Column) -> Column:
-            return F.coalesce(F.get(ends, F.lit(0))["at"], F.size(pieces))
-
-        def item_html(item: Column) -> Column:
-            ends = F.filter(
-                entries,
-                lambda e: (e["at"] > item["at"])
-                & ((e.depth < item.depth) | (e.ends_item & (e.depth == item.depth))),
-            )
-            own = F.slice(pieces, item["at"] + 1, stop(ends) - item["at"])
-            return F.concat(F.array_join(own, ""), F.lit("</li>"))
-
-        def items_of(opened: Column) -> Column:
-            ends = F.filter(
-                entries, lambda e: (e["at"] > opened["at"]) & (e.depth < opened.depth)
-            )
-            inside = let(
-                stop(ends),
-                lambda last: F.filter(
-                    entries,
-                    lambda e: e.is_item & (e["at"] > opened["at"]) & (e["at"] < last),
-                ),
-            )
-            return F.transform(inside, item_html)
-
-        found = F.transform(F.filter(entries, lambda e: e.step == 1), items_of)
-        return F.filter(found, lambda items: F.size(items) > 0)
-
-    return let(let(F.transform(pieces, mark), placed), lists)
+    return tag_scan.html_lists(markup)
 
 
 def paragraphs(markup: Column) -> Column:
@@ -144,32 +80,9 @@ def paragraphs(markup: Column) -> Column:
     return F.transform(opened, lambda p: F.concat(p, F.lit("</p>")))
 
 
-def opens_item(paragraph: Column) -> Column:
-    """Does a paragraph start with a bullet, hyphen, middle dot or number?"""
-    return F.regexp_replace(paragraph, "^<[^>]*>", "").rlike(fixed.BULLET_START)
-
-
 def paragraph_lists(markup: Column) -> Column:
     """Runs of consecutive bulleted paragraphs, as an array of item arrays."""
-    flagged = F.transform(
-        paragraphs(markup), lambda p: F.struct(p.alias("html"), opens_item(p).alias("hit"))
-    )
-    runs = F.aggregate(
-        flagged,
-        F.array(F.array().cast("array<string>")),
-        lambda acc, p: F.when(
-            p.hit,
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.concat(F.element_at(acc, -1), F.array(p.html))),
-            ),
-        ).otherwise(
-            F.when(F.size(F.element_at(acc, -1)) == 0, acc).otherwise(
-                F.concat(acc, F.array(F.array().cast("array<string>")))
-            )
-        ),
-    )
-    return F.filter(runs, lambda items: F.size(items) > 0)
+    return tag_scan.paragraph_lists(markup, BLOCK_TAGS)
 
 
 def first_word(cleaned: Column) -> Column:
@@ -243,36 +156,18 @@ def scored_lists(lists: Column, verbs: Sequence[str] | Column) -> Column:
 SCORED = "array<struct<items:array<string>,n:int,verbs:int>>"
 
 
-def _merge_pass(lists: Column) -> Column:
-    """One left-to-right pass: each short verb list joins the list kept before it."""
-    def fold(kept: Column, nxt: Column) -> Column:
-        last = F.element_at(kept, -1)
-        joined = F.struct(
-            F.concat(last["items"], nxt["items"]).alias("items"),
-            (last["n"] + nxt["n"]).alias("n"),
-            (last["verbs"] + nxt["verbs"]).alias("verbs"),
-        )
-        short_verbs = (nxt["n"] < fixed.MERGE_BELOW_ITEMS) & (
-            nxt["verbs"] / nxt["n"] >= fixed.MERGE_FROM_SCORE
-        )
-        return F.when(
-            (F.size(kept) > 0) & short_verbs,
-            F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(joined)),
-        ).otherwise(F.concat(kept, F.array(nxt)))
-
-    return F.aggregate(lists, F.array().cast(SCORED), fold)
-
-
 def merged_lists(lists: Column) -> Column:
     """Merge short verb lists into the list before them until nothing changes.
 
-    A list that first qualifies in pass k has absorbed one list in each earlier pass, so
-    it has at least k items. Only lists of fewer than six items qualify, hence five
-    passes always reach the stable state.
+    Only the counts leave the JVM; a merged list is a range of the lists.
     """
-    for _ in range(fixed.MERGE_BELOW_ITEMS - 1):
-        lists = _merge_pass(lists)
-    return lists
+    counts = F.transform(lists, lambda l: F.struct(l["n"].alias("n"), l["verbs"].alias("verbs")))
+
+    def joined(r: Column) -> Column:
+        items = F.flatten(F.transform(F.slice(lists, r["first"] + 1, r["lists"]), lambda l: l["items"]))
+        return F.struct(items.alias("items"), r["n"].alias("n"), r["verbs"].alias("verbs"))
+
+    return F.transform(tag_scan.merge_ranges(counts), joined)
 
 
 def chosen_list(lists: Column) -> Column:
@@ -298,8 +193,13 @@ def chosen_list(lists: Column) -> Column:
 
 
 def best_list(lists: Column, verbs: Sequence[str] | Column) -> Column:
-    """Score, merge and choose, in that order."""
-    return chosen_list(merged_lists(scored_lists(lists, verbs)))
+    """Score, merge and choose, in that order; ``chosen_list(merged_lists(scored_lists(lists, verbs)))`` without the copies."""
+    def counts(items: Column) -> Column:
+        hits = F.filter(items, lambda item: starts_with_verb(T.item_opening(item), verbs))
+        return F.struct(F.size(items).alias("n"), F.size(hits).alias("verbs"))
+
+    best = tag_scan.choose_range(F.transform(lists, counts))
+    return F.flatten(F.slice(lists, best["first"] + 1, best["lists"]))
 
 
 def verb_paragraphs(markup: Column, verbs: Sequence[str] | Column) -> Column:

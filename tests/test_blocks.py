@@ -1,7 +1,11 @@
+import re
+import time
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from occupipe.functions import tag_scan
 from occupipe.operators import blocks as B
 
 VERBS = ["performing", "perform", "acting", "manage", "plan", "lead"]
@@ -47,14 +51,64 @@ def test_list_choice(spark):
 
 def test_verb_overrides(one):
     test = lambda c: B.starts_with_verb(c, VERBS)
-    assert one(test, "proven success") is False
-    assert one(test, "review success") is True
-    assert one(test, "acting on this") is True
-    assert one(test, "You are acting") is True
+    assert one(test, "proven skill with tools") is False
+    assert one(test, "review of all plans") is True
+    assert one(test, "lead a crew of five") is True
+    assert one(test, "Are you performing under pressure") is True
     assert one(test, "") is False
     assert one(test, "nothing here") is False
 
 
+def by_arrays(html):
+    """Lists and items by the positions and depths of all tags, pair by pair."""
+    cuts = [m.start() for m in re.finditer(r"</?(?:ol|ul|li)\b", html, re.I | re.A)]
+    pieces = [html[a:b] for a, b in zip(cuts, [*cuts[1:], len(html)])]
+    depth, deep = 0, []
+    for p in pieces:
+        depth += 1 if re.match("<(ol|ul)", p, re.I) else -1 if re.match("</(ol|ul)", p, re.I) else 0
+        deep.append(depth)
+    stop = lambda at, ends: next((j for j in range(at + 1, len(pieces)) if ends(j)), len(pieces))
+    items = {}
+    for i, p in enumerate(pieces):
+        if re.match("<li", p, re.I):
+            end = stop(i, lambda j: deep[j] < deep[i] or deep[j] == deep[i] and re.match("</?li", pieces[j], re.I))
+            items[i] = "".join(pieces[i:end]) + "</li>"
+    found = []
+    for i, p in enumerate(pieces):
+        if re.match("<(ol|ul)", p, re.I):
+            end = stop(i, lambda j: deep[j] < deep[i])
+            found.append([items[k] for k in items if i < k < end])
+    return [f for f in found if f]
+
+
+MARKUP = st.lists(st.sampled_from(["<ul>", "</ul>", "<OL class='x'>", "</ol>", "<li>", "<li id=1>", "</LI>", "a", "b c", "<p>", "<lie>", "<ul"]), max_size=40)
+
+
+@settings(max_examples=300, deadline=None)
+@given(MARKUP)
+def test_scanned_lists_equal_the_rule(parts):
+    html = "".join(parts)
+    assert tag_scan.list_blocks(html) == by_arrays(html)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 7), st.integers(0, 7)).map(lambda c: (c[0], min(c))), max_size=12))
+def test_merged_ranges_cover_all_lists_in_order(counts):
+    ranges = tag_scan.merged_ranges(counts)
+    assert [(n, v) for _, _, n, v in ranges] == merged_by_rule(counts)
+    assert [i for first, lists, _, _ in ranges for i in range(first, first + lists)] == list(range(len(counts)))
+
+
+def test_a_page_of_many_tags_is_scanned_in_seconds(spark):
+    flat = "<ul>" + "<li>Plan it</li>" * 25_000 + "</ul>" + "<p>• Lead it</p>" * 25_000
+    deep = "<ul><li>x" * 2_000 + "</li></ul>" * 2_000
+    unclosed = "<li>" * 50_000 + "</ul>" * 50_000
+    begun = time.perf_counter()
+    assert [len(x) for x in tag_scan.list_blocks(flat)] == [25_000] and len(tag_scan.list_blocks(deep)) == 2_000
+    assert tag_scan.list_blocks(unclosed) == [] and time.perf_counter() - begun < 5
+    assert len(lists_of(spark, flat, B.paragraph_lists)[0]) == 25_000
+
+
 def merged_by_rule(lists):
     """The merge rule as a loop: repeat whole passes until none changes anything."""
     while True:
