@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import functions as F
 
 from occupipe.functions import fixed_values as fixed
@@ -81,7 +83,10 @@ FLAT_SQL = """
 
 @query("flattened_records", FLAT_SQL)
 def flattened_records(t):
-    flat = records.flatten(order_records(t))
+    return flat_result(records.flatten(order_records(t)))
+
+
+def flat_result(flat):
     return flat.select(
         "ad_id",
         "uuid",
@@ -255,3 +260,84 @@ def nested_sink(t):
     return back.select(
         "ad_id", F.get("prediction.codes", F.lit(0)).alias("top_code"), F.size("prediction.codes").cast("bigint").alias("n")
     )
+
+
+def nation_files(t) -> str:
+    """One JSON document per nation in a file named by its key, a day apart in time."""
+    folder, context = shared_dir(t.spark), t.spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(context._jsc.hadoopConfiguration())
+    docs = t.nation.select("n_nationkey", F.to_json(F.struct("n_name", F.expr("if(n_nationkey % 3 = 0, null, n_regionkey)").alias("region"))).alias("doc"))
+    for row in docs.collect():  # the files of a source, a handful of nations
+        file = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/N-{row['n_nationkey']}.json")
+        out = fs.create(file)
+        out.write(bytearray(row["doc"].encode()))
+        out.close()
+        fs.setTimes(file, 1_700_000_000_000 + 86_400_000 * row["n_nationkey"], -1)
+    return folder
+
+
+@query(
+    "records_by_file_name",
+    """SELECT 'N-' || n_nationkey AS ad_id, n_name AS name, n_nationkey % 3 <> 0 AS has_region FROM nation""",
+)
+def records_by_file_name(t):
+    """One document per file, with the id from the file's name; a null key is left out of the text."""
+    docs = readers.read_json_records(t.spark, nation_files(t))
+    return docs.select("ad_id", F.get_json_object("doc", "$.n_name").alias("name"), F.array_contains(F.json_object_keys("doc"), "region").alias("has_region"))
+
+
+@query(
+    "records_changed_since",
+    """SELECT 'N-' || n_nationkey AS ad_id FROM nation WHERE n_nationkey > 5""",
+)
+def records_changed_since(t):
+    """Files changed after a time that is given with a zone other than the session's."""
+    since = datetime.fromtimestamp(1_700_000_000 + 5 * 86_400, timezone(timedelta(hours=8)))
+    return readers.read_json_records(t.spark, nation_files(t), modified_after=since).select("ad_id")
+
+
+@query(
+    "records_of_matching_files",
+    """SELECT 'N-' || n_nationkey AS ad_id FROM nation WHERE CAST(n_nationkey AS VARCHAR) LIKE '1%'""",
+)
+def records_of_matching_files(t):
+    return readers.read_json_records(t.spark, nation_files(t), name_filter="N-1*.json").select("ad_id")
+
+
+@query(
+    "json_lines_scan",
+    """
+    SELECT 'AD-' || o_orderkey AS ad_id, CASE WHEN o_orderkey % 3 = 0 THEN 'missing' WHEN o_orderkey % 3 = 1 THEN 'null' ELSE o_orderpriority END AS priority,
+        'part' AS file_kind, strftime(TIMESTAMP '2023-11-14 00:00:00', '%Y-%m-%d') AS modified FROM orders
+    """,
+)
+def json_lines_scan(t):
+    """A splittable scan of one document per line, in which a missing key and a null one differ, with each file's name and time."""
+    folder, context = shared_dir(t.spark), t.spark.sparkContext
+    key = F.concat(F.lit("AD-"), F.col("o_orderkey").cast("string")).alias("id")
+    nothing = {"ignoreNullFields": "false"}
+    third = F.col("o_orderkey") % 3
+    full = F.to_json(F.struct(key, F.when(third == 2, F.col("o_orderpriority")).alias("priority")), nothing)
+    lines = t.orders.select(F.when(third == 0, F.to_json(F.struct(key))).otherwise(full).alias("value"))
+    lines.write.text(folder)
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(context._jsc.hadoopConfiguration())
+    for status in fs.listStatus(path):
+        fs.setTimes(status.getPath(), 1_699_948_800_000, -1)
+    rows = readers.read_json_lines(t.spark, folder, name_filter="part-*")
+    keys = F.json_object_keys("doc")
+    shown = F.when(~F.array_contains(keys, "priority"), "missing").otherwise(F.coalesce(F.get_json_object("doc", "$.priority"), F.lit("null")))
+    return rows.select("ad_id", shown.alias("priority"), F.substring("file_name", 1, 4).alias("file_kind"), F.date_format("modified", "yyyy-MM-dd").alias("modified"))
+
+
+@query("missing_column", """SELECT 'column "grade" not found' AS error, count(*) AS n FROM orders""")
+def missing_column(t):
+    """The error that names an absent column, beside the count of a subset that has all of its columns."""
+    try:
+        readers.select_renamed(t.orders, {"o_orderkey": "key", "grade": "label"})
+        error = None
+    except ValueError as found:
+        error = str(found)
+    kept = readers.select_renamed(t.orders, {"o_orderkey": "key"})
+    return kept.agg(F.lit(error).alias("error"), F.count("key").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,12 +62,34 @@ def read_json_records(
     Raw text keeps the difference between a missing key and a null one. Only files
     changed since ``modified_after`` and matching ``name_filter`` are opened.
     """
-    reader = spark.read.option("wholetext", True)
+    found = _filtered(spark, modified_after, name_filter).option("wholetext", True).format("text").load(path)
+    return found.select(file_id().alias("ad_id"), F.col("value").alias("doc"))
+
+
+def _filtered(spark: SparkSession, modified_after: datetime | None, name_filter: str | None):
+    reader = spark.read
     if modified_after is not None:
+        # A time without a zone is in the session's.
+        if modified_after.tzinfo is not None:
+            reader = reader.option("timeZone", "UTC")
+            modified_after = modified_after.astimezone(timezone.utc)
         reader = reader.option("modifiedAfter", modified_after.strftime("%Y-%m-%dT%H:%M:%S"))
-    if name_filter is not None:
-        reader = reader.option("pathGlobFilter", name_filter)
-    return reader.format("text").load(path).select(file_id().alias("ad_id"), F.col("value").alias("doc"))
+    return reader if name_filter is None else reader.option("pathGlobFilter", name_filter)
+
+
+def read_json_lines(
+    spark: SparkSession, path: str, id_path: str = "$.id", modified_after: datetime | None = None, name_filter: str | None = None
+) -> DataFrame:
+    """One JSON document per line as raw text, with the id at ``id_path`` in it, the file's name and its time.
+
+    Files are read in splits, and raw text keeps the difference between a missing key and a null one.
+    """
+    lines = _filtered(spark, modified_after, name_filter).format("text").load(path)
+    doc = F.col("value")
+    return lines.filter(F.trim(doc) != "").select(
+        F.get_json_object(doc, id_path).alias("ad_id"), doc.alias("doc"),
+        F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_modification_time").alias("modified"),
+    )
 
 
 def file_id():

@@ -6,7 +6,8 @@ incremental run; the checkpoint remembers what has been read.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from occupipe.functions import text as T
+from occupipe.operators.groups import keep_one
 from occupipe.operators.joins import with_titles
+from occupipe.session import cut_lineage
 from occupipe.sources import records
 from occupipe.sources.readers import file_id
 
+ID_SLOTS = 256
+
 
 def read_record_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     """New JSON files as raw documents with the id from the file name."""
@@ -34,32 +39,68 @@ def flatten_stream(documents: DataFrame) -> DataFrame:
 
 def skip_repeats(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
     """Drop ids seen within the watermark delay."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
 def append_unseen(
-    stream: DataFrame, key: str, path: str, checkpoint: str, bucket: str = "bucket"
+    stream: DataFrame, key: str, path: str, checkpoint: str, bucket: str = "bucket", order: Sequence[str] = (), slots: int = ID_SLOTS
 ) -> StreamingQuery:
     """Append rows whose id the sink does not hold, however long ago it was written.
 
-    A batch that is retried after a failure finds its own rows in the sink only if they
-    were committed, so nothing is written twice.
+    Ids are kept beside the rows in ``{path}/ids``, by ``slots`` hash slots, and a micro-batch reads only
+    the slots of its own ids; the rows are in ``{path}/rows``, see ``appended``. Of several rows of
+    an id in a batch the first by ``order`` and then by all columns stays. Each batch of a
+    checkpoint writes folders of its own, which a retry overwrites, and a retry does not take the
+    ids of its failed attempt for known. So nothing is written twice and nothing is lost.
     """
-    def write(batch: DataFrame, _: int) -> None:
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    first = [F.col(c) for c in (*order, *sorted(c for c in stream.columns if c not in order))]
+
+    def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        try:
-            done = spark.read.parquet(path).select(key)
-        except Exception as error:  # the sink does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-        else:
-            fresh = fresh.join(done, key, "left_anti")
-        fresh.write.mode("append").partitionBy(bucket).parquet(path)
+        slot = F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+        fresh = keep_one(batch.withColumn("slot", slot), [key], first)
+        ids, here = f"{path}/ids", f"run={run}/batch={number}"
+        if folder_exists(spark, ids):
+            mine = [r["slot"] for r in batch.select(slot.alias("slot")).distinct().collect()]  # at most ``slots`` numbers
+            done = spark.read.schema(f"{key} {dict(batch.dtypes)[key]}, run string, batch bigint, slot int").parquet(ids)
+            earlier = (F.col("run") != run) | (F.col("batch") < number)
+            known = done.filter(F.col("slot").isin(mine) & earlier).select(F.col(key).alias("_known"))
+            fresh = fresh.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti")
+        fresh = cut_lineage(fresh)
+        fresh.drop("slot").write.mode("overwrite").partitionBy(bucket).parquet(f"{path}/rows/{here}")
+        # The rows are whole before their ids are known.
+        fresh.select(key, "slot").repartition("slot").write.mode("overwrite").partitionBy("slot").parquet(f"{ids}/{here}")
 
     return start(stream.writeStream.foreachBatch(write), checkpoint)
 
 
+def appended(spark: SparkSession, path: str) -> DataFrame:
+    """What ``append_unseen`` has written."""
+    return spark.read.parquet(f"{path}/rows").drop("run", "batch")
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(context._jsc.hadoopConfiguration()).exists(folder)
+
+
+def split_rejects(documents: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Accepted records flattened to ``{path}/kept`` and rejected ones to ``{path}/rejected``, in one pass of the stream.
+
+    Each micro-batch writes a folder of its own, which a retry overwrites.
+    """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def write(batch: DataFrame, number: int) -> None:
+        parsed = cut_lineage(records.parse_records(batch))
+        for name, rows in (("kept", records.flatten(parsed)), ("rejected", records.rejected(parsed))):
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/run={run}/batch={number}")
+
+    return start(documents.writeStream.foreachBatch(write), checkpoint)
+
+
 def append_buckets(stream: DataFrame, path: str, checkpoint: str, bucket: str = "bucket") -> StreamingQuery:
     """File sink, one folder per bucket."""
     writer = stream.writeStream.format("parquet").partitionBy(bucket).option("path", path)
@@ -67,8 +108,10 @@ def append_buckets(stream: DataFrame, path: str, checkpoint: str, bucket: str =
 
 
 def weekly_counts(stream: DataFrame, time: str, group: str, delay: str = "7 days") -> DataFrame:
-    """Rows per Monday-based week and group; later rows than the delay allows are dropped.
+    """Rows per Monday-based week and group.
 
+    In append mode a week is given out once, when the watermark has passed its end; later rows
+    of it are dropped and its state is freed. In complete mode all weeks stay and none is dropped.
     Windows count from a Thursday, so a start four days later falls on Mondays.
     """
     marked = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
@@ -95,6 +138,11 @@ def complete_to_table(stream: DataFrame, path: str, checkpoint: str) -> Streamin
     return start(stream.writeStream.outputMode("complete").foreachBatch(write), checkpoint)
 
 
+def append_final(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """File sink of rows that are given out once and never change."""
+    return start(stream.writeStream.format("parquet").option("path", path).outputMode("append"), checkpoint)
+
+
 def start(writer, checkpoint: str) -> StreamingQuery:
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
