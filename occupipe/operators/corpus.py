@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from occupipe.functions import fixed_values as fixed
-from occupipe.operators.groups import lookup_each, with_row_index
+from occupipe.operators.groups import lookup_each, md5_coin, with_row_index
 
 MILLION = 1_000_000
 VOCABULARY_LIMIT = 500_000
@@ -105,14 +105,15 @@ def mask_tokens(
     Of the chosen tokens a share is kept as it is and a share becomes another token of
     the vocabulary. Without ``vocab_size`` none is replaced by another token.
     """
-    draw = lambda i, salt: F.pmod(F.xxhash64(F.col(key), i, F.lit(seed), F.lit(salt)), F.lit(MILLION))
+    # An md5 coin, so that SQL can draw the same tokens.
+    draw = lambda i, salt: md5_coin(seed, F.col(key), i, F.lit(salt)) % MILLION
     replace = replace if vocab_size else 0.0
 
     def shown(token: Column, i: Column) -> Column:
         second = draw(i, 1)
         out = F.when(draw(i, 0) >= share * MILLION, token).when(second < keep * MILLION, token)
         if vocab_size:
-            other = F.pmod(F.xxhash64(F.col(key), i, F.lit(seed), F.lit(2)), F.lit(vocab_size)).cast("int")
+            other = (md5_coin(seed, F.col(key), i, F.lit(2)) % vocab_size).cast("int")
             out = out.when(second < (keep + replace) * MILLION, other)
         return out.otherwise(F.lit(mask_id))
 
@@ -145,7 +146,7 @@ def mask_whole_words(
     chosen = F.transform(
         runs,
         lambda r: r.isNotNull()
-        & (F.pmod(F.xxhash64(F.col(key), r, F.lit(seed)), F.lit(MILLION)) < share * MILLION),
+        & (md5_coin(seed, F.col(key), r) % MILLION < share * MILLION),
     )
     staged = df.withColumn("_hit", chosen)
     inputs, labels = _masked(F.col(ids), F.col("_hit"), mask_id)
