@@ -225,6 +225,26 @@ def test_a_probability_of_zero_counts_in_the_loss(spark):
     assert got == pytest.approx(2 * (math.log(2) - math.log(1e-15)) / 2)
 
 
+def test_title_search_in_blocks_of_titles(spark):
+    """The same rows however many titles a task is given; overlapping words, one-letter words, nulls and repeated rows."""
+    from occupipe.operators.search import title_search
+
+    texts = ["abcab", "a b c", "ABC tab", None, "", "cabin crew lead", "crew", "crew", "é à la carte", "xaxbx"]
+    ads = spark.createDataFrame([(i % 8, t) for i, t in enumerate(texts)], "id int, t string").repartition(3)
+    titles = [(1, "ab"), (1, "bca"), (2, "a b c"), (3, "crew lead"), (4, "crew"), (5, "la carte é"), (6, ""), (7, None), (4, "cabin"), (None, "tab")]
+    wanted = spark.createDataFrame(titles, "code int, title string")
+    want = set()
+    for i, t in enumerate(texts):
+        for code, title in titles:
+            words = (title or "").split()
+            if t is not None and words and all(w in t.lower() for w in words):
+                want.add((code, i % 8))
+    for sent in (1, 3, 1000):
+        got = [(r["code"], r["id"]) for r in title_search(ads, "id", "t", wanted, titles_sent=sent).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert title_search(ads, "id", "t", wanted.limit(0)).count() == 0
+
+
 def test_title_search_keeps_ads_without_a_description(spark):
     from occupipe.operators.search import title_search
 
