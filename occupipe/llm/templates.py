@@ -55,7 +55,7 @@ LONG_TOKENS = 24
 RUN_TOKENS = 30
 COPY_SHARE = 0.8
 NEAR = 4
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: Bits of the field of hashes that can recur: 16 for each, within these powers of two.
 FIELD_BITS = (16, 28)
 
@@ -74,21 +74,25 @@ def _mix(z: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of an odd number and of its inverse modulo 2^64, as many as were ever asked for."""
+    """Powers of an odd number and of its inverse modulo 2^64; only as many as a common slice asks for are kept."""
+
+    KEPT = 1 << 21
 
     def __init__(self, base: np.uint64) -> None:
         self.base, self.inverse = base, np.uint64(pow(int(base), -1, 1 << 64))
         self.up = self.down = np.ones(1, np.uint64)
 
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            made = []
-            for x in (self.base, self.inverse):
-                each = np.full(1 << n.bit_length(), x, np.uint64)
-                each[0] = 1
-                made.append(np.cumprod(each, dtype=np.uint64))
+        if n <= len(self.up):
+            return self.up[:n], self.down[:n]
+        made = []
+        for x in (self.base, self.inverse):
+            each = np.full(1 << n.bit_length() if n < self.KEPT else n, x, np.uint64)
+            each[0] = 1
+            made.append(np.cumprod(each, dtype=np.uint64))
+        if n < self.KEPT:
             self.up, self.down = made
-        return self.up[:n], self.down[:n]
+        return made[0][:n], made[1][:n]
 
 
 _BYTE_POWERS, _TOKEN_POWERS = _Powers(_BASE), _Powers(_PLACE)
