@@ -11,7 +11,10 @@ of all that can still enter, so by the triangle inequality only rings that meet
 ``[d(q, p) - r, d(q, p) + r]`` of some pivot p are searched further; queries of one chunk visit
 them together. With too few rows at first, r is infinite and every ring is searched.
 
-Pivots are fitted on ``SAMPLE`` rows at most; every row is indexed and results are exact.
+The number of pivots grows with the square root of the rows, from ``PIVOTS`` to ``MOST_PIVOTS``,
+and with it the sample they are fitted on, ``SAMPLE_PER_PIVOT`` rows each; every row is indexed and
+results are exact. Spans and rings meet by equality of pivot and distance bin, so no key holds all
+rings of a pivot, and a span that misses all of a pivot's rings is never written.
 Scores are exact integers as long as they fit in 64 bits.
 
 Defined results: vectors that are null, hold nulls or non-finite components, or reach 2^63 when
@@ -33,9 +36,13 @@ from pyspark.sql import functions as F
 from occupipe.llm.common import arrow, col
 from occupipe.session import through_table
 
-SAMPLE = 4096
+SAMPLE_PER_PIVOT = 4
+SMALLEST_SAMPLE = 4096
 PIVOTS = 48
+MOST_PIVOTS = 4096
 RING = 512
+BINS = 256
+CELLS = 1 << 22
 QUERY_GROUPS = 64
 
 
@@ -94,9 +101,11 @@ class Pivots:
         # A few rounds of averaging draw the spread-out points into their neighbourhoods.
         self.points = points[chosen]
         for _ in range(4):
-            own = self._squares(points, self.points).argmin(1)
-            filled = np.unique(own)
-            self.points = np.stack([points[own == j].mean(0) for j in filled])
+            own, _ = self._nearest(points)
+            filled, own = np.unique(own, return_inverse=True)
+            sums = np.zeros((len(filled), points.shape[1]))
+            np.add.at(sums, own, points)
+            self.points = sums / np.bincount(own)[:, None]
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0.0, self.longest2 - (x * x).sum(1, keepdims=True)))
@@ -105,10 +114,28 @@ class Pivots:
     def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.maximum(0.0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T)
 
-    def distances(self, x: np.ndarray, query: bool = False) -> np.ndarray:
+    def _nearest(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own, dist = np.zeros(len(points), np.int64), np.zeros(len(points))
+        step = max(1, CELLS // len(self.points))
+        for at in range(0, len(points), step):
+            far = self._squares(points[at : at + step], self.points)
+            own[at : at + step] = far.argmin(1)
+            dist[at : at + step] = np.sqrt(far.min(1))
+        return own, dist
+
+    def _lifted(self, x: np.ndarray, query: bool) -> np.ndarray:
         x = x.astype(np.float64)
-        last = np.zeros((len(x), 1)) if query else self.lift(x)
-        return np.sqrt(self._squares(np.hstack([x, last]), self.points))
+        return np.hstack([x, np.zeros((len(x), 1)) if query else self.lift(x)])
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's nearest pivot and its distance, for a bounded number of cells at a time."""
+        return self._nearest(self._lifted(x, False))
+
+    def distances(self, x: np.ndarray, query: bool = False, pivot: int | None = None) -> np.ndarray:
+        """Distances to all pivots, or to one."""
+        points = self.points if pivot is None else self.points[pivot : pivot + 1]
+        far = np.sqrt(self._squares(self._lifted(x, query), points))
+        return far if pivot is None else far[:, 0]
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -131,11 +158,9 @@ def build_index(rows: DataFrame, pivots: Pivots, ring: int = RING) -> DataFrame:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            far = pivots.distances(_matrix(batch.column("x").to_pylist(), pivots.width))
-            own = far.argmin(1)
+            own, dist = pivots.nearest(_matrix(batch.column("x").to_pylist(), pivots.width))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), batch.column("x"), batch.column("is_query"), pa.array(own.astype(np.int32)),
-                 pa.array(far[np.arange(len(own)), own])],
+                [batch.column("vec_id"), batch.column("x"), batch.column("is_query"), pa.array(own.astype(np.int32)), pa.array(dist)],
                 names=["vec_id", "x", "is_query", "pivot", "dist"],
             )
 
@@ -163,7 +188,7 @@ def build_index(rows: DataFrame, pivots: Pivots, ring: int = RING) -> DataFrame:
 FOUND = "query_id bigint, vec_id bigint, score bigint"
 SEEDED = (
     "block bigint, found array<struct<query_id:bigint,vec_id:bigint,score:bigint>>, q_ids array<bigint>, "
-    "q array<binary>, kth array<double>, lo array<double>, hi array<double>"
+    "q array<binary>, kth array<double>, spans array<struct<pivot:int,lo:double,hi:double>>"
 )
 SEEDED_ARROW = pa.schema(
     [
@@ -172,15 +197,36 @@ SEEDED_ARROW = pa.schema(
         ("q_ids", pa.list_(pa.int64())),
         ("q", pa.list_(pa.binary())),
         ("kth", pa.list_(pa.float64())),
-        ("lo", pa.list_(pa.float64())),
-        ("hi", pa.list_(pa.float64())),
+        ("spans", pa.list_(pa.struct([("pivot", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64())]))),
     ]
 )
 
 
+def pivots_for(n: int) -> int:
+    """Half the square root of the rows, within bounds."""
+    return min(MOST_PIVOTS, max(PIVOTS, int(np.sqrt(n) / 2)))
+
+
+def ring_visits(seeded: DataFrame, blocks: DataFrame, width: float) -> DataFrame:
+    """Pairs of ``home`` and ``block`` where a span of the home meets the block's ring.
+
+    Both are spread over the distance bins they touch and joined on pivot and bin. Spans lie
+    within their pivot's rings, so a span touches at most the bins that the rings take up.
+    """
+    bin_of = lambda c: F.floor(F.col(c) / F.lit(width))
+    bins = lambda lo, hi, name: F.explode(F.sequence(bin_of(lo), bin_of(hi))).alias(name)
+    spans = seeded.select(F.col("block").alias("home"), F.explode("spans").alias("span")).select("home", "span.*")
+    spans = spans.select("home", F.col("pivot").alias("_pivot"), "lo", "hi", bins("lo", "hi", "_bin"))
+    rings = blocks.select("block", "pivot", F.col("lo").alias("ring_lo"), F.col("hi").alias("ring_hi"))
+    rings = rings.select("*", bins("ring_lo", "ring_hi", "bin"))
+    same = (F.col("pivot") == F.col("_pivot")) & (F.col("bin") == F.col("_bin"))
+    met = (F.col("ring_lo") <= F.col("hi")) & (F.col("ring_hi") >= F.col("lo")) & (F.col("home") != F.col("block"))
+    return spans.join(rings, same & met).select("home", "block").distinct()
+
+
 def top_products(
     vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, vec_id: str = "vec_id", vector: str = "embedding",
-    n_pivots: int = PIVOTS, ring: int = RING,
+    n_pivots: int | None = None, ring: int = RING,
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of each query's ``k`` best partners.
 
@@ -191,14 +237,20 @@ def top_products(
     width, longest2, n = rows.agg(F.max("size"), F.max("norm2"), F.count(F.lit(1))).first()
     if not n:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    share = min(1.0, 2.0 * SAMPLE / n)
+    n_pivots = n_pivots or pivots_for(n)
+    size = max(SMALLEST_SAMPLE, SAMPLE_PER_PIVOT * n_pivots)
+    share = min(1.0, 2.0 * size / n)
     drawn = rows.filter(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1_000_000)) <= share * 1_000_000)
-    sample = drawn.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id", "x").limit(SAMPLE).select("x").collect()
+    sample = drawn.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id", "x").limit(size).select("x").collect()
     if not sample:
         sample = rows.select("x").limit(1).collect()
     pivots = Pivots(sample, width, longest2, n_pivots)
     slack = 1e-6 * (1.0 + float(np.sqrt(longest2)))
     blocks = build_index(rows, pivots, ring)
+    # The range of each pivot's rings: one row per pivot.
+    ranges = blocks.groupBy("pivot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
+    held = np.array([r["pivot"] for r in ranges], np.int64)
+    nearest, farthest = np.array([r["lo"] for r in ranges]), np.array([r["hi"] for r in ranges])
 
     def reach(q: np.ndarray, kth: np.ndarray) -> np.ndarray:
         """Distance within which a vector must lie to score ``kth`` or more; infinite without one."""
@@ -223,10 +275,12 @@ def top_products(
                     if len(best) == k:
                         kth[i] = scores[best[-1]]
                 r = reach(q, kth)[:, None]
-                far = pivots.distances(q, query=True)
+                far = pivots.distances(q, query=True)[:, held]
+                lo, hi = np.maximum((far - r).min(0), nearest), np.minimum((far + r).max(0), farthest)
+                spans = [{"pivot": int(held[j]), "lo": float(lo[j]), "hi": float(hi[j])} for j in np.flatnonzero(lo <= hi)]
                 yield pa.RecordBatch.from_pylist(
                     [{"block": block, "found": found, "q_ids": q_ids.tolist(), "q": [a["x"] for a in asked],
-                      "kth": kth.tolist(), "lo": (far - r).min(0).tolist(), "hi": (far + r).max(0).tolist()}],
+                      "kth": kth.tolist(), "spans": spans}],
                     schema=SEEDED_ARROW,
                 )
 
@@ -234,11 +288,7 @@ def top_products(
         arrow(blocks, local, SEEDED)
     )
     groups = max(1, -(-seeded.count() // QUERY_GROUPS))
-    spans = seeded.select(F.col("block").alias("home"), F.posexplode(F.arrays_zip("lo", "hi")).alias("at", "span"))
-    spans = spans.select("home", F.col("at").alias("_pivot"), "span.lo", "span.hi")
-    catalog = blocks.select("block", "pivot", F.col("lo").alias("ring_lo"), F.col("hi").alias("ring_hi"))
-    met = (F.col("pivot") == F.col("_pivot")) & (F.col("ring_lo") <= F.col("hi")) & (F.col("ring_hi") >= F.col("lo"))
-    visits = spans.join(catalog, met & (F.col("home") != F.col("block"))).select("home", "block").distinct()
+    visits = ring_visits(seeded, blocks, max(1e-9, 2 * float(np.sqrt(longest2)) / BINS))
     asked = seeded.select(F.col("block").alias("home"), F.struct("q_ids", "q", "kth").alias("asked"))
     queued = visits.join(asked, "home").groupBy("block", F.pmod(F.xxhash64("home"), F.lit(groups)).alias("_group"))
     queued = queued.agg(F.collect_list("asked").alias("asked"))
@@ -248,11 +298,11 @@ def top_products(
             for members, visitors, p in zip(batch.column("rows").to_pylist(), batch.column("asked").to_pylist(), batch.column("pivot").to_pylist()):
                 ids = np.array([r["vec_id"] for r in members], np.int64)
                 x = _matrix([r["x"] for r in members], width)
-                own = pivots.distances(x)[:, p]
+                own = pivots.distances(x, pivot=p)
                 q_ids = np.array([i for v in visitors for i in v["q_ids"]], np.int64)
                 kth = np.array([s for v in visitors for s in v["kth"]], np.float64)
                 q = _matrix([b for v in visitors for b in v["q"]], width)
-                far, r = pivots.distances(q, query=True)[:, p], reach(q, kth)
+                far, r = pivots.distances(q, query=True, pivot=p), reach(q, kth)
                 # Within the group, a query stays only if this ring meets its own reach.
                 stays = np.flatnonzero((own.min() <= far + r) & (own.max() >= far - r))
                 out = []

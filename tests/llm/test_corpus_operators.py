@@ -182,6 +182,36 @@ def test_top_products_of_few_and_large(spark):
     assert got == brute_products(rows, 5)
 
 
+def test_ring_visits_equal_the_range_join(spark):
+    """Binned equality finds the pairs that the ranges give, and joins on the bin as well."""
+    rng = np.random.default_rng(2)
+    rings, spans = [], []
+    for block in range(60):
+        lo = float(rng.uniform(0, 90))
+        rings.append((block, int(rng.integers(0, 4)), lo, lo + float(rng.uniform(0, 10))))
+    for home in range(0, 60, 2):
+        own = []
+        for pivot in range(4):
+            lo = float(rng.uniform(0, 90))
+            own.append((pivot, lo, lo + float(rng.uniform(0, 30))))
+        spans.append((home, own))
+    blocks = spark.createDataFrame(rings, "block bigint, pivot int, lo double, hi double")
+    seeded = spark.createDataFrame(spans, "block bigint, spans array<struct<pivot:int,lo:double,hi:double>>")
+    visits = pivot_index.ring_visits(seeded, blocks, 7.0)
+    got = sorted(tuple(r) for r in visits.collect())
+    want = sorted(
+        {(home, block) for home, own in spans for p, lo, hi in own for block, pivot, a, b in rings
+         if p == pivot and a <= hi and b >= lo and home != block}
+    )
+    assert got == want and got
+    plan = visits._jdf.queryExecution().optimizedPlan().toString()
+    joined = next(line for line in plan.splitlines() if "Join Inner" in line)
+    assert "pivot" in joined and "bin" in joined
+    assert pivot_index.pivots_for(10) == pivot_index.PIVOTS
+    assert pivot_index.pivots_for(10**6) == 500
+
+
+
 # --- operator 4 ---------------------------------------------------------------------------
 
 
