@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from occupipe.functions import arrays as A
 from occupipe.functions import codes as K
 from occupipe.functions import text as T
-from occupipe.operators.groups import lookup, lookup_each
+from occupipe.operators.groups import is_small, lookup, lookup_each
+from occupipe.session import cut_lineage
 
 
 def level_codes(df: DataFrame, code: str) -> DataFrame:
@@ -52,13 +53,19 @@ def encoding_from_json(documents: DataFrame, column: str = "encoding") -> DataFr
 
 
 def encode_labels(df: DataFrame, code: str, encoding: DataFrame) -> DataFrame:
-    """Add ``idx_1`` to ``idx_5``; an unknown prefix gives null. Null codes are dropped."""
+    """Add ``idx_1`` to ``idx_5``; an unknown prefix gives null. Null codes are dropped.
+
+    The encoding is computed and counted once; a small one is looked up in the map tasks.
+    """
     out = df.filter(F.col(code).isNotNull())
+    written = cut_lineage(encoding)
+    small = is_small(written)
     for k in K.LEVELS:
-        known = encoding.filter(F.col("level") == k).select(
+        known = written.filter(F.col("level") == k).select(
             F.col("code").alias(f"_c{k}"), F.col("idx").alias(f"idx_{k}")
         )
-        out = out.join(lookup(known), K.level(F.col(code), k) == F.col(f"_c{k}"), "left").drop(f"_c{k}")
+        side = F.broadcast(known) if small else known
+        out = out.join(side, K.level(F.col(code), k) == F.col(f"_c{k}"), "left").drop(f"_c{k}")
     return out
 
 

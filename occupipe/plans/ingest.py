@@ -186,6 +186,31 @@ def csv_folders_stacked(t):
     return readers.read_csv_dirs(t.spark, {a: left.schema, b: right.schema})
 
 
+@query(
+    "csv_drifted_folder",
+    """
+    SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, CAST(NULL AS VARCHAR) AS balance FROM customer
+    UNION ALL SELECT s_suppkey, s_name || chr(10) || 'and, partners', NULL, CAST(s_acctbal AS VARCHAR) FROM supplier
+    UNION ALL SELECT n_nationkey, NULL, n_name, NULL FROM nation
+    """,
+)
+def csv_drifted_folder(t):
+    """One folder whose files have three headers, in differing column order."""
+    path = shared_dir(t.spark)
+    parts = [
+        t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")),
+        t.supplier.select(
+            F.col("s_acctbal").cast("string").alias("balance"),
+            F.concat("s_name", F.lit("\nand, partners")).alias("name"),
+            F.col("s_suppkey").alias("id"),
+        ),
+        t.nation.select(F.col("n_name").alias("segment"), F.col("n_nationkey").alias("id")),
+    ]
+    for part in parts:
+        part.repartition(2).write.mode("append").option("header", True).option("escape", '"').csv(path)
+    return readers.read_csv_by_header(t.spark, path, {"id": "bigint"}).select("id", "name", "segment", "balance")
+
+
 @query("line_scan", "WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) SELECT line, count(*) AS n FROM l GROUP BY line")
 def line_scan(t):
     path = shared_dir(t.spark)

@@ -136,9 +136,22 @@ def exact_split(t):
     return sides(S.exact_split(t.orders.select("o_orderkey"), ["o_orderkey"], 600, 0.1))
 
 
-@query("dissimilar_sample")
+@query(
+    "dissimilar_sample",
+    f"""
+    WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+    u AS (SELECT vec_id, list_transform(x, lambda c: c / sqrt(list_inner_product(x, x))) AS e FROM v),
+    f AS (SELECT arg_min(struct_pack(vec_id := vec_id, e := e), struct_pack(a := {COIN_SQL.format(key="vec_id", seed=1)}, b := vec_id)) AS s FROM u),
+    r AS (SELECT 0 AS round, s.vec_id AS vec_id, s.e AS total, [s.vec_id] AS taken FROM f
+        UNION ALL SELECT b.round + 1, b.s.vec_id, list_transform(list_zip(b.total, b.s.e), lambda p: p[1] + p[2]), list_append(b.taken, b.s.vec_id) FROM (
+            SELECT r.round AS round, any_value(r.total) AS total, any_value(r.taken) AS taken,
+                arg_min(struct_pack(vec_id := u.vec_id, e := u.e), struct_pack(a := round(list_inner_product(u.e, r.total), 12), b := u.vec_id)) AS s
+            FROM r JOIN u ON NOT list_contains(r.taken, u.vec_id) WHERE r.round < 49 GROUP BY r.round) b)
+    SELECT CAST(round AS INT) AS round, vec_id FROM r
+    """,
+)
 def dissimilar_sample_query(t):
-    return dissimilar_sample(t.embeddings, "vec_id", "embedding", 10)
+    return dissimilar_sample(t.embeddings, "vec_id", "embedding", 50)
 
 
 @query(

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import re
+from collections.abc import Mapping
 from datetime import datetime, timezone
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +39,35 @@ def read_csv_dirs(spark: SparkSession, parts: dict[str, StructType | str], **opt
     return out
 
 
+def read_csv_by_header(
+    spark: SparkSession, path: str, types: Mapping[str, str] | None = None, encoding: str = "UTF-8", **options
+) -> DataFrame:
+    """CSV files of one folder whose columns differ from file to file, stacked by column name.
+
+    A first scan takes each file's own header line, in the map tasks; files of one header are
+    then read together, and the groups are united by name, so a column that a file lacks is
+    null in its rows. Columns are text unless ``types`` names a type. A header stands on one
+    line and names each column once; files without a header line give no rows.
+    """
+    # No text holds this separator, so a line is one cell whatever its encoding.
+    lines = spark.read.schema("value string").option("sep", "\x01").option("quote", "").option("encoding", encoding).csv(path)
+    placed = lines.select("value", F.monotonically_increasing_id().alias("at"), "_metadata.file_path", "_metadata.file_block_start")
+    first = placed.groupBy("file_path").agg(F.min_by("value", F.struct("file_block_start", "at")).alias("header"))
+    groups = first.groupBy("header").agg(F.sort_array(F.collect_list("file_path")).alias("files")).collect()
+    frames = []
+    for group in sorted(groups, key=lambda g: g["files"][0]):
+        names = next(csv.reader([group["header"].lstrip("\ufeff")], delimiter=options.get("sep", ",")))
+        if len(set(names)) < len(names):
+            raise ValueError(f"{group['files'][0]} names a column twice: {names}")
+        kinds = ", ".join(f"`{n.replace('`', '``')}` {(types or {}).get(n, 'string')}" for n in names)
+        # Paths come as URLs; what a path pattern would read as special is escaped.
+        files = [re.sub(r"([][{}*?\\])", r"\\\1", unquote(f)) for f in group["files"]]
+        frames.append(read_csv(spark, files, kinds, encoding=encoding, **options))
+    if not frames:
+        return spark.createDataFrame([], StructType([]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
 def read_csv_after_preamble(spark: SparkSession, path: str, skip: int, schema: StructType | str) -> DataFrame:
     """CSV whose header follows ``skip`` lines in every file, as in spreadsheet exports.
 

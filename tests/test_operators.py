@@ -60,6 +60,26 @@ def test_dissimilar_sample_is_greedy(spark):
     assert len(set(got)) == 8
 
 
+@pytest.mark.parametrize("fetched", [1, 5, 4096])
+def test_dissimilar_sample_settles_rounds_exactly(spark, fetched):
+    """However many rows a pass fetches, the rounds are those of one pass each; ties go to the smaller key."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(30, 4)) + [1.5, 0, 0, 0]
+    v = np.vstack([v, v[:6], v[3:5], np.zeros((1, 4))])
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(90, None), (None, [1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id int, v array<double>").repartition(3)
+    got = [r["id"] for r in R.dissimilar_sample(df, "id", "v", 12, fetched=fetched).orderBy("round").collect()]
+    norms = np.linalg.norm(v, axis=1)[:, None]
+    unit = np.divide(v, norms, out=np.zeros_like(v), where=norms > 0)
+    want = got[:1]
+    while len(want) < 12:
+        sums = np.round(unit @ unit[want].sum(axis=0), 9)
+        want.append(min((s, i) for i, s in enumerate(sums) if i not in want)[1])
+    assert got == want
+    assert R.dissimilar_sample(df, "id", "v", 99, fetched=fetched).count() == len(v)
+    assert R.dissimilar_sample(df.limit(0), "id", "v", 3).count() == 0
+
+
 def test_packing_keeps_order_and_size(spark):
     rows = [(s, d, list(range(s * 1000 + d * 100, s * 1000 + d * 100 + n))) for s, d, n in [(0, 0, 5), (0, 1, 0), (0, 2, 17), (0, 3, 2), (1, 0, 3)]]
     df = spark.createDataFrame(rows, "shard int, doc int, ids array<int>").repartition(3)

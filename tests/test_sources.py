@@ -174,3 +174,17 @@ def test_stream_repeats_within_watermark(spark, tmp_path):
     once = ST.skip_repeats(stream, "id", "ts", "1 day").withColumn("bucket", F.lit("x"))
     ST.run_all(lambda: ST.append_buckets(once, str(tmp_path / "sink"), str(tmp_path / "c")))
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "sink")).collect()) == ["a", "b"]
+
+
+def test_files_of_one_folder_with_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,name\n1,"x\n2,y"\n2,\n')
+    (tmp_path / "b.csv").write_text("\ufeffname,extra col\nz,9\n")
+    (tmp_path / "c [d] {1}%20.csv").write_text("id,name\n3,w\n")
+    (tmp_path / "header only.csv").write_text("id,other\n")
+    (tmp_path / "empty.csv").write_text("")
+    out = readers.read_csv_by_header(spark, str(tmp_path), {"id": "int"})
+    rows = sorted(((r["id"], r["name"], r["extra col"], r["other"]) for r in out.collect()), key=str)
+    assert rows == sorted([(1, "x\n2,y", None, None), (2, None, None, None), (None, "z", "9", None), (3, "w", None, None)], key=str)
+    (tmp_path / "twice.csv").write_text("id,id\n1,2\n")
+    with pytest.raises(ValueError, match="twice"):
+        readers.read_csv_by_header(spark, str(tmp_path))
