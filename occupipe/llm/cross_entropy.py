@@ -3,7 +3,9 @@
 A target and a background bigram model share one vocabulary: every word that both corpora
 together hold ``min_seen`` times or more, and one unknown sign for the rest. The background's
 counts are scaled to the target's mass, so that smoothing weighs alike in both models. A word's
-probability backs off from the bigram to the unigram to a flat one. A document's score is its
+probability backs off from the bigram to the unigram to a flat one. A document is scored by a
+background that has not seen it: its own counts are taken out, so a text is not told to be like
+the background because it is part of it, while a text that occurs again elsewhere is. Its score is its
 loss per token under the target model less that under the background model: the lower, the
 more it reads like the target.
 
@@ -15,7 +17,7 @@ So a hot word or bigram reaches its part once a block, parts grow in number and
 the driver sees a few sums only. Two of n bigrams share a hash with a chance of about n^2 / 2^65.
 
 Defined results: null and empty texts have no tokens and score 0; an empty target or background
-has a flat model; repeated rows count each time; null ids are scored; other columns are ignored.
+has a flat model; repeated rows count each time, and one of them is in the background of the other; null ids are scored; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +37,7 @@ from occupipe.llm.word_ids import slices
 from occupipe.session import through_table
 
 MIN_SEEN = 2
-LAST_LETTERS = 3
-BACKOFF = 50.0
+BACKOFF = 20.0
 BLOCK_BYTES = 8 << 20
 PARTS = 256
 PART_KEYS = 4_000_000
@@ -57,20 +58,6 @@ def _both(docs: DataFrame, target: DataFrame, doc_id: str, text: str, target_tex
     return one.union(target.select(none, col(target_text).alias("text"), F.lit(True).alias("wanted")))
 
 
-def most_frequent(both: DataFrame, words: int) -> list[str]:
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text", 16 << 20):
-                found, _ = tokens(batch.column("text"))
-                if len(found):
-                    n = np.bincount(found.indices.to_numpy(zero_copy_only=False), minlength=len(found.dictionary))
-                    yield pa.RecordBatch.from_arrays([found.dictionary, pa.array(n.astype(np.int64))], names=["word", "n"])
-
-    counts = arrow(both.select("text"), each, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.filter("word <> ''").orderBy(F.desc("n"), "word").limit(words).collect()
-    return [r["word"] for r in top]
-
-
 def _pack(numbers: np.ndarray) -> bytes:
     """Whole numbers byte by byte in planes, so that the many zero bytes take little."""
     return zlib.compress(np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
@@ -88,16 +75,13 @@ def _unpack_keys(packed: bytes) -> np.ndarray:
     return np.cumsum(_unpack(packed).view(np.uint64), dtype=np.uint64)
 
 
-def _coded(both: DataFrame, top: list[str] | None, classes: int) -> DataFrame:
+def _coded(both: DataFrame) -> DataFrame:
     """One row for a block of texts: ids, sides, tokens of each text, word hashes and the words' codes."""
-    kept = None if top is None else frozenset(top)
 
     def hashed(word: str) -> int:
         from xxhash import xxh64_intdigest
 
-        if kept is None or word in kept:
-            return xxh64_intdigest(word.encode("utf-8", "surrogatepass"), HASH_SEED)
-        return 2 + zlib.crc32(word[-LAST_LETTERS:].encode("utf-8", "surrogatepass")) % classes
+        return xxh64_intdigest(word.encode("utf-8", "surrogatepass"), HASH_SEED)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -195,21 +179,24 @@ def _pairs(words: np.ndarray, code: np.ndarray, before: np.ndarray, rare: np.nda
     return np.unique(z ^ (z >> np.uint64(32)), return_index=True, return_inverse=True)
 
 
+def _within(text: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """How often each token's sign stands in the token's own text."""
+    low = sign - sign.min(initial=0)
+    _, at, n = np.unique(text * (low.max(initial=0) + 1) + low, return_inverse=True, return_counts=True)
+    return n[at]
+
+
 def cross_entropy_difference(
     docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", target_text: str = "text",
-    words: int | None = None, classes: int = 1, min_seen: int = MIN_SEEN,
+    min_seen: int = MIN_SEEN, backoff: float = BACKOFF,
 ) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``target_loss``, ``background_loss`` and ``score`` of every document.
 
-    The background model is that of ``docs`` itself. Losses are bits per token. ``words`` limits
-    the vocabulary to that many most frequent words and ``classes`` of all others by their last
-    letters, in place of ``min_seen``.
+    The background model of a document is that of all other rows of ``docs``. Losses are bits per
+    token. ``backoff`` is the weight of the unigram in a bigram's probability, in tokens.
     """
     both = _both(docs, target, doc_id, text, target_text)
-    top = None if words is None else most_frequent(both, words)
-    if words is not None:
-        min_seen = 1
-    coded = through_table(_coded(both, top, classes))
+    coded = through_table(_coded(both))
     parts = PARTS
     while parts * PART_KEYS < (coded.agg(F.sum("n")).first()[0] or 0):
         parts *= 2
@@ -226,7 +213,7 @@ def cross_entropy_difference(
 
     by_word = _totals(arrow(coded, word_runs, RUNS), 4, min_seen)
     whole = sum((_unpack(r["totals"]) for r in by_word.filter("block is null").select("totals").collect()), np.zeros(9, np.int64))
-    kinds = len(top) + classes if top is not None else int(whole[0]) + 1
+    kinds = int(whole[0]) + 1
     mass = whole[1:3].astype(float)
     # Texts that begin are the tokens that no word stands before.
     starts = whole[1:3] - whole[3:5]
@@ -256,15 +243,21 @@ def cross_entropy_difference(
         rows = table.drop_columns("ids").to_pylist()
         row = rows[at_row]
         hashes, _, text, code, before, rare, totals = known(row, rows)
-        keys, place, at = _pairs(hashes, code, before, rare)
+        keys, _, at = _pairs(hashes, code, before, rare)
+        # All rare words are one sign; the sign for the start stands last.
+        before_sign = np.append(np.where(rare, -1, np.arange(len(rare))), len(rare))[before]
         pairs = _answer(rows, 2, 2)
         side, sizes = _unpack(row["wanted"]), _unpack(row["sizes"])
         per = np.maximum(sizes, 1)
+        # What the document itself adds to the background's counts, of each token's pair, word and word before.
+        own_pairs, own_words, own_before = (_within(text, x) for x in (at, np.where(rare, -1, np.arange(len(rare)))[code], before_sign))
         sums = []
         for k in (0, 1):
-            flat = (totals[k][code[place]] * scale[k] + 1) / (mass[k] * scale[k] + kinds)
-            loss = -np.log2((pairs[k] * scale[k] + BACKOFF * flat) / (totals[2 + k][before[place]] * scale[k] + BACKOFF))
-            sums.append(np.bincount(text, weights=loss[at], minlength=len(sizes)) / per)
+            gone = (own_pairs, own_words, own_before, sizes[text]) if k else (0, 0, 0, 0)
+            flat = ((totals[k][code] - gone[1]) * scale[k] + 1) / ((mass[k] - gone[3]) * scale[k] + kinds)
+            pair, first = (pairs[k][at] - gone[0]) * scale[k], (totals[2 + k][before] - gone[2]) * scale[k]
+            loss = -np.log2((pair + backoff * flat) / (first + backoff))
+            sums.append(np.bincount(text, weights=loss, minlength=len(sizes)) / per)
         ids = pa.concat_arrays([c for c in table.column("ids").slice(at_row, 1).chunks if len(c)]).flatten()
         columns = [ids, pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[0] - sums[1])]
         made = pa.table(columns, names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])

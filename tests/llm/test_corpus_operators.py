@@ -215,33 +215,64 @@ def test_ring_visits_equal_the_range_join(spark):
 # --- operator 4 ---------------------------------------------------------------------------
 
 
-def test_losses_by_definition(spark):
-    docs = spark.createDataFrame([(1, "a b a b c"), (2, "zz a"), (3, None), (4, " "), (None, "b b")], "doc_id long, text string")
-    target = spark.createDataFrame([("a b",), ("A b d",), (None,)], "text string")
-    got = {r["doc_id"]: r for r in cross_entropy.cross_entropy_difference(docs, target, words=3, classes=2).collect()}
-    assert (got[3]["n_tokens"], got[3]["score"], got[4]["n_tokens"], got[4]["score"]) == (0, 0.0, 0, 0.0)
-    own = [d.split() for d in ("a b a b c", "zz a", "b b")]
-    other = [d.split() for d in ("a b", "a b d")]
-    top = sorted(w for w, _ in sorted(Counter(w for d in own + other for w in d).items(), key=lambda x: (-x[1], x[0]))[:3])
-    code = lambda w: top.index(w) if w in top else 3 + zlib.crc32(w[-3:].encode()) % 2
-
-    def model(texts, scale):
+def brute_losses(docs, target, backoff):
+    """Losses of each text by the words of the rule, each with a background of all other texts."""
+    own, other = [(t or "").lower().split() for t in docs], [(t or "").lower().split() for t in target]
+    seen = Counter(w for d in own + other for w in d)
+    sign = lambda w: w if seen[w] > 1 else None
+    kinds = sum(n > 1 for n in seen.values()) + 1
+    sizes = [sum(map(len, side)) for side in (other, own)]
+    scale = sizes[0] / sizes[1] if all(sizes) else 1.0
+
+    def counts(texts):
         pair, first, one = Counter(), Counter(), Counter()
         for words in texts:
-            for v, w in zip([5, *map(code, words)], map(code, words)):
-                pair[v, w] += scale
-                first[v] += scale
-                one[w] += scale
-        mass = sum(one.values()) + 5
-        return lambda v, w: -np.log2((pair[v, w] + 50 * (one[w] + 1) / mass) / (first[v] + 50))
-
-    near, far = model(other, 1.0), model(own, sum(map(len, other)) / sum(map(len, own)))
-    for doc, words in ((1, own[0]), (2, own[1]), (None, own[2])):
-        pairs = list(zip([5, *map(code, words)], map(code, words)))
-        assert got[doc]["n_tokens"] == len(words)
-        assert got[doc]["target_loss"] == pytest.approx(np.mean([near(*p) for p in pairs]), rel=1e-5)
-        assert got[doc]["background_loss"] == pytest.approx(np.mean([far(*p) for p in pairs]), rel=1e-5)
-        assert got[doc]["score"] == pytest.approx(got[doc]["target_loss"] - got[doc]["background_loss"])
+            pair.update(zip(["", *map(sign, words)], map(sign, words)))
+            first.update(["", *map(sign, words)][: len(words)])
+            one.update(map(sign, words))
+        return pair, first, one
+
+    def loss(words, tables, less, scale):
+        (pair, first, one), (p, f, o) = tables, less
+        mass = (sum(one.values()) - sum(o.values())) * scale + kinds
+        found = [
+            -np.log2(((pair[v, w] - p[v, w]) * scale + backoff * ((one[w] - o[w]) * scale + 1) / mass) / ((first[v] - f[v]) * scale + backoff))
+            for v, w in zip(["", *map(sign, words)], map(sign, words))
+        ]
+        return np.mean(found) if found else 0.0
+
+    near, far, nothing = counts(other), counts(own), counts([])
+    return [(len(w), loss(w, near, nothing, 1.0), loss(w, far, counts([w]), scale)) for w in own]
+
+
+def check_losses(spark, docs, target, **options):
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    wanted = spark.createDataFrame([(t,) for t in target], "text string")
+    rows = cross_entropy.cross_entropy_difference(table, wanted, **options).collect()
+    order = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    got = sorted((tuple(r) for r in rows), key=order)
+    brute = brute_losses([t for _, t in docs], target, options.get("backoff", cross_entropy.BACKOFF))
+    want = sorted(((i, *b) for (i, _), b in zip(docs, brute)), key=order)
+    assert [r[:2] for r in got] == [w[:2] for w in want]
+    for r, w in zip(got, want):
+        assert r[2:] == pytest.approx((*w[2:], w[2] - w[3]), abs=1e-9)
+
+
+def test_losses_by_definition(spark):
+    docs = [(1, "a b a b c"), (2, "zz a yy xx b"), (3, None), (4, " "), (None, "b b"), (5, "q r s"), (5, "q r s"), (6, "b")]
+    target = ["a b", "A b d", None, "vv d"]
+    check_losses(spark, docs, target)
+    check_losses(spark, docs, target, backoff=50.0)
+
+
+def test_texts_that_occur_again_are_told_apart(spark):
+    """Of texts of words of their own, those that occur twice read like the background, the others do not."""
+    once = [(i, " ".join(f"x{i}y{j} the" for j in range(30)) + " the " + " ".join(f"x{i}y{j} the" for j in range(30))) for i in range(30)]
+    twice = [(100 + i, " ".join(f"u{i // 2}v{j} the" for j in range(30))) for i in range(40)]
+    target = spark.createDataFrame([("the the the",)], "text string")
+    scored = cross_entropy.cross_entropy_difference(spark.createDataFrame(once + twice, "doc_id long, text string"), target).collect()
+    seen = {r["doc_id"]: r["score"] for r in scored}
+    assert min(s for i, s in seen.items() if i >= 100) > max(s for i, s in seen.items() if i < 100)
 
 
 def test_losses_of_nothing(nothing, docs):
@@ -254,30 +285,8 @@ def test_every_word_seen_twice_has_its_own_losses(spark):
     """Words past any fixed vocabulary, with equal last letters, in one block and in many."""
     docs = [(i, " ".join(f"w{(i * 37 + j * j) % 3000}ing" for j in range(40)) + (f" once{i}" if i % 3 == 0 else "")) for i in range(400)]
     target = [(" ".join(f"w{(i * 11 + j) % 3000}ing" for j in range(30)),) for i in range(150)]
-    seen = Counter(w for t in [*docs, *target] for w in t[-1].split())
-    sign = lambda w: w if seen[w] > 1 else None
-    kinds = sum(n > 1 for n in seen.values()) + 1
-
-    def model(texts, scale):
-        pair, first, one = Counter(), Counter(), Counter()
-        for words in texts:
-            for v, w in zip(["", *map(sign, words)], map(sign, words)):
-                pair[v, w] += scale
-                first[v] += scale
-                one[w] += scale
-        mass = sum(one.values()) + kinds
-        return lambda v, w: -np.log2((pair[v, w] + 50 * (one[w] + 1) / mass) / (first[v] + 50))
-
-    own, other = [t.split() for _, t in docs], [t.split() for (t,) in target]
-    near, far = model(other, 1.0), model(own, sum(map(len, other)) / sum(map(len, own)))
-    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    got = {r["doc_id"]: r for r in cross_entropy.cross_entropy_difference(table, spark.createDataFrame(target, "text string")).collect()}
-    assert kinds > 2000 and len(got) == len(docs)
-    for (i, _), words in zip(docs, own):
-        pairs = list(zip(["", *map(sign, words)], map(sign, words)))
-        assert got[i]["n_tokens"] == len(words)
-        assert got[i]["target_loss"] == pytest.approx(np.mean([near(*p) for p in pairs]))
-        assert got[i]["background_loss"] == pytest.approx(np.mean([far(*p) for p in pairs]))
+    assert len({w for t in [*docs, *target] for w in t[-1].split()}) > 2000
+    check_losses(spark, docs, [t for (t,) in target])
 
 
 # --- operator 5 ---------------------------------------------------------------------------
