@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import (
     IDF,
     PCA,
@@ -26,6 +27,7 @@ from occupipe.functions import arrays as A
 from occupipe.functions import fixed_values as fixed
 from occupipe.operators.groups import lookup
 from occupipe.operators.taxonomy import prefix_hit
+from occupipe.session import through_table
 
 
 def with_vector(df: DataFrame, array: str, out: str) -> DataFrame:
@@ -118,6 +120,75 @@ def fit_cascade(
     return PipelineModel(stages=stages)
 
 
+def _with_margins(df: DataFrame, level: int, models: Sequence[GBTClassificationModel]) -> DataFrame:
+    """Add ``margins_k``, the classes' margins in index order, and ``pred_k``, the class of the highest."""
+    out = df
+    for c, model in enumerate(models):
+        out = model.setRawPredictionCol(f"_raw_{c}").setProbabilityCol(f"_p_{c}").setPredictionCol(f"_y_{c}").transform(out)
+    margins = [F.get(vector_to_array(f"_raw_{c}"), F.lit(1)) for c in range(len(models))]
+    if len(models) == 1:
+        margins = [-margins[0], margins[0]]
+    out = out.withColumn("_margins", F.array(*margins))
+    best = F.array_position("_margins", F.array_max("_margins")).cast("double") - 1
+    return out.select(*df.columns, array_to_vector("_margins").alias(f"margins_{level}"), best.alias(f"pred_{level}"))
+
+
+@dataclass
+class BoostedCascade:
+    """Per level, one boosted binary model for each class; for two classes that of the second one."""
+
+    features: str
+    models: dict[int, list[GBTClassificationModel]]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out, inputs = df, [self.features]
+        for k, models in self.models.items():
+            out = VectorAssembler(inputCols=inputs, outputCol="_in").transform(out)
+            out = _with_margins(out, k, models).drop("_in")
+            inputs.append(f"margins_{k}")
+        return out
+
+
+def fit_boosted_cascade(
+    rows: DataFrame,
+    features: str,
+    labels: dict[int, str],
+    held: str,
+    trees: int = 300,
+    depth: int = 10,
+    step: float = 0.1,
+    tolerance: float = 0.01,
+    seed: int = 1,
+) -> tuple[BoostedCascade, DataFrame]:
+    """Boosted trees, one model per class and level; each level also sees all earlier margins.
+
+    Rows flagged in the boolean column ``held`` are not learnt from: a model stops where its
+    loss on them no longer falls by ``tolerance``. Both sides need rows. Also gives the curve:
+    level, class, iteration, train and validation loss, one row per tree kept. ``labels`` maps a
+    level to its index column; indices run from 0, as many as the taxonomy has classes there.
+    """
+    top = rows.agg(*[F.max(labels[k]) for k in sorted(labels)]).first()
+    cascade, curve, inputs, data = BoostedCascade(features, {}), [], [features], rows
+    for k, highest in zip(sorted(labels), top):
+        # Written once: earlier margins are not computed again for each class.
+        joined = through_table(VectorAssembler(inputCols=inputs, outputCol="_in").transform(data))
+        models = []
+        for c in [1] if highest <= 1 else range(int(highest) + 1):
+            own = joined.withColumn("_own", (F.col(labels[k]) == c).cast("double"))
+            model = GBTClassifier(
+                featuresCol="_in", labelCol="_own", maxIter=trees, maxDepth=depth, stepSize=step, seed=seed,
+                validationIndicatorCol=held, validationTol=tolerance,
+            ).fit(own)
+            losses = [model.evaluateEachIteration(own.filter(F.col(held) == side)) for side in (False, True)]
+            curve += [(k, c, i, *map(float, both)) for i, both in enumerate(zip(*losses))]
+            models.append(model)
+        cascade.models[k] = models
+        data = _with_margins(joined, k, models).drop("_in")
+        inputs.append(f"margins_{k}")
+    schema = "level int, class int, iteration int, train_loss double, validation_loss double"
+    return cascade, rows.sparkSession.createDataFrame(curve, schema)
+
+
 def fit_flat(train: DataFrame, features: str, label: str, max_iter: int = 30):
     """One multinomial classifier straight to the deepest level."""
     return LogisticRegression(

@@ -65,6 +65,22 @@ def five_level_cascade(t):
     return judged.join(widths, "level").select("level", "n", "classes", "beats_majority")
 
 
+def nested_codes(t, levels=5):
+    """Embeddings with five-digit codes that nest: level k has k + 1 codes; and which rows are held out."""
+    e = F.col("embedding").cast("array<double>")
+    code = F.concat(*[(F.col("label") >= 2 * k + 1).cast("int").cast("string") for k in range(levels)])
+    rows = t.embeddings.select("vec_id", code.alias("code"), array_to_vector(e).alias("features"))
+    coded = X.encode_labels(rows, "code", X.build_encoding(rows, "code"))
+    return S.random_split(coded, ["vec_id"]).withColumn("held", F.col("split") == "test")
+
+
+@query("boosted_curves")
+def boosted_curves(t):
+    """Five levels of three trees of depth two, of the 300 of depth ten that are the defaults."""
+    labels = {k: f"idx_{k}" for k in range(1, 6)}
+    return M.fit_boosted_cascade(nested_codes(t), "features", labels, "held", trees=3, depth=2)[1]
+
+
 @query("cascade_scores")
 def cascade_scores(t):
     rows, names = coded_vectors(t)

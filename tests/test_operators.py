@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from occupipe.functions import fixed_values as fixed
@@ -272,3 +273,28 @@ def test_title_search_keeps_ads_without_a_description(spark):
     wanted = spark.createDataFrame([("11", "data clerk")], "code string, title string")
     found = title_search(ads, "id", "t", wanted, description="d", exclude_description=["scam"])
     assert {r["id"] for r in found.collect()} == {1, 3}
+
+
+def test_boosted_cascade_and_its_curve(spark):
+    """Train loss falls tree by tree, a later level sees earlier margins, and held rows are hit well above chance."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(240):
+        x = rng.normal(size=3)
+        first = int(x[0] > 0)
+        rows.append((i, Vectors.dense(x.tolist()), first, first + int(first and x[1] > 0), i % 4 == 0))
+    df = spark.createDataFrame(rows, ["id", "features", "one", "two", "held"])
+    cascade, curve = M.fit_boosted_cascade(df, "features", {1: "one", 2: "two"}, "held", trees=3, depth=2)
+    assert [len(cascade.models[k]) for k in (1, 2)] == [1, 3]
+    assert cascade.models[1][0].numFeatures == 3 and cascade.models[2][0].numFeatures == 5
+    losses = {}
+    for r in curve.orderBy("level", "class", "iteration").collect():
+        losses.setdefault((r["level"], r["class"]), []).append((r["train_loss"], r["validation_loss"]))
+    assert set(losses) == {(1, 1), (2, 0), (2, 1), (2, 2)}
+    for both in losses.values():
+        train = [a for a, _ in both]
+        assert 1 <= len(both) <= 3 and train == sorted(train, reverse=True) and all(b > 0 for _, b in both)
+    held = cascade.transform(df.filter("held")).select("one", "two", "pred_1", "pred_2", "margins_2").collect()
+    assert len(held) == 60 and all(len(r["margins_2"]) == 3 for r in held)
+    assert np.mean([r["one"] == r["pred_1"] for r in held]) > 0.85
+    assert np.mean([r["two"] == r["pred_2"] for r in held]) > 0.75
