@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -269,6 +269,31 @@ def ranked_predictions(scored: DataFrame, level: int, labels: Sequence[str], n:
     return F.transform(best, lambda e: F.struct(e["label"].alias("code"), e["p"].alias("proba")))
 
 
+def ranked_levels(
+    scored: DataFrame,
+    columns: Sequence[str],
+    names: Mapping[int, Sequence[str]],
+    label: str | None = None,
+    top: Mapping[int, int] | None = None,
+) -> DataFrame:
+    """Per level the top codes with their probabilities and, given a label, whether its prefix is among them.
+
+    ``scored`` has arrays ``proba_k``; ``names`` lists a level's codes by index. Gives the
+    columns named, ``level_k`` as an array of (code, proba), best first, and ``hit_k``.
+    """
+    def listed(k: int):
+        codes = F.array(*[F.lit(c) for c in names[k]])
+        best = A.top_n(F.col(f"proba_{k}"), (top or fixed.TOP_N)[k], codes)
+        return F.transform(best, lambda e: F.struct(e["label"].alias("code"), e["p"].alias("proba")))
+
+    kept = [*columns, *([label] if label and label not in columns else [])]
+    out = scored.select(*kept, *[listed(k).alias(f"level_{k}") for k in names])
+    if not label:
+        return out
+    codes = lambda k: F.transform(f"level_{k}", lambda p: p["code"])
+    return out.select("*", *[prefix_hit(codes(k), F.col(label)).alias(f"hit_{k}") for k in names])
+
+
 def score_levels(
     model: PipelineModel,
     df: DataFrame,
@@ -277,19 +302,10 @@ def score_levels(
     label: str | None = None,
     top: dict[int, int] | None = None,
 ) -> DataFrame:
-    """Batch scoring: per level the top codes and whether the label's prefix is among them."""
-    scored = model.transform(df)
-    columns = []
-    for k, names in labels_by_level.items():
-        n = (top or fixed.TOP_N)[k]
-        predictions = ranked_predictions(scored, k, names, n)
-        columns.append(predictions.alias(f"level_{k}"))
-    out = scored.select(key, *([label] if label else []), *columns)
-    if label:
-        for k in labels_by_level:
-            codes = F.transform(f"level_{k}", lambda p: p["code"])
-            out = out.withColumn(f"hit_{k}", prefix_hit(codes, F.col(label)))
-    return out
+    """Batch scoring: ``ranked_levels`` of what the model gives."""
+    columns = [key, *([label] if label else [])]
+    arrays = [vector_to_array(f"proba_{k}").alias(f"proba_{k}") for k in labels_by_level]
+    return ranked_levels(model.transform(df).select(*columns, *arrays), columns, labels_by_level, label, top)
 
 
 def level_losses(scored: DataFrame, labels: dict[int, str]) -> DataFrame:

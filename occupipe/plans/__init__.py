@@ -9,6 +9,7 @@ from occupipe.plans import (
     models,
     relational,
     sampling,
+    scoring,
     streams,
     taxonomy,
 )
@@ -25,6 +26,7 @@ __all__ = [
     "models",
     "relational",
     "sampling",
+    "scoring",
     "streams",
     "taxonomy",
 ]
