@@ -41,10 +41,10 @@ def text_tokens(df: DataFrame, text: str, out: str = "tokens") -> DataFrame:
     return remover.transform(tokenizer.transform(df)).drop("_all")
 
 
-def fit_word_vectors(df: DataFrame, tokens: str, size: int = 32, seed: int = 1, min_count: int = 2):
+def fit_word_vectors(df: DataFrame, tokens: str, size: int = 32, seed: int = 1, min_count: int = 2, partitions: int = 16):
     """Word vectors; the model's transform averages the vectors of a document's tokens.
 
-    Trained on all cores at once: the default is one task for the whole corpus.
+    Trained in ``partitions`` tasks, whatever the number of cores, since the vectors depend on it.
     """
     return Word2Vec(
         inputCol=tokens,
@@ -53,7 +53,7 @@ def fit_word_vectors(df: DataFrame, tokens: str, size: int = 32, seed: int = 1,
         seed=seed,
         minCount=min_count,
         maxIter=1,
-        numPartitions=df.sparkSession.sparkContext.defaultParallelism,
+        numPartitions=partitions,
     ).fit(df)
 
 
@@ -87,11 +87,14 @@ def fit_cascade(
     trees: bool = False,
     max_iter: int = 30,
     seed: int = 1,
+    forest: int = 300,
+    depth: int = 10,
 ) -> PipelineModel:
     """Fit one classifier per level; each sees the features and all earlier scores.
 
     ``labels`` maps a level to its index column. Earlier scores are raw margins for the
-    linear form and probabilities for the tree form. Levels are fitted in turn.
+    linear form and probabilities for the tree form, which has ``forest`` trees of ``depth``.
+    Levels are fitted in turn.
     """
     # The assembler cannot learn a vector's length from a stream, so it is stated.
     size = train.select(features).first()[0].size
@@ -108,7 +111,7 @@ def fit_cascade(
             predictionCol=f"pred_{k}",
         )
         if trees:
-            classifier = RandomForestClassifier(numTrees=20, maxDepth=6, seed=seed, **common)
+            classifier = RandomForestClassifier(numTrees=forest, maxDepth=depth, seed=seed, **common)
         else:
             classifier = LogisticRegression(
                 family="multinomial", maxIter=max_iter, regParam=0.01, aggregationDepth=3, **common

@@ -16,12 +16,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructField, StructType, UserDefinedType
 
 from occupipe.session import cut_lineage, through_table
 
 SLICES = 1 << 16
 LOOKUP_LIMIT = 200_000
+LOOKUP_BYTES = 64 << 20
 
 
 def coin(seed: int, *columns: Column | str) -> Column:
@@ -41,16 +42,31 @@ def share_below(hashed: Column, share: float | Column) -> Column:
 
 
 def lookup(df: DataFrame, limit: int = LOOKUP_LIMIT) -> DataFrame:
-    """Mark a side for broadcast if it is counted to have at most ``limit`` rows.
+    """Mark a side for broadcast if it is counted to have at most ``limit`` rows and ``LOOKUP_BYTES`` bytes.
 
     Otherwise it is returned as it is, and the join shuffles with AQE splitting skew.
     """
     return F.broadcast(df) if is_small(df, limit) else df
 
 
-def is_small(df: DataFrame, limit: int = LOOKUP_LIMIT) -> bool:
-    """A full count: a limit would send its rows from every partition to one task."""
-    return df.count() <= limit
+def is_small(df: DataFrame, limit: int = LOOKUP_LIMIT, limit_bytes: int = LOOKUP_BYTES) -> bool:
+    """A full count of rows and bytes: a limit would send its rows from every partition to one task."""
+    counted = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(_row_bytes(df)).alias("bytes")).first()
+    return counted["rows"] <= limit and (counted["bytes"] or 0) <= limit_bytes
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row holds: eight a number, and what texts and nested values have when shown."""
+    total = F.lit(8)
+    for field in df.schema.fields:
+        kind, value = field.dataType, F.col(f"`{field.name}`")
+        if isinstance(kind, (StringType, BinaryType)):
+            total = total + F.coalesce(F.octet_length(value), F.lit(0))
+        elif isinstance(kind, (ArrayType, MapType, StructType, UserDefinedType)):
+            total = total + F.coalesce(F.octet_length(value.cast("string")), F.lit(0))
+        else:
+            total = total + 8
+    return total.cast("bigint")
 
 
 def derived_lookup(df: DataFrame) -> DataFrame:
@@ -62,7 +78,7 @@ def lookup_each(df: DataFrame, codes: Column, table: DataFrame, on: str, value:
     """For an array of codes of any length, the array of their values in a table, in order.
 
     ``table`` has one row per code in ``on``; a code without a row gives null, a null array
-    null and an empty one empty. A table counted to be small goes to every task, where each
+    null and an empty one empty. A table counted to be small, in rows and bytes, goes to every task, where each
     Arrow batch is looked up in one step and nothing is shuffled. A larger one is joined by
     shuffle on the codes; rows are told apart by a number of their own, so repeated rows stay
     apart. Both ways give the same rows.

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from occupipe.functions import arrays as A
 from occupipe.functions import codes as K
 from occupipe.functions import text as T
-from occupipe.operators.groups import is_small, lookup, lookup_each
+from occupipe.operators.groups import LOOKUP_LIMIT, is_small, lookup, lookup_each
 from occupipe.session import cut_lineage
 
+CODES_EACH = 10_000
+
 
 def level_codes(df: DataFrame, code: str) -> DataFrame:
     """Distinct prefixes per level: level, code."""
@@ -36,12 +38,13 @@ def build_encoding(taxonomy: DataFrame, code: str) -> DataFrame:
     return dense_ids(level_codes(taxonomy.filter(F.col(code).isNotNull()), code))
 
 
-def encoding_to_json(encoding: DataFrame) -> DataFrame:
-    """The two nested maps of an encoding as one JSON document per level."""
+def encoding_to_json(encoding: DataFrame, codes_each: int = CODES_EACH) -> DataFrame:
+    """The two nested maps of an encoding as JSON documents, one per level and range of ``codes_each`` indices."""
     by_code = F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "idx"))))
     by_idx = F.map_from_entries(F.array_sort(F.collect_list(F.struct("idx", "code"))))
-    grouped = encoding.groupBy("level").agg(by_code.alias("code_idx"), by_idx.alias("idx_code"))
-    return grouped.select("level", F.to_json(F.struct("code_idx", "idx_code")).alias("encoding"))
+    part = F.floor(F.col("idx") / codes_each).cast("int").alias("part")
+    grouped = encoding.groupBy("level", part).agg(by_code.alias("code_idx"), by_idx.alias("idx_code"))
+    return grouped.select("level", "part", F.to_json(F.struct("code_idx", "idx_code")).alias("encoding"))
 
 
 def encoding_from_json(documents: DataFrame, column: str = "encoding") -> DataFrame:
@@ -52,20 +55,26 @@ def encoding_from_json(documents: DataFrame, column: str = "encoding") -> DataFr
     )
 
 
-def encode_labels(df: DataFrame, code: str, encoding: DataFrame) -> DataFrame:
+def encode_labels(df: DataFrame, code: str, encoding: DataFrame, limit: int = LOOKUP_LIMIT) -> DataFrame:
     """Add ``idx_1`` to ``idx_5``; an unknown prefix gives null. Null codes are dropped.
 
-    The encoding is computed and counted once; a small one is looked up in the map tasks.
+    The encoding is computed and counted once; a small one is looked up in the map tasks, level
+    by level. A large one meets the distinct codes of the rows, and the rows are joined once.
     """
     out = df.filter(F.col(code).isNotNull())
     written = cut_lineage(encoding)
-    small = is_small(written)
+    if not is_small(written, limit):
+        prefixes = F.array(*[F.struct(F.lit(k).alias("level"), K.level(F.col(code), k).alias("code")) for k in K.LEVELS])
+        asked = out.select(F.col(code).alias("_label"), F.explode(prefixes).alias("_e")).distinct().select("_label", "_e.*")
+        wide = asked.join(written, ["level", "code"]).groupBy("_label").agg(
+            *[F.max(F.when(F.col("level") == k, F.col("idx"))).alias(f"idx_{k}") for k in K.LEVELS]
+        )
+        return out.join(wide, F.col(code) == F.col("_label"), "left").drop("_label")
     for k in K.LEVELS:
         known = written.filter(F.col("level") == k).select(
             F.col("code").alias(f"_c{k}"), F.col("idx").alias(f"idx_{k}")
         )
-        side = F.broadcast(known) if small else known
-        out = out.join(side, K.level(F.col(code), k) == F.col(f"_c{k}"), "left").drop(f"_c{k}")
+        out = out.join(F.broadcast(known), K.level(F.col(code), k) == F.col(f"_c{k}"), "left").drop(f"_c{k}")
     return out
 
 

@@ -129,3 +129,32 @@ def test_prefix_hit_without_label(spark):
     df = spark.createDataFrame([(["12"], "123"), (["13"], "123"), (["12"], None)], "p array<string>, l string")
     hits = df.select(X.prefix_hit(F.col("p"), F.col("l")).alias("h")).collect()
     assert [r["h"] for r in hits] == [True, False, None]
+
+
+def test_a_side_is_broadcast_by_rows_and_bytes(spark):
+    """Few rows of long texts are no small side; nested values count as well, and an empty table is small."""
+    df = spark.range(100).select("id", F.repeat(F.lit("é"), 500).alias("text"), F.array(F.lit("x" * 50)).alias("words"))
+    is_small = G.is_small
+    assert is_small(df) and not is_small(df, limit=99)
+    assert is_small(df, limit_bytes=120_000) and not is_small(df, limit_bytes=100_000)
+    assert not is_small(df.select("words"), limit_bytes=5_000) and is_small(df.select("id"), limit_bytes=2_000)
+    assert is_small(df.limit(0), 0, 0) and is_small(spark.range(1).select(F.lit(None).cast("string").alias("t")), 1, 8)
+
+
+def test_labels_are_encoded_alike_by_a_small_and_a_large_encoding(spark):
+    taxonomy = spark.createDataFrame([("11111",), ("11125",), ("23000",), (None,)], "code string")
+    encoding = X.build_encoding(taxonomy, "code")
+    labels = ["11111", "11129", "23000", "2", "9", "", None, "11111"]
+    df = spark.createDataFrame(list(enumerate(labels)), "id int, own string")
+    small = {tuple(r) for r in X.encode_labels(df, "own", encoding).collect()}
+    large = {tuple(r) for r in X.encode_labels(df, "own", encoding, limit=0).collect()}
+    assert small == large and len(small) == 7
+    assert {r[0]: r[2:] for r in small}[1] == (0, 0, 0, 1, None)
+
+
+def test_an_encoding_in_documents_of_few_codes(spark):
+    codes = spark.range(25).select((F.col("id") + 10000).cast("string").alias("code"))
+    encoding = X.build_encoding(codes, "code")
+    documents = X.encoding_to_json(encoding, codes_each=7)
+    assert documents.filter("level = 5").count() == 4 and documents.filter("level = 1").count() == 1
+    assert {tuple(r) for r in X.encoding_from_json(documents).collect()} == {tuple(r) for r in encoding.collect()}
