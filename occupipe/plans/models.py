@@ -12,7 +12,7 @@ from occupipe.operators import split as S
 from occupipe.operators import taxonomy as X
 from occupipe.operators.groups import lookup, lookup_each
 from occupipe.plans.registry import query
-from occupipe.session import cut_lineage, through_table
+from occupipe.session import cut_lineage
 
 LEVELS = {1: "idx_1", 2: "idx_2"}
 
@@ -37,11 +37,12 @@ def sides(rows):
 HELD_SQL = "CAST('0x' || substr(md5({key} || '|2021'), 1, 15) AS BIGINT) % 1000000 >= 800000"
 
 
-def beats_majority(hits, labels):
-    """Is the share of hits at least that of the most frequent label? Over (label, hit) rows."""
-    counted = hits.groupBy(*labels, "label").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"))
+def beats_majority(hits, labels, *added):
+    """Is the share of hits at least that of the most frequent label? Over (label, hit) rows; columns to add up may follow."""
+    sums = [F.sum(c).alias(c) for c in added]
+    counted = hits.groupBy(*labels, "label").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"), *sums)
     shown = [F.sum("n").alias("n"), F.max("n").alias("majority"), (F.sum("hits") >= F.max("n")).alias("beats_majority")]
-    return counted.groupBy(*labels).agg(*shown)
+    return counted.groupBy(*labels).agg(*shown, *sums)
 
 
 def majority_sql(rows: str, keys: str = "") -> str:
@@ -137,11 +138,9 @@ def flat_baseline_classes(t):
 
     Accuracy is not compared: the code's second digit, the id modulo 3, cannot be learnt.
     """
-    scored = flat_baseline(t)
-    classes = F.broadcast(scored.sparkSession.createDataFrame([(len(coded_vectors(t)[1][2]),)], "classes int"))
-    by_class = scored.join(classes).groupBy("idx_2").agg(
-        F.count(F.lit(1)).alias("c"), F.count_if(F.col("predicted").between(0, F.col("classes") - 1)).alias("known")
-    )
+    classes = len(coded_vectors(t)[1][2])
+    known = F.count_if(F.col("predicted").between(0, classes - 1)).alias("known")
+    by_class = flat_baseline(t).groupBy("idx_2").agg(F.count(F.lit(1)).alias("c"), known)
     return by_class.agg(F.sum("c").alias("n"), F.max("c").alias("majority"), F.sum("known").alias("known"))
 
 
@@ -305,10 +304,9 @@ def vectors_in_plane(t):
     """,
 )
 def text_baseline_quality(t):
-    scored = through_table(text_baseline(t))
-    hits = scored.select(F.col("code").alias("label"), F.col("hit").cast("int").alias("hit"))
-    known = F.size(F.filter("codes", lambda c: c.between("101", "199")))
-    return beats_majority(hits, []).join(F.broadcast(scored.agg(F.sum(known).alias("recoded"))))
+    known = F.size(F.filter("codes", lambda c: c.between("101", "199"))).alias("recoded")
+    hits = text_baseline(t).select(F.col("code").alias("label"), F.col("hit").cast("int").alias("hit"), known)
+    return beats_majority(hits, [], "recoded")
 
 
 @query("text_baseline")
