@@ -9,9 +9,11 @@ from occupipe.functions import text as T
 from occupipe.operators import evaluate as E
 from occupipe.operators import joins as J
 from occupipe.operators.groups import keep_one, with_row_index
+from occupipe.operators.projections import projected_neighbours
 from occupipe.operators.search import similar_vectors, title_search
 from occupipe.operators.taxonomy import parent_tasks
 from occupipe.plans.registry import ADS_SQL, CODE_SQL, TAXONOMY_SQL, code_of, query
+from occupipe.session import through_table
 from occupipe.sources import readers
 
 # --- projections, filters, checks ---------------------------------------------------
@@ -340,6 +342,50 @@ def similar_vectors_query(t):
     return found.select("source", "target", F.round("sim", 6).alias("sim"), F.col("rank").cast("bigint").alias("rank"))
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+LETTERS_SQL = f"""
+    v AS (SELECT doc_id, list_transform(string_split('{' '.join(LETTERS)}', ' '), lambda c: CAST(length(t) - length(replace(t, c, '')) AS DOUBLE)) AS v
+        FROM (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL)),
+    u AS (SELECT doc_id, v, sqrt(list_inner_product(v, v)) AS z FROM v)
+"""
+
+
+def letter_counts(t):
+    """Documents as counts of 26 letters."""
+    docs = t.spread("documents", "doc_id", "text").select(F.col("doc_id").alias("id"), F.lower("text").alias("t")).dropna()
+    counts = [(F.length("t") - F.length(F.replace("t", F.lit(c), F.lit("")))).cast("double") for c in LETTERS]
+    return docs.select("id", F.array(*counts).alias("vector"))
+
+
+@query("projected_neighbours")
+def projected_neighbours_query(t):
+    vectors = through_table(letter_counts(t))
+    return projected_neighbours(vectors, vectors, 10, 0.9)
+
+
+@query(
+    "projected_recall",
+    f"""
+    WITH {LETTERS_SQL}, p AS (SELECT a.doc_id AS source, b.doc_id AS target, round(list_inner_product(a.v, b.v) / (a.z * b.z), 9) AS sim
+        FROM u a JOIN u b ON a.z > 0 AND b.z > 0),
+    e AS (SELECT source, target FROM p WHERE sim >= 0.9 QUALIFY row_number() OVER (PARTITION BY source ORDER BY sim DESC, target) <= 10)
+    SELECT count(*) AS exact, CAST(0 AS BIGINT) AS wrong, true AS recall_of_nine_tenths FROM e
+    """,
+)
+def projected_recall(t):
+    """All documents as sources: exact rows, rows found of which an exact search says otherwise, and whether recall is 0.9 at least."""
+    vectors = through_table(letter_counts(t))
+    exact = similar_vectors(vectors, vectors, 10, 0.9).select("source", "target", F.col("sim").alias("own"))
+    found = projected_neighbours(vectors, vectors, 10, 0.9)
+    both = exact.join(found, ["source", "target"], "full")
+    counted = both.agg(
+        F.count("own").alias("exact"),
+        F.count_if(F.abs(F.col("sim") - F.col("own")) > 1e-9).alias("wrong"),
+        F.count_if(F.col("sim").isNotNull() & F.col("own").isNotNull()).alias("found"),
+    )
+    return counted.select("exact", "wrong", (F.col("found") >= 0.9 * F.col("exact")).alias("recall_of_nine_tenths"))
+
+
 @query(
     "similarity_costs",
     f"""
