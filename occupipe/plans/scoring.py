@@ -86,8 +86,7 @@ def scored_pages(t):
     Z.fit_scoring(labelled, "html", {k: f"idx_{k}" for k in LEVELS}, verbs, features=1 << 10, max_iter=10).save(saved)
     model = PipelineModel.load(saved)
     score = lambda df: Z.score_records(model, df, "page_id", [], names, taxonomy)
-    reader = t.spark.readStream.schema(t.pages.schema).option("pathGlobFilter", "pages*.parquet")
-    stream = score(reader.parquet(t.folder).select("page_id", "html"))
+    stream = score(t.stream("pages").select("page_id", "html"))
     ST.run_all(lambda: ST.append_final(stream, path, shared_dir(t.spark)))
     streamed = t.spark.read.schema(stream.schema).parquet(path)
     same = F.struct([F.col(f"b.{c}") for c in stream.columns]).eqNullSafe(F.struct([F.col(f"s.{c}") for c in stream.columns]))

@@ -12,18 +12,13 @@ from occupipe.session import shared_dir, through_table
 from occupipe.streaming import stream as ST
 
 
-def event_stream(t):
-    reader = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events*.parquet")
-    return reader.parquet(t.folder)
-
-
 @query(
     "stream_weekly_counts",
     "SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 )
 def stream_weekly_counts(t):
     path = shared_dir(t.spark)
-    counted = ST.weekly_counts(event_stream(t), "ts", "event_type")
+    counted = ST.weekly_counts(t.stream("events"), "ts", "event_type")
     ST.run_all(lambda: ST.complete_to_table(counted, path, shared_dir(t.spark)))
     back = t.spark.read.parquet(path)
     return back.select(F.date_format("week", "yyyy-MM-dd").alias("week"), "event_type", "n")
@@ -35,7 +30,7 @@ def stream_weekly_counts(t):
 )
 def stream_enrichment(t):
     path = shared_dir(t.spark)
-    coded = event_stream(t).select("event_id", code_of(F.col("user_id")).alias("code"), F.col("event_type").alias("bucket"))
+    coded = t.stream("events").select("event_id", code_of(F.col("user_id")).alias("code"), F.col("event_type").alias("bucket"))
     ST.run_all(lambda: ST.append_buckets(ST.enrich(coded, "code", t.taxonomy()), path, shared_dir(t.spark)))
     return t.spark.read.parquet(path).select("event_id", "code", "code_title")
 
@@ -182,8 +177,7 @@ def stream_scoring(t):
     saved, path = shared_dir(t.spark), shared_dir(t.spark)
     fitted.save(saved)
     model = PipelineModel.load(saved)
-    reader = t.spark.readStream.schema(t.embeddings.schema).option("pathGlobFilter", "embeddings*.parquet")
-    scored = ST.score_stream(vectors(reader.parquet(t.folder)), model)
+    scored = ST.score_stream(vectors(t.stream("embeddings")), model)
     kept = scored.select("vec_id", F.col("pred_1").cast("int").alias("predicted"), F.col("label").alias("bucket"))
     ST.run_all(lambda: ST.append_buckets(kept, path, shared_dir(t.spark)))
     return t.spark.read.parquet(path).select("vec_id", "predicted")
