@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StructField, StructType
 
 from occupipe.functions import fixed_values as fixed
-from occupipe.operators.groups import lookup_each, md5_coin, with_row_index
+from occupipe.operators.groups import lookup_each, md5_coin, md5_coins, with_row_index
 
 MILLION = 1_000_000
 VOCABULARY_LIMIT = 500_000
@@ -131,23 +137,29 @@ def mask_whole_words(
     Words are told apart by runs: a number that comes back later is another word. Rows
     are packed blocks, so the running number is over a few hundred tokens.
     """
-    start = F.struct(F.lit(None).cast("int").alias("last"), F.lit(-1).alias("run"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, word: Column) -> Column:
-        word = word.cast("int")
-        run = acc["run"] + F.when(word.isNull() | word.eqNullSafe(acc["last"]), 0).otherwise(1)
-        return F.struct(
-            F.coalesce(word, acc["last"]).alias("last"),
-            run.alias("run"),
-            F.concat(acc["out"], F.array(F.when(word.isNotNull(), run))).alias("out"),
-        )
-
-    runs = F.aggregate(F.col(word_ids), start, step, lambda acc: acc["out"])
-    chosen = F.transform(
-        runs,
-        lambda r: r.isNotNull()
-        & (md5_coin(seed, F.col(key), r) % MILLION < share * MILLION),
-    )
-    staged = df.withColumn("_hit", chosen)
+    names, most = df.columns, share * MILLION
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_words")
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            words = lists.flatten()
+            at = np.flatnonzero(words.is_valid().to_numpy(zero_copy_only=False))
+            row, word = np.repeat(np.arange(len(sizes)), sizes)[at], words.take(pa.array(at)).to_numpy(zero_copy_only=False)
+            begins = np.ones(len(at), bool)
+            begins[1:] = (row[1:] != row[:-1]) | (word[1:] != word[:-1])
+            # Runs are numbered from 0 in each row, and one coin is drawn for a run.
+            runs = np.bincount(row[begins], minlength=len(sizes))
+            coins = [md5_coins(k, np.arange(n), seed) for k, n in zip(batch.column("_key").to_pylist(), runs.tolist())]
+            drawn = np.concatenate([np.zeros(0, np.uint64), *coins]) % np.uint64(MILLION) < most
+            hit = np.zeros(len(words), bool)
+            hit[at] = drawn[np.cumsum(begins) - 1]
+            ends = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+            hits = pa.ListArray.from_arrays(ends, pa.array(hit), mask=pc.is_null(lists))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], hits], names=[*names, "_hit"])
+
+    kind = StructType([*df.schema.fields, StructField("_hit", ArrayType(BooleanType()))])
+    shown = df.withColumns({"_key": F.col(key).cast("string"), "_words": F.col(word_ids).cast("array<int>")})
+    staged = shown.mapInArrow(choose, kind)
     inputs, labels = _masked(F.col(ids), F.col("_hit"), mask_id)
     return staged.withColumn("labels", labels).withColumn(ids, inputs).drop("_hit")
