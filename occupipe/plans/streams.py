@@ -35,19 +35,33 @@ def stream_enrichment(t):
     return t.spark.read.parquet(path).select("event_id", "code", "code_title")
 
 
-def arrivals(t, df, part, n: int, write="parquet") -> str:
-    """A folder of ``n`` files that arrived one after the other: file k holds the rows whose ``part`` is k."""
+#: Rows of a file that arrives.
+FILE_ROWS = 500_000
+
+
+def arrivals(t, df, part, n: int, write="parquet") -> tuple[str, int]:
+    """A folder of ``n`` lots of files that arrived one after the other, and how many files each lot has.
+
+    Lot k holds the rows whose ``part`` is k, in as many files as the largest lot needs; a lot
+    of too few rows has empty files among them. So a micro-batch of that many files is one lot.
+    """
     folder, context = shared_dir(t.spark), t.spark.sparkContext
     rows = through_table(df.withColumn("_part", part))
+    sizes = {r["_part"]: r["count"] for r in rows.groupBy("_part").count().collect()}  # at most ``n`` numbers
+    files = max(1, -(-max(sizes.values(), default=0) // FILE_ROWS))
     for k in range(n):
-        one = rows.filter(F.col("_part") == k).drop("_part").coalesce(1)
-        one.write.format(write).save(f"{folder}/in-{k}")
+        lot = rows.filter(F.col("_part") == k).drop("_part")
+        save = lambda frame: frame.write.mode("append").format(write).save(f"{folder}/in-{k}")
+        save(lot.coalesce(1) if files == 1 else lot.repartition(files))
         path = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/in-{k}")
         fs = path.getFileSystem(context._jsc.hadoopConfiguration())
-        for status in fs.listStatus(path):
+        listed = lambda: [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("part-")]
+        for _ in range(files - len(listed())):
+            save(lot.limit(0))
+        for file in listed():
             # A stream takes files in the order of their times.
-            fs.setTimes(status.getPath(), 1_700_000_000_000 + 60_000 * k, -1)
-    return folder
+            fs.setTimes(file, 1_700_000_000_000 + 60_000 * k, -1)
+    return folder, files
 
 
 # Files of a sixth of the events each; one event in seventeen arrives three files late.
@@ -62,8 +76,10 @@ def in_parts(t, *columns: str):
     return events.withColumn("_n", F.lit(t.events.count())), part
 
 
-def part_stream(t, folder: str, schema, parts: str = "*"):
-    reader = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+def part_stream(t, lots: tuple[str, int], schema, parts: str = "*"):
+    """One lot a micro-batch."""
+    folder, files = lots
+    reader = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
     return reader.parquet(f"{folder}/in-{parts}")
 
 
@@ -78,12 +94,12 @@ def stream_unseen_ids(t):
     """The first event of each user over six micro-batches, a restart after three of them and a second stream over all."""
     events, part = in_parts(t, "event_id", "user_id")
     events = events.withColumn("part", part).withColumn("bucket", F.col("user_id") % 4)
-    folder = arrivals(t, events.drop("_n"), F.col("part"), PARTS)
+    lots = arrivals(t, events.drop("_n"), F.col("part"), PARTS)
     path, checkpoint, kind = shared_dir(t.spark), shared_dir(t.spark), events.drop("_n").schema
     append = lambda source, check: ST.run_all(lambda: ST.append_unseen(source, "user_id", path, check, order=["event_id"], slots=16))
-    append(part_stream(t, folder, kind, "[012]"), checkpoint)
-    append(part_stream(t, folder, kind), checkpoint)
-    append(part_stream(t, folder, kind), shared_dir(t.spark))
+    append(part_stream(t, lots, kind, "[012]"), checkpoint)
+    append(part_stream(t, lots, kind), checkpoint)
+    append(part_stream(t, lots, kind), shared_dir(t.spark))
     return ST.appended(t.spark, path).select("user_id", "event_id", "part")
 
 
@@ -105,10 +121,10 @@ def stream_final_weeks(t):
     A row is late if its week had ended by the watermark of the batch before its own; the last weeks stay open.
     """
     events, part = in_parts(t, "event_id", "ts", "event_type")
-    folder = arrivals(t, events, part, PARTS)
+    lots = arrivals(t, events, part, PARTS)
     kind = events.schema
     path = shared_dir(t.spark)
-    counted = ST.weekly_counts(part_stream(t, folder, kind), "ts", "event_type", "1 day")
+    counted = ST.weekly_counts(part_stream(t, lots, kind), "ts", "event_type", "1 day")
     ST.run_all(lambda: ST.append_final(counted, path, shared_dir(t.spark)))
     back = t.spark.read.schema(counted.schema).parquet(path)
     return back.select(F.date_format("week", "yyyy-MM-dd").alias("week"), "event_type", "n")
@@ -130,8 +146,8 @@ def stream_repeats_within_delay(t):
     events = t.events.select("event_id", "ts", "user_id").withColumn("_n", F.lit(t.events.count()))
     part = (F.col("event_id") * PARTS / F.col("_n")).cast("int")
     events = events.select((F.col("user_id") % 5).alias("key"), "ts", part.alias("part"))
-    folder = arrivals(t, events, F.col("part"), PARTS)
-    once = ST.skip_repeats(part_stream(t, folder, events.schema), "key", "ts", "1 minute")
+    lots = arrivals(t, events, F.col("part"), PARTS)
+    once = ST.skip_repeats(part_stream(t, lots, events.schema), "key", "ts", "1 minute")
     path = shared_dir(t.spark)
     ST.run_all(lambda: ST.append_final(once, path, shared_dir(t.spark)))
     return t.spark.read.schema(once.schema).parquet(path).select("key", "part")
@@ -161,9 +177,9 @@ def stream_rejected_records(t):
 
 
 def _split_stream(t) -> str:
-    folder, path, checkpoint = record_stream(t), shared_dir(t.spark), shared_dir(t.spark)
+    (folder, size), path, checkpoint = record_stream(t), shared_dir(t.spark), shared_dir(t.spark)
     for files in ("[01]", "*"):
-        lines = t.spark.readStream.schema("value string").option("maxFilesPerTrigger", 2).format("text").load(f"{folder}/in-{files}")
+        lines = t.spark.readStream.schema("value string").option("maxFilesPerTrigger", 2 * size).format("text").load(f"{folder}/in-{files}")
         documents = lines.select(F.from_json("value", "ad_id string, doc string").alias("r")).select("r.*")
         ST.run_all(lambda: ST.split_rejects(documents, path, checkpoint))
     return path
