@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from occupipe.operators.corpus import one_line
+from occupipe.session import unsorted_writes
 
 
 def write_buckets(df: DataFrame, path: str, bucket: str = "bucket", append: bool = False) -> None:
@@ -37,7 +38,8 @@ def write_with_quarantine(df: DataFrame, path: str, reason: str = "reject_reason
 
     One write, so the input is parsed once and a failed job leaves neither half behind.
     """
-    df.withColumn("rejected", F.col(reason).isNotNull()).write.mode("append").partitionBy("rejected").parquet(path)
+    with unsorted_writes(df.sparkSession):
+        df.withColumn("rejected", F.col(reason).isNotNull()).write.mode("append").partitionBy("rejected").parquet(path)
 
 
 def stamped(df: DataFrame, column: str = "processed_at") -> DataFrame:

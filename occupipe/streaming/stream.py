@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from occupipe.functions import text as T
 from occupipe.operators.groups import keep_one
 from occupipe.operators.joins import with_titles
-from occupipe.session import cut_lineage
+from occupipe.session import cut_lineage, unsorted_writes
 from occupipe.sources import records
 from occupipe.sources.readers import file_id
 
@@ -104,7 +104,9 @@ def split_rejects(documents: DataFrame, path: str, checkpoint: str) -> Streaming
 def append_buckets(stream: DataFrame, path: str, checkpoint: str, bucket: str = "bucket") -> StreamingQuery:
     """File sink, one folder per bucket."""
     writer = stream.writeStream.format("parquet").partitionBy(bucket).option("path", path)
-    return start(writer.outputMode("append"), checkpoint)
+    # A stream keeps the settings it was started with.
+    with unsorted_writes(stream.sparkSession):
+        return start(writer.outputMode("append"), checkpoint)
 
 
 def weekly_counts(stream: DataFrame, time: str, group: str, delay: str = "7 days") -> DataFrame:
