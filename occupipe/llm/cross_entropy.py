@@ -14,7 +14,8 @@ blocks of about ``BLOCK_BYTES``. A block sends each of its distinct words, later
 distinct bigrams, once with its counts, as packed runs of sorted 64-bit hashes to the part that
 holds this range of hashes; the part adds up and answers each block with the totals of its keys.
 So a hot word or bigram reaches its part once a block, parts grow in number and not in size, and
-the driver sees a few sums only. Two of n bigrams share a hash with a chance of about n^2 / 2^65.
+the driver sees a few sums only. Each round's totals are written and its shuffles then deleted, so
+disk holds one round at a time. Two of n bigrams share a hash with a chance of about n^2 / 2^65.
 
 Defined results: null and empty texts have no tokens and score 0; an empty target or background
 has a flat model; repeated rows count each time, and one of them is in the background of the other; null ids are scored; other columns are ignored.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from occupipe.llm.common import arrow, col, ddl
 from occupipe.llm.word_ids import slices
-from occupipe.session import through_table
+from occupipe.session import freed_shuffles, through_table
 
 MIN_SEEN = 2
 BACKOFF = 20.0
@@ -153,7 +154,8 @@ def _totals(runs: DataFrame, kinds: int, min_seen: int) -> DataFrame:
         blocks = [*table.column("block").to_pylist(), None]
         return pa.table({"part": pa.array([part] * len(blocks), pa.int64()), "block": pa.array(blocks, pa.string()), "totals": pa.array([*told, whole], pa.binary())})
 
-    return through_table(runs.groupBy("part").applyInArrow(add, "part bigint, block string, totals binary"))
+    with freed_shuffles(runs.sparkSession):
+        return through_table(runs.groupBy("part").applyInArrow(add, "part bigint, block string, totals binary"))
 
 
 def _joined(coded: DataFrame, *answers: DataFrame) -> GroupedData:

@@ -1,6 +1,7 @@
 """The operators against plain statements of their rules, on small tables with awkward rows."""
 
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -275,6 +276,26 @@ def test_texts_that_occur_again_are_told_apart(spark):
     assert min(s for i, s in seen.items() if i >= 100) > max(s for i, s in seen.items() if i < 100)
 
 
+def test_shuffles_of_a_round_are_deleted_before_the_next(spark):
+    """Once the totals of words and of bigrams are written, what was shuffled for them is gone."""
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+
+    def shuffled():
+        files = env.blockManager().diskBlockManager().getAllFiles()
+        names = [files.apply(i).getName() for i in range(files.size())]
+        return {n.split("_")[1] for n in names if n.startswith("shuffle_")}
+
+    before = shuffled()
+    docs = spark.createDataFrame([(i, f"a b c{i % 7} d{i % 5}") for i in range(50)], "doc_id long, text string")
+    scored = cross_entropy.cross_entropy_difference(docs, docs.select("text"))
+    end = time.time() + 20
+    # One may stay: that of the number of tokens.
+    while len(left := shuffled() - before) > 1 and time.time() < end:
+        time.sleep(0.2)
+    assert len(left) <= 1
+    assert scored.count() == 50
+
+
 def test_losses_of_nothing(nothing, docs):
     target = docs.select("text")
     assert cross_entropy.cross_entropy_difference(nothing, target).count() == 0
