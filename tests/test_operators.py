@@ -49,6 +49,34 @@ def test_similar_vectors_broadcast_and_grid(spark, limit):
     assert {(r["source"], r["target"]) for r in got} == want and len(got) == len(want)
 
 
+def test_many_sources_are_not_collected(spark, monkeypatch):
+    """Sources of few bytes but many rows meet the targets in blocks; one task would keep the best of all of them."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refuse(df):
+        raise AssertionError("collected")
+
+    monkeypatch.setattr(DataFrame, "toPandas", refuse)
+    words = spark.range(R.BROADCAST_BYTES // 800).select(F.concat(F.lit("w"), "id").alias("word"), F.array(F.rand(1), F.rand(2)).alias("vector"))
+    assert G.neighbour_table(words, 3).columns == ["word", "replacement"]
+
+
+@pytest.mark.parametrize("size, n, threshold", [(3000, 5, -1.0), (900, 40, 0.2), (2, 5, -1.0)])
+def test_best_targets_in_single_precision_first(size, n, threshold):
+    """Ties, near ties, zero vectors and vectors of no numbers: the rows of a full sort by the exact products."""
+    rng = np.random.default_rng(5)
+    targets = R._unit(rng.normal(size=(size, 6)))
+    targets[size // 2 :] = targets[: size - size // 2] if size < 2000 else targets[: size - size // 2] + 1e-9 * rng.normal(size=(size - size // 2, 6))
+    targets[size // 3] = 0
+    if size > 2:
+        targets[size // 4] = np.nan
+    sources = R._unit(rng.normal(size=(70, 6)))
+    sims = np.stack([np.einsum("ij,ij->i", np.broadcast_to(s, targets.shape), targets) for s in sources])
+    at, target, sim = R._compare(sources, targets, np.arange(size), n, threshold)
+    want = [(i, j, sims[i, j]) for i in range(70) for j in sorted(np.flatnonzero(sims[i] >= threshold), key=lambda j: (-sims[i, j], j))[:n]]
+    assert list(zip(at.tolist(), target.tolist(), sim.tolist())) == want
+
+
 def test_dissimilar_sample_is_greedy(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(40, 5))
