@@ -11,6 +11,7 @@ from occupipe.operators import joins as J
 from occupipe.operators import split as S
 from occupipe.operators import taxonomy as X
 from occupipe.operators.groups import lookup, lookup_each
+from occupipe.operators.word_vectors import fit_word_vectors
 from occupipe.plans.registry import query
 from occupipe.session import cut_lineage
 
@@ -239,9 +240,9 @@ def linear_head(t):
 
 @query("document_vectors")
 def document_vectors(t):
-    docs = M.text_tokens(t.spread("documents").select("doc_id", "text"), "text")
-    out = M.fit_word_vectors(docs, "tokens", size=16).transform(docs)
-    return out.select("doc_id", F.size("tokens").alias("tokens"), vector_to_array("doc_vector").alias("vector"))
+    docs = M.text_tokens(t.spread("documents").select("doc_id", "text"), "text").select("doc_id", "tokens")
+    out = fit_word_vectors(docs, "tokens", size=16).transform(docs)
+    return out.select("doc_id", F.size("tokens").alias("tokens"), F.col("doc_vector").alias("vector"))
 
 
 @query(
