@@ -58,6 +58,17 @@ def test_lookup_each_both_ways(spark, monkeypatch):
     assert lists[0] == lists[1]
 
 
+
+def test_lookup_each_with_only_the_codes_in_python(spark):
+    rows = [(1, ["a", "x", None, "b"]), (1, ["a"]), (2, []), (3, None), (None, ["b", "b"])]
+    df = spark.createDataFrame(rows, "id int, codes array<string>").repartition(3)
+    table = spark.createDataFrame([("a", 1, ("p",)), ("b", None, ("q",)), (None, 5, ("r",))], "code string, v int, w struct<s:string>")
+    for value in ("v", "w"):
+        both = [G.lookup_each(df, F.col("codes"), table, "code", value, "out", apart=apart) for apart in (False, True)]
+        assert both[0].schema == both[1].schema
+        assert sorted(map(repr, both[0].collect())) == sorted(map(repr, both[1].collect()))
+
+
 def test_stratified_split_rules(spark):
     rows = [(i, "big", "t") for i in range(10)] + [(20, "one", "t"), (21, "none", None), (22, "pair", "t"), (23, "pair", "t")]
     rows += [(24, "half", "t"), (25, "half", None), (None, "big", "d"), (None, "none", "d")]

@@ -33,6 +33,11 @@ def test_titles_are_probed_without_a_shuffle(spark):
     assert "Exchange" not in plan and "MapInArrow" in plan
 
 
+def test_converted_arrays_are_made_once_and_only_their_codes_go_to_python(spark):
+    plan = plan_of(queries()["others_fallback"](spark, FOLDER))
+    assert plan.count("zip_with(") == 1 and plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan
+
+
 def test_ranks_are_limited_before_the_shuffle(spark):
     orders = spark.read.parquet(f"{FOLDER}/orders.parquet")
     plan = plan_of(G.keep_one(orders, ["o_custkey"], [F.asc("o_orderkey")]))
