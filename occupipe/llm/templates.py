@@ -215,12 +215,14 @@ def _recurring_hashes(docs: DataFrame, cut: tuple, min_docs: int) -> DataFrame:
                 units = Units(batch.column("text"), *cut)
                 full, leafy = units.kind != SHORT, units.leaf != 0
                 hashes, rows = np.concatenate([units.mark[full], units.leaf[leafy]]), np.concatenate([units.row[full], units.row[leafy]])
-                order = np.lexsort((rows, hashes))
+                # Equal hashes are all marks or all leaves, so their rows are in order and stay so.
+                order = np.argsort(hashes, kind="stable")
                 hashes, rows = hashes[order], rows[order]
-                once = np.ones(len(hashes), bool)
-                once[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
-                found, n = np.unique(hashes[once], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["hash", "n"])
+                new = _breaks(hashes)
+                once = new.copy()
+                once[1:] |= rows[1:] != rows[:-1]
+                n = np.add.reduceat(once.astype(np.int64), np.flatnonzero(new)) if len(new) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[new]), pa.array(n)], names=["hash", "n"])
 
     counts = arrow(docs.select("text"), each, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
     # Marks are odd and leaves even.
@@ -289,11 +291,14 @@ def _candidates(docs: DataFrame, some: np.ndarray, often: np.ndarray, cut: tuple
 def templates(candidates: DataFrame, depth: int, min_docs: int, similarity: float) -> DataFrame:
     """``leaf``, ``mark`` and ``template_id`` of every record that its leaf's constant tokens give a template."""
     held = candidates.filter("leaf is not null")
-    per_doc = held.groupBy("leaf", "mark", "doc_id").agg(F.any_value("tokens").alias("tokens"))
-    distinct = through_table(per_doc.groupBy("leaf", "mark").agg(F.any_value("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")))
+    # Counted by numbers alone, which Spark hashes; lists it would sort, so only those of the lines that matter are met.
+    per_doc = held.select("leaf", "mark", "doc_id").distinct()
+    distinct = through_table(per_doc.groupBy("leaf", "mark").agg(F.count(F.lit(1)).alias("docs")))
     many = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("_lines"), F.sum("docs").alias("_docs"))
     many = many.filter((F.col("_lines") > 1) & (F.col("_docs") >= min_docs)).select("leaf")
-    tokens = through_table(distinct.join(many, "leaf", "left_semi").select("leaf", "mark", "docs", F.posexplode("tokens").alias("at", "token")))
+    lines = through_table(distinct.join(many, "leaf", "left_semi"))
+    listed = held.groupBy("leaf", "mark").agg(F.any_value("tokens").alias("tokens")).join(lines, ["leaf", "mark"])
+    tokens = through_table(listed.select("leaf", "mark", "docs", F.posexplode("tokens").alias("at", "token")))
     # What leads to the leaf is constant there; only later places are counted.
     counted = tokens.filter(F.col("at") >= depth).groupBy("leaf", "at", "token").agg(F.sum("docs").alias("_n"))
     # Written first, so that the join has a shuffle of its own and a hot leaf can be split.
