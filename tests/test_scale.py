@@ -89,3 +89,16 @@ def test_writes_by_few_values_are_not_sorted(spark, tmp_path):
     writers.write_with_quarantine(df, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert {r["rejected"]: r["count"] for r in back.groupBy(F.col("rejected").cast("string").alias("rejected")).count().collect()} == {"true": 34, "false": 66}
+
+
+def test_links_listed_twice_are_joined_once_and_their_rows_repeated(spark, monkeypatch):
+    monkeypatch.setattr(J, "COPIES", 2)
+    ads = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "c"), (4, None), (5, "e")], "ad_id int, code string")
+    aliases = [("a", "A")] * 3 + [("a", "B"), ("b", "B"), ("c", "C"), ("c", None), (None, "A"), ("e", "E")]
+    versions = [("A", "x")] * 2 + [("A", "y"), ("B", "z"), ("C", "Deleted"), ("C", None), (None, "x")]
+    found = J.recode_twice(ads, "code", spark.createDataFrame(aliases, "alias string, actual string"), spark.createDataFrame(versions, "old string, new string"))
+    # Above the joins rows are only repeated.
+    plan = plan_of(found)
+    assert plan.count("Generate explode") == 2 and "Join" not in plan[: plan.rindex("Generate explode")]
+    rows = sorted(tuple(r) for r in found.collect())
+    assert rows == [(1, "x")] * 12 + [(1, "y")] * 6 + [(1, "z")] * 2 + [(2, "z")] and found.columns == ["ad_id", "code"]
