@@ -102,3 +102,19 @@ def test_links_listed_twice_are_joined_once_and_their_rows_repeated(spark, monke
     assert plan.count("Generate explode") == 2 and "Join" not in plan[: plan.rindex("Generate explode")]
     rows = sorted(tuple(r) for r in found.collect())
     assert rows == [(1, "x")] * 12 + [(1, "y")] * 6 + [(1, "z")] * 2 + [(2, "z")] and found.columns == ["ad_id", "code"]
+
+
+def test_titles_of_repeated_codes_are_spread_after_the_joins(spark, monkeypatch):
+    monkeypatch.setattr(J, "COPIES", 2)
+    titles = [("a", "x")] * 3 + [("a", "y"), ("a", None), ("b", "z"), ("c", None), (None, "n")]
+    ads = [(1, "a", "b"), (1, "a", "b"), (2, "a", "a"), (3, "c", "d"), (4, None, "b"), (5, "d", None)]
+    taxonomy = spark.createDataFrame(titles, "code string, title string")
+    found = J.with_titles(spark.createDataFrame(ads, "ad_id int, code string, other string"), ["code", "other"], taxonomy)
+    plan = plan_of(found)
+    assert plan.count("Join") == 2 and "Join" not in plan[: plan.rindex("Generate explode")]
+    def of(code):
+        return [t for c, t in titles if c is not None and c == code] or [None]
+
+    wanted = [(*ad, x, y) for ad in ads for x in of(ad[1]) for y in of(ad[2])]
+    assert sorted(map(str, wanted)) == sorted(str(tuple(r)) for r in found.collect())
+    assert found.columns == ["ad_id", "code", "other", "code_title", "other_title"]
