@@ -28,12 +28,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from occupipe.llm.common import arrow, col
+from occupipe.llm.common import arrow, col, never_sent
 from occupipe.session import through_table
 
 SAMPLE_PER_PIVOT = 4
@@ -42,6 +41,8 @@ PIVOTS = 48
 MOST_PIVOTS = 4096
 RING = 512
 BINS = 256
+LEAST_BINS = 16
+RING_BINS = 4
 CELLS = 1 << 22
 QUERY_GROUPS = 64
 
@@ -49,11 +50,18 @@ QUERY_GROUPS = 64
 def _matrix(rows: list[bytes], width: int) -> np.ndarray:
     out = np.zeros((len(rows), width), np.int64)
     for i, row in enumerate(rows):
-        values = np.frombuffer(row, "<i8")
+        values = np.frombuffer(row, f"<i{row[0]}", offset=1)
         out[i, : len(values)] = values
     return out
 
 
+def _bytes(values: np.ndarray) -> bytes:
+    """Whole numbers in the fewest bytes that hold each of them, after that number of bytes: vectors go to many blocks."""
+    most = np.abs(values).max(initial=0)
+    size = next((n for n in (1, 2, 4) if most < 2.0 ** (8 * n - 1)), 8)
+    return bytes([size]) + values.astype(f"<i{size}").tobytes()
+
+
 def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Exact integer products, by floating point where that is exact too."""
     size = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(1, queries.shape[1])
@@ -77,7 +85,7 @@ def packed(vectors: DataFrame, vec_id: str, vector: str, scale: int) -> DataFram
                 if x.values.null_count or not (np.abs(values) < 2.0**63).all():
                     continue
                 ids.append(vid)
-                out.append(values.astype("<i8").tobytes())
+                out.append(_bytes(values))
                 sizes.append(len(values))
                 norms.append(float(values @ values))
             arrays = [pa.array(ids, pa.int64()), pa.array(out, pa.binary()), pa.array(sizes, pa.int32()), pa.array(norms, pa.float64())]
@@ -153,6 +161,21 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return few[np.sort(first)][:k]
 
 
+def _able(scores: np.ndarray, ids: np.ndarray, q_ids: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's ``k`` best rows of ``least`` or more, as (query id, place, score); rows that share an id count once."""
+    i, j = np.nonzero((scores >= least[:, None]) & (ids[None, :] != q_ids[:, None]))
+    s = scores[i, j]
+    order = np.lexsort((-s, ids[j], i))
+    i, j, s = i[order], j[order], s[order]
+    first = np.ones(len(i), bool)
+    first[1:] = (i[1:] != i[:-1]) | (ids[j[1:]] != ids[j[:-1]])
+    i, j, s = i[first], j[first], s[first]
+    order = np.lexsort((ids[j], -s, i))
+    i, j, s = i[order], j[order], s[order]
+    kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return q_ids[i[kept]], j[kept], s[kept]
+
+
 def build_index(rows: DataFrame, pivots: Pivots, ring: int = RING) -> DataFrame:
     """One row per ring chunk: ``block``, ``pivot``, ``lo``, ``hi`` and the ``rows`` in it."""
 
@@ -221,7 +244,7 @@ def ring_visits(seeded: DataFrame, blocks: DataFrame, width: float) -> DataFrame
     rings = rings.select("*", bins("ring_lo", "ring_hi", "bin"))
     same = (F.col("pivot") == F.col("_pivot")) & (F.col("bin") == F.col("_bin"))
     met = (F.col("ring_lo") <= F.col("hi")) & (F.col("ring_hi") >= F.col("lo")) & (F.col("home") != F.col("block"))
-    return spans.join(rings, same & met).select("home", "block").distinct()
+    return spans.join(never_sent(rings), same & met).select("home", "block").distinct()
 
 
 def top_products(
@@ -248,7 +271,7 @@ def top_products(
     slack = 1e-6 * (1.0 + float(np.sqrt(longest2)))
     blocks = build_index(rows, pivots, ring)
     # The range of each pivot's rings: one row per pivot.
-    ranges = blocks.groupBy("pivot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
+    ranges = blocks.groupBy("pivot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("rings")).collect()
     held = np.array([r["pivot"] for r in ranges], np.int64)
     nearest, farthest = np.array([r["lo"] for r in ranges]), np.array([r["hi"] for r in ranges])
 
@@ -288,9 +311,12 @@ def top_products(
         arrow(blocks, local, SEEDED)
     )
     groups = max(1, -(-seeded.count() // QUERY_GROUPS))
-    visits = ring_visits(seeded, blocks, max(1e-9, 2 * float(np.sqrt(longest2)) / BINS))
+    # A span is written once for each bin that it touches: a few bins a ring are enough.
+    bins = min(BINS, max(LEAST_BINS, RING_BINS * sum(r["rings"] for r in ranges) // len(ranges)))
+    visits = ring_visits(seeded, blocks, max(1e-9, 2 * float(np.sqrt(longest2)) / bins))
     asked = seeded.select(F.col("block").alias("home"), F.struct("q_ids", "q", "kth").alias("asked"))
-    queued = visits.join(asked, "home").groupBy("block", F.pmod(F.xxhash64("home"), F.lit(groups)).alias("_group"))
+    # Dealt by block once, for the groups and for the join with the blocks.
+    queued = visits.join(never_sent(asked), "home").repartition("block").groupBy("block", F.pmod(F.xxhash64("home"), F.lit(groups)).alias("_group"))
     queued = queued.agg(F.collect_list("asked").alias("asked"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,15 +331,12 @@ def top_products(
                 far, r = pivots.distances(q, query=True, pivot=p), reach(q, kth)
                 # Within the group, a query stays only if this ring meets its own reach.
                 stays = np.flatnonzero((own.min() <= far + r) & (own.max() >= far - r))
-                out = []
-                for i, scores in zip(stays, products(q[stays], x)):
-                    able = np.flatnonzero((scores >= kth[i]) & (ids != q_ids[i]))
-                    best = able[_best(scores[able], ids[able], k)]
-                    out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[best], "score": scores[best]}))
-                if out:
-                    yield pa.RecordBatch.from_pandas(pd.concat(out), preserve_index=False)
-
-    later = arrow(blocks.select("block", "pivot", "rows").join(queued, "block"), search, FOUND)
+                found = [_able(products(q[some], x), ids, q_ids[some], kth[some], k) for some in np.array_split(stays, -(-len(stays) * len(x) // CELLS) or 1)]
+                i, j, scores = (np.concatenate(c) for c in zip(*found))
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(ids[j]), pa.array(scores)], names=["query_id", "vec_id", "score"])
+
+    later = arrow(blocks.select("block", "pivot", "rows").join(never_sent(queued), "block"), search, FOUND)
     every = later.union(seeded.select(F.inline("found"))).distinct()
     every = every.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))

@@ -183,6 +183,21 @@ def test_top_products_of_few_and_large(spark):
     assert got == brute_products(rows, 5)
 
 
+def test_vectors_and_spans_are_not_sent_to_the_driver(spark):
+    draw = np.random.default_rng(4)
+    rows = [(i, draw.normal(size=4).tolist()) for i in range(300)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = pivot_index.top_products(table, F.col("vec_id") % 5 == 0, ring=16, n_pivots=5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 3
+
+
+@pytest.mark.parametrize("values", [[], [0, -1], [127, -127], [128], [-128, 3], [32767], [-32768], [2**31], [-(2.0**62)]])
+def test_whole_numbers_in_few_bytes(values):
+    back = pivot_index._matrix([pivot_index._bytes(np.array(values, np.float64))], len(values) + 1)
+    assert back.tolist() == [[int(v) for v in values] + [0]]
+
+
 def test_ring_visits_equal_the_range_join(spark):
     """Binned equality finds the pairs that the ranges give, and joins on the bin as well."""
     rng = np.random.default_rng(2)
