@@ -31,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from occupipe.llm.common import arrow, col
+from occupipe.llm.common import arrow, col, never_sent
 from occupipe.operators.groups import top_k_per
-from occupipe.session import through_table
+from occupipe.session import freed_shuffles, through_table
 
 BUCKET = 2048
 ANCHORS = 128
@@ -173,7 +173,8 @@ def _in_buckets(df: DataFrame, each: Callable[[dict], Iterator[tuple]], schema:
                 if columns:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-    return through_table(arrow(df, rows, schema))
+    with freed_shuffles(df.sparkSession):
+        return through_table(arrow(df, rows, schema))
 
 
 def length_bins(rows: DataFrame, bucket: int) -> DataFrame:
@@ -216,8 +217,9 @@ def visits(asked: DataFrame, buckets: DataFrame, bins: list) -> DataFrame:
     named = F.transform(reached, lambda b: F.transform(F.sequence(F.lit(0), b["chunks"] - 1), lambda c: F.xxhash64(b["bin"], c)))
     pairs = grouped.select("block", "asked", F.explode(F.flatten(named)).alias("bucket"))
     groups = max(1, -(-blocks // VISITORS))
-    queued = pairs.groupBy("bucket", F.pmod("block", F.lit(groups)).alias("_group")).agg(F.flatten(F.collect_list("asked")).alias("asked"))
-    return buckets.join(queued, "bucket").drop("_group", "anchors")
+    # Dealt by bucket once, for the groups and for the join with the buckets.
+    queued = pairs.repartition("bucket").groupBy("bucket", F.pmod("block", F.lit(groups)).alias("_group")).agg(F.flatten(F.collect_list("asked")).alias("asked"))
+    return buckets.join(never_sent(queued), "bucket").drop("_group", "anchors")
 
 
 def mine(
@@ -277,7 +279,7 @@ def mine(
     wanted = best.filter("score >= 0").groupBy("anchor_id").agg(
         F.collect_list(F.struct(F.col("other_id").alias("positive_id"), "score")).alias("wanted"), F.min("score").alias("_lowest")
     )
-    asked = seeded.drop("found", "least").join(wanted, "anchor_id")
+    asked = seeded.drop("found", "least").join(never_sent(wanted), "anchor_id")
     asked = through_table(asked.withColumn("least", F.col("_lowest") * (low / 100) * (1 - SLACK)).drop("_lowest"))
 
     def find_negatives(row: dict) -> Iterator[tuple]:

@@ -106,3 +106,11 @@ def clustered_matrix(draw):
     centres = draw.normal(size=(12, 16))
     x = centres[draw.integers(0, 12, 600)] + 0.2 * draw.normal(size=(600, 16))
     return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_visitors_are_not_sent_to_the_driver(spark):
+    bins = [{"bin": b, "chunks": 2, "longest": 1.0} for b in range(3)]
+    asked = spark.range(40).selectExpr("id as anchor_id", "id as label", "cast('x' as binary) as q", "1d as q_length", "0.5d as least", "0L as home")
+    buckets = spark.createDataFrame([(0, [True])], "bucket long, anchors array<boolean>")
+    plan = hard_negatives.visits(asked, buckets, bins)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
