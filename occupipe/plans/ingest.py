@@ -15,6 +15,11 @@ from occupipe.sources import readers, records, writers
 
 
 def order_records(t):
+    """The documents of the orders, written once and parsed."""
+    return records.parse_records(through_table(order_documents(t)))
+
+
+def order_documents(t):
     """Orders as JSON documents: complete ones, null ones, and two kinds of bad ones."""
     k = F.col("o_orderkey")
     company = lambda tag, present: F.when(
@@ -61,8 +66,7 @@ def order_records(t):
     lacking = F.to_json(F.struct(*fields), keep_nulls)
     missing = F.to_json(F.struct(F.lit(fixed.NOT_FOUND_MESSAGE).alias("message")))
     doc = F.when(k % 11 == 0, missing).when(k % 13 == 0, lacking).otherwise(whole)
-    docs = t.spread("orders").select(F.concat(F.lit("AD-"), k.cast("string")).alias("ad_id"), doc.alias("doc"))
-    return records.parse_records(through_table(docs))
+    return t.spread("orders").select(F.concat(F.lit("AD-"), k.cast("string")).alias("ad_id"), doc.alias("doc"))
 
 
 FLAT_SQL = """

@@ -6,9 +6,9 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from occupipe.operators import cascade as M
-from occupipe.plans.ingest import FLAT_SQL, flat_result, order_records
+from occupipe.plans.ingest import FLAT_SQL, flat_result, order_documents
 from occupipe.plans.registry import CODE_SQL, TAXONOMY_SQL, code_of, query
-from occupipe.session import shared_dir, through_table
+from occupipe.session import freed_shuffles, held_table, shared_dir
 from occupipe.streaming import stream as ST
 
 
@@ -37,6 +37,8 @@ def stream_enrichment(t):
 
 #: Rows of a file that arrives.
 FILE_ROWS = 500_000
+#: The same of compressed text, which one task reads whole.
+TEXT_ROWS = 100_000
 
 
 def arrivals(t, df, part, n: int, write="parquet") -> tuple[str, int]:
@@ -46,21 +48,23 @@ def arrivals(t, df, part, n: int, write="parquet") -> tuple[str, int]:
     of too few rows has empty files among them. So a micro-batch of that many files is one lot.
     """
     folder, context = shared_dir(t.spark), t.spark.sparkContext
-    rows = through_table(df.withColumn("_part", part))
-    sizes = {r["_part"]: r["count"] for r in rows.groupBy("_part").count().collect()}  # at most ``n`` numbers
-    files = max(1, -(-max(sizes.values(), default=0) // FILE_ROWS))
-    for k in range(n):
-        lot = rows.filter(F.col("_part") == k).drop("_part")
-        save = lambda frame: frame.write.mode("append").format(write).save(f"{folder}/in-{k}")
-        save(lot.coalesce(1) if files == 1 else lot.repartition(files))
-        path = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/in-{k}")
-        fs = path.getFileSystem(context._jsc.hadoopConfiguration())
-        listed = lambda: [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("part-")]
-        for _ in range(files - len(listed())):
-            save(lot.limit(0))
-        for file in listed():
-            # A stream takes files in the order of their times.
-            fs.setTimes(file, 1_700_000_000_000 + 60_000 * k, -1)
+    # Text is several times as large as what it was made of; parquet is compressed by itself.
+    packed, most = ({"compression": "gzip"}, TEXT_ROWS) if write == "text" else ({}, FILE_ROWS)
+    with held_table(df.withColumn("_part", part)) as rows, freed_shuffles(t.spark):
+        sizes = {r["_part"]: r["count"] for r in rows.groupBy("_part").count().collect()}  # at most ``n`` numbers
+        files = max(1, -(-max(sizes.values(), default=0) // most))
+        for k in range(n):
+            lot = rows.filter(F.col("_part") == k).drop("_part")
+            save = lambda frame: frame.write.mode("append").options(**packed).format(write).save(f"{folder}/in-{k}")
+            save(lot.coalesce(1) if files == 1 else lot.repartition(files))
+            path = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/in-{k}")
+            fs = path.getFileSystem(context._jsc.hadoopConfiguration())
+            listed = lambda: [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("part-")]
+            for _ in range(files - len(listed())):
+                save(lot.limit(0))
+            for file in listed():
+                # A stream takes files in the order of their times.
+                fs.setTimes(file, 1_700_000_000_000 + 60_000 * k, -1)
     return folder, files
 
 
@@ -155,7 +159,7 @@ def stream_repeats_within_delay(t):
 
 def record_stream(t, files: int = 5):
     """The order records as JSON lines in files that arrive one after the other."""
-    docs = order_records(t).select(F.to_json(F.struct("ad_id", "doc")).alias("value"))
+    docs = order_documents(t).select(F.to_json(F.struct("ad_id", "doc")).alias("value"))
     return arrivals(t, docs, F.pmod(F.xxhash64("value"), F.lit(files)).cast("int"), files, "text")
 
 

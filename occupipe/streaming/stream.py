@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from occupipe.functions import text as T
 from occupipe.operators.groups import keep_one
 from occupipe.operators.joins import with_titles
-from occupipe.session import cut_lineage, unsorted_writes
+from occupipe.session import cut_lineage, held_table, unsorted_writes
 from occupipe.sources import records
 from occupipe.sources.readers import file_id
 
@@ -94,9 +94,10 @@ def split_rejects(documents: DataFrame, path: str, checkpoint: str) -> Streaming
     run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def write(batch: DataFrame, number: int) -> None:
-        parsed = cut_lineage(records.parse_records(batch))
-        for name, rows in (("kept", records.flatten(parsed)), ("rejected", records.rejected(parsed))):
-            rows.write.mode("overwrite").parquet(f"{path}/{name}/run={run}/batch={number}")
+        # Compressed, and deleted with the batch: checkpoints are neither.
+        with held_table(records.parse_records(batch)) as parsed:
+            for name, rows in (("kept", records.flatten(parsed)), ("rejected", records.rejected(parsed))):
+                rows.write.mode("overwrite").parquet(f"{path}/{name}/run={run}/batch={number}")
 
     return start(documents.writeStream.foreachBatch(write), checkpoint)
 
