@@ -49,7 +49,7 @@ def arrivals(t, df, part, n: int, write="parquet") -> tuple[str, int]:
     """
     folder, context = shared_dir(t.spark), t.spark.sparkContext
     # Text is several times as large as what it was made of; parquet is compressed by itself.
-    packed, most = ({"compression": "gzip"}, TEXT_ROWS) if write == "text" else ({}, FILE_ROWS)
+    packed, most = ({"compression": "gzip"}, min(TEXT_ROWS, FILE_ROWS)) if write == "text" else ({}, FILE_ROWS)
     with held_table(df.withColumn("_part", part)) as rows, freed_shuffles(t.spark):
         sizes = {r["_part"]: r["count"] for r in rows.groupBy("_part").count().collect()}  # at most ``n`` numbers
         files = max(1, -(-max(sizes.values(), default=0) // most))
